@@ -19,3 +19,14 @@ def clean_path(path: Column) -> Column:
 def file_stem(path: Column) -> Column:
     """Base name of a path up to its first dot."""
     return F.regexp_extract(path, r"([^/.]*)(\.[^/]*)?$", 1)
+
+
+def file_label(path: Column) -> Column:
+    """Parent folder and base name, for files picked by a pattern."""
+    return F.regexp_extract(path, r"([^/]*/[^/.]*)(\.[^/]*)?$", 1)
+
+
+def dataset_of(requested: list[str], path: Column) -> Column:
+    """Dataset name of a file: its stem, or folder and stem where a pattern may meet equal stems."""
+    pattern = any(c in p for p in requested for c in "*?[{")
+    return file_label(path) if pattern else file_stem(path)
