@@ -56,7 +56,7 @@ EV = """ev AS (
   FROM events)"""
 LI = """li AS (
   SELECT 'lineitem' AS dataset, CAST(l_suppkey AS VARCHAR) AS series_id,
-         row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber) - 1 AS idx,
+         row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_quantity) - 1 AS idx,
          l_shipdate AS ts, l_extendedprice AS y
   FROM lineitem)"""
 OD = """od AS (

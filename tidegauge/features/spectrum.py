@@ -8,14 +8,16 @@ transform over many tasks.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from tidegauge.functions.types import MATRIX, VECTOR, vectors_struct
 from tidegauge.config import CHUNK_ROWS, MAX_GROUP_ROWS, bound
+from tidegauge.functions.types import VECTOR, vectors_struct
 from tidegauge.operators.order import GroupProfile, gather
 
 
@@ -177,20 +179,21 @@ def ricker(points: int, width: float) -> np.ndarray:
     return 2 / (math.sqrt(3 * width) * math.pi**0.25) * (1 - r) * np.exp(-r / 2)
 
 
-def _convolver(widths: tuple[int, ...]):
-    @F.pandas_udf(MATRIX)
-    def run(chunk: pd.Series, first: pd.Series, lead: pd.Series, own: pd.Series, n: pd.Series) -> pd.Series:
-        out = []
-        for x, lo, skip, count, size in zip(chunk, first, lead, own, n):
-            x = np.asarray(x, dtype=float)
-            rows = []
+def _convolver(widths: tuple[int, ...], drop: list[str]):
+    """Convolve each chunk with each kernel; one width at a time keeps batches small."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            spans = list(zip(batch["x"], batch["skip"], batch["count"], batch["n"]))
+            kept = batch.drop(columns=drop)
             for w in widths:
-                length = int(min(10 * w, size))
-                full = np.convolve(x, ricker(length, w))
-                begin = int(skip) + (length - 1) // 2
-                rows.append(full[begin : begin + int(count)])
-            out.append(rows)
-        return pd.Series(out)
+                rows = []
+                for x, skip, count, size in spans:
+                    length = int(min(10 * w, size))
+                    full = np.convolve(np.asarray(x, dtype=float), ricker(length, w))
+                    begin = int(skip) + (length - 1) // 2
+                    rows.append(full[begin : begin + int(count)])
+                yield kept.assign(width=w, c=rows)
 
     return run
 
@@ -214,13 +217,14 @@ def wavelet(
     packed = gather_span(placed, [*keys, "_chunk"]).join(sizes.select(*keys, "n"), keys)
     start = F.col("_chunk") * size
     count = F.least(F.lit(size), F.col("n") - start)
-    packed = packed.filter(count > 0).withColumn(
-        "_c", _convolver(tuple(widths))("x", "lo", start - F.col("lo"), count, "n")
+    packed = packed.filter(count > 0).select(
+        *keys, start.alias("start"), "x", "n", (start - F.col("lo")).alias("skip"), count.alias("count")
     )
-    per = packed.select(*keys, start.alias("_start"), F.posexplode("_c").alias("_w", "_v"))
-    width = F.element_at(F.array(*[F.lit(int(w)) for w in widths]), F.col("_w") + 1)
-    return per.select(*keys, "_start", width.alias("width"), F.posexplode("_v").alias("_i", "c")).select(
-        *keys, "width", (F.col("_start") + F.col("_i")).alias("idx"), "c"
+    extra = [StructField("width", IntegerType()), StructField("c", VECTOR)]
+    schema = StructType([packed.schema[k] for k in [*keys, "start"]] + extra)
+    per = packed.mapInPandas(_convolver(tuple(widths), ["x", "n", "skip", "count"]), schema)
+    return per.select(*keys, "width", "start", F.posexplode("c").alias("_i", "c")).select(
+        *keys, "width", (F.col("start") + F.col("_i")).alias("idx"), "c"
     )
 
 

@@ -3,7 +3,6 @@
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 VECTOR = ArrayType(DoubleType())
-MATRIX = ArrayType(VECTOR)
 
 
 def vectors_struct(*names: str) -> StructType:

@@ -48,6 +48,10 @@ def dataset_index(rows: DataFrame, dim: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(dim.select("dataset", "ds_index")), "dataset")
 
 
+# Grid points made from one block of a gap.
+_SPAN = 4096
+
+
 def merge_sensors(sensors: DataFrame, fs: float, unit: float = 1e9, by: str = "folder") -> DataFrame:
     """Interpolate every axis of a recording on one even time grid.
 
@@ -74,7 +78,12 @@ def merge_sensors(sensors: DataFrame, fs: float, unit: float = 1e9, by: str = "f
     top = F.col("_m") - 1
     low = F.greatest(F.floor(place("t")) - 1, F.lit(0).cast("bigint"))
     high = F.least(F.ceil(F.coalesce(place("_t"), place("t"))) + 1, top)
-    pts = lines.withColumn("idx", F.explode(F.when(low <= high, F.sequence(low, F.greatest(low, high)))))
+    # Two steps, so that a long gap between samples makes no long array.
+    a, z = F.expr(f"_lo div {_SPAN}"), F.expr(f"_hi div {_SPAN}")
+    blocks = lines.withColumns({"_lo": low, "_hi": high}).filter("_lo <= _hi")
+    blocks = blocks.withColumn("_b", F.explode(F.sequence(a, z)))
+    first, last = F.greatest("_lo", F.col("_b") * _SPAN), F.least("_hi", F.col("_b") * _SPAN + _SPAN - 1)
+    pts = blocks.withColumn("idx", F.explode(F.sequence(first, last)))
     x = F.when((F.col("idx") == top) & (F.col("_m") > 1), F.col("tn")).otherwise(
         F.col("t0") + F.col("idx") * F.col("_step")
     )

@@ -132,7 +132,7 @@ def running_sum(
     heads = heads.select(
         *keys,
         "_chunk",
-        *[F.coalesce(F.sum(f"_h_{k}").over(before), F.lit(0.0)).alias(f"_b_{k}") for k in sums],
+        *[F.coalesce(F.sum(f"_h_{k}").over(before), F.lit(0)).alias(f"_b_{k}") for k in sums],
     )
     inside = Window.partitionBy(*keys, "_chunk").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
     out = cut.withColumns({k: F.sum(c).over(inside) for k, c in sums.items()})

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.config import KEYS, WINDOW_CHUNK, bound
-from tidegauge.operators.order import rank_within, running_sum, profile
+from tidegauge.operators.order import profile, rank_within, running_sum
 from tidegauge.operators.splits import lengths
 
 
 def sample_windows(
     series: DataFrame, seq_len: int, pred_len: int, stride: int = 1,
     keys: list[str] = KEYS, value: str = "y", marks: list[str] | None = None,
+    attach: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Every ``stride``-th (input, label) pair of each series.
 
@@ -20,6 +23,8 @@ def sample_windows(
     pred_len - 1`` points that follow it, so rows stay bounded however long the
     series is, and each window is made in exactly one chunk.  ``marks`` names
     further columns gathered beside the values as ``x_mark`` and ``y_mark``.
+    ``attach`` may join further columns by key; it sees one row per chunk, so its
+    join does not move the far larger windows.
     """
     span = seq_len + pred_len
     size = max(bound(series.sparkSession, WINDOW_CHUNK), span)
@@ -40,12 +45,15 @@ def sample_windows(
         .agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_s"))
         .filter(F.size("_s") >= span)
     )
+    if attach:
+        packed = attach(packed)
+    carried = [c for c in packed.columns if c not in (*keys, "_chunk", "_s")]
     base = F.col("_chunk") * size
     first = F.pmod(-base, F.lit(stride).cast("bigint"))
     last = F.least(F.size("_s") - span, F.lit(size - 1)).cast("bigint")
     arrays = [F.col("_s.v").alias("_v")] + ([F.col("_s.m").alias("_m")] if marks else [])
     offs = (
-        packed.select(*keys, base.alias("_base"), first.alias("_first"), last.alias("_last"), *arrays)
+        packed.select(*keys, *carried, base.alias("_base"), first.alias("_first"), last.alias("_last"), *arrays)
         .filter(F.col("_first") <= F.col("_last"))
         .withColumn("_o", F.explode(F.expr(f"sequence(_first, _last, {stride}L)")))
     )
@@ -55,6 +63,7 @@ def sample_windows(
         (F.col("_base") + F.col("_o")).alias("off"),
         F.slice("_v", begin, seq_len).alias("x"),
         F.slice("_v", begin + seq_len, pred_len).alias("y"),
+        *carried,
     ]
     if marks:
         out += [
@@ -83,18 +92,20 @@ def with_prefix(windows: DataFrame, prefix: Column | str) -> DataFrame:
     return windows.withColumn("x", F.concat(col, F.col("x")))
 
 
-def global_sample_ids(windows: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """Number all samples in (key, offset) order through cumulative sample counts."""
-    per = windows.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("_n"))
+def global_sample_ids(windows: DataFrame, stride: int = 1, keys: list[str] = KEYS) -> DataFrame:
+    """Number all samples in (key, offset) order through cumulative sample counts.
+
+    Only the table of one row per series is ranked; windows are joined to it.
+    """
+    per = windows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     prof = profile(per, [])
-    ranked = rank_within(per, [], keys, "_r", prof).withColumn("_g", F.lit(0))
-    sums = running_sum(ranked, ["_g"], "_r", {"_upto": F.col("_n")}, prof)
-    starts = sums.select(*keys, (F.col("_upto") - F.col("_n")).cast("bigint").alias("_start"))
-    numbered = rank_within(windows, keys, ["off"], "_in")
+    ranked = rank_within(per, [], keys, "_r", prof).withColumn("_all", F.lit(0))
+    sums = running_sum(ranked, ["_all"], "_r", {"_upto": F.col("_n")}, prof)
+    starts = sums.select(*keys, (F.col("_upto") - F.col("_n")).alias("_start"))
     return (
-        numbered.join(starts, keys)
-        .withColumn("sample_id", F.col("_start") + F.col("_in"))
-        .drop("_start", "_in")
+        windows.join(starts, keys)
+        .withColumn("sample_id", F.col("_start") + F.expr(f"off div {stride}"))
+        .drop("_start")
     )
 
 

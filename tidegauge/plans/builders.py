@@ -48,18 +48,29 @@ def scaled_splits(
     return transform(parts, params)
 
 
-def _cut(parts: DataFrame, cfg: PrepConfig, split_names: list[str], stride: dict[str, int]) -> DataFrame:
+def _cut(
+    parts: DataFrame, cfg: PrepConfig, split_names: list[str], stride: dict[str, int],
+    attach: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     wanted = parts.filter(F.col("split").isin(split_names))
     if cfg.strict:
         require_length(wanted, cfg.seq_len + cfg.pred_len, SPLIT_KEYS)
     out = None
     for step in sorted({stride[s] for s in split_names}):
         names = [s for s in split_names if stride[s] == step]
-        w = sample_windows(wanted.filter(F.col("split").isin(names)), cfg.seq_len, cfg.pred_len, step, SPLIT_KEYS)
+        some = wanted.filter(F.col("split").isin(names))
+        w = sample_windows(some, cfg.seq_len, cfg.pred_len, step, SPLIT_KEYS, attach=attach)
         out = w if out is None else out.unionByName(w)
     return out
 
 
+def _prompted(parts, prompts, cfg, splits, stride) -> DataFrame:
+    """Windows that carry the vector of their series; it is joined to the chunks."""
+    if cfg.strict:
+        prompt_lookup(parts.select(*SPLIT_KEYS).filter(F.col("split").isin(splits)).distinct(), prompts, True)
+    return _cut(parts, cfg, splits, stride, lambda chunks: prompt_lookup(chunks, prompts)[0])
+
+
 def _strides(cfg: PrepConfig, **override: int) -> dict[str, int]:
     return {"train": cfg.stride, "val": cfg.stride, "test": 1, **override}
 
@@ -79,9 +90,8 @@ def statistical_samples(
     rules: DataFrame | None = None,
 ) -> DataFrame:
     """Windows whose input is the series' feature vector followed by the values."""
-    windows = _cut(scaled_splits(series, cfg, rules), cfg, splits, _strides(cfg))
-    matched, _ = prompt_lookup(windows, prompts, strict=cfg.strict)
-    return with_prefix(matched, "prompt").drop("prompt")
+    windows = _prompted(scaled_splits(series, cfg, rules), prompts, cfg, splits, _strides(cfg))
+    return with_prefix(windows, "prompt").drop("prompt")
 
 
 def csv_samples(series, prompts, cfg=PrepConfig(), splits=TRAIN, rules=None) -> DataFrame:
@@ -104,8 +114,7 @@ def token_samples(
     rules: DataFrame | None = None,
 ) -> DataFrame:
     """Windows as tokens: input and label share one scale, the prompt has its own."""
-    windows = _cut(scaled_splits(series, cfg, rules), cfg, splits, _strides(cfg))
-    matched, _ = prompt_lookup(windows, prompts, strict=cfg.strict)
+    matched = _prompted(scaled_splits(series, cfg, rules), prompts, cfg, splits, _strides(cfg))
     span = cfg.seq_len + cfg.pred_len
     both = tokenise(matched.withColumn("_all", F.concat("x", "y")), "_all", span, "_t", "scale")
     both = tokenise(both, "prompt", span, "_pt", "_ps")
@@ -120,10 +129,14 @@ def tsf_samples(
     val_stride: int = 54,
 ) -> DataFrame:
     """Windows of attribute-header files; prompts are found by series ordinal."""
-    windows = _cut(scaled_splits(tsf_series(tsf), cfg), cfg, splits, _strides(cfg, val=val_stride))
-    numbered = windows.withColumn("ordinal", F.expr("cast(substr(series_id, 2) as bigint) - 1"))
-    matched = ordinal_lookup(numbered, prompts).filter(F.col("prompt").isNotNull())
-    return with_prefix(matched, "prompt").drop("prompt", "ordinal")
+    ordinal = F.expr("cast(substr(series_id, 2) as bigint) - 1")
+
+    def attach(chunks):
+        found = ordinal_lookup(chunks.withColumn("ordinal", ordinal), prompts)
+        return found.filter(F.col("prompt").isNotNull()).drop("ordinal")
+
+    windows = _cut(scaled_splits(tsf_series(tsf), cfg), cfg, splits, _strides(cfg, val=val_stride), attach)
+    return with_prefix(windows, "prompt").drop("prompt")
 
 
 def build(

@@ -30,7 +30,7 @@ def events_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 def supplier_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     return to_series(
-        li, "lineitem", F.col("l_suppkey"), ["l_shipdate", "l_orderkey", "l_linenumber"],
+        li, "lineitem", F.col("l_suppkey"), ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity"],
         F.col("l_extendedprice"),
     )
 

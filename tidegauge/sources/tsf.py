@@ -63,7 +63,6 @@ def _headers(spark: SparkSession, paths: list[str], lines: DataFrame) -> DataFra
         setting("@frequency").alias("freq"),
         setting("@horizon").alias("_h"), setting("@missing").alias("_m"), setting("@equallength").alias("_e"),
     )
-    first = lambda c: F.coalesce(F.col(c), F.lit(None))
     error = (
         F.when(F.col("bad_meta"), "Invalid meta-data specification.")
         .when(F.size("attrs") == 0, "Missing attribute section.")
@@ -74,12 +73,19 @@ def _headers(spark: SparkSession, paths: list[str], lines: DataFrame) -> DataFra
     )
     heads = heads.select(
         "path", "attrs", "freq", F.expr("try_cast(_h as int)").alias("horizon"),
-        flag(first("_m")).alias("has_missing"), flag(first("_e")).alias("equal_length"), error.alias("error"),
+        flag(F.col("_m")).alias("has_missing"), flag(F.col("_e")).alias("equal_length"), error.alias("error"),
     )
-    files = spark.read.format("binaryFile").load(paths).select("path")
-    return files.select(F.regexp_replace("path", r"^file:/+", "/").alias("p"), "path").join(
-        heads.withColumn("p", F.regexp_replace("path", r"^file:/+", "/")).drop("path"), "p", "left"
-    ).withColumn("error", F.when(F.col("attrs").isNull(), F.lit("Empty file.")).otherwise(F.col("error"))).drop("path")
+    # A file without lines shows only in the listing, which the reader holds anyway.
+    listed = spark.read.format("binaryFile").load(paths).inputFiles()
+    files = spark.createDataFrame([(p,) for p in listed], "path string").select(_plain("path").alias("p"))
+    empty = F.when(F.col("attrs").isNull(), F.lit("Empty file.")).otherwise(F.col("error"))
+    named = heads.withColumn("p", _plain("path")).drop("path")
+    return files.join(named, "p", "left").withColumn("error", empty)
+
+
+def _plain(path: str):
+    """Local paths in one spelling."""
+    return F.regexp_replace(path, r"^file:/+", "/")
 
 
 def read_tsf(
@@ -100,9 +106,7 @@ def read_tsf(
     wrong = heads.filter(F.col("error").isNotNull()).limit(1).collect()
     if wrong:
         raise ValueError(f"{wrong[0]['p']}: {wrong[0]['error']}")
-    body = lines.filter(~F.startswith(F.col("line"), F.lit("@"))).withColumn(
-        "p", F.regexp_replace("path", r"^file:/+", "/")
-    )
+    body = lines.filter(~F.startswith(F.col("line"), F.lit("@"))).withColumn("p", _plain("path"))
     # Headers hold one row per file, so Spark joins them by broadcast when they are small.
     rows = body.join(heads.drop("error"), "p").withColumn("_f", F.split("line", ":"))
     fits = F.size("_f") == F.size("attrs") + 1
