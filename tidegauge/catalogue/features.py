@@ -278,8 +278,7 @@ def amplitude_spectrum(spark, d):
 @query(f"{_base('em')}{_CWT} SELECT series_id, CAST(w AS INTEGER) AS width, idx, {r('c')} AS c FROM cw")
 def wavelet_transform(spark, d):
     sig = embedding_series(spark, d)
-    sizes = sig.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"))
-    out = wavelet(sig.select(*KEYS, "idx", "y"), KEYS, registry.WIDTHS, sizes)
+    out = wavelet(sig.select(*KEYS, "idx", "y"), KEYS, registry.WIDTHS)
     return rounded(out.select("series_id", "width", "idx", "c"), "c")
 
 

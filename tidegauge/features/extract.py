@@ -87,7 +87,7 @@ def extract(
         out.append(_long(spectral.mfcc(signal, keys, **f.params), keys, [f]))
     waves = [f for c, f in by_col.items() if c in _WAVELET]
     for widths in sorted({tuple(f.params["widths"]) for f in waves}):
-        table = spectral.wavelet_table(signal, keys, widths, sizes)
+        table = spectral.wavelet_table(signal, keys, widths)
         out.append(_long(table, keys, [f for f in waves if tuple(f.params["widths"]) == widths]))
     if "entropy" in by_col:
         f = by_col.pop("entropy")

@@ -29,6 +29,15 @@ def bin_frequency(k: Column, n: Column, fs: float) -> Column:
     return k * (1.0 / (n * (1.0 / fs)))
 
 
+def nearest_bin(freq: float, n: Column, fs: float) -> Column:
+    """Bin whose frequency is nearest to ``freq``, the lower one of two."""
+    top = F.floor(n / 2)
+    near = F.floor(freq * n / fs)
+    tried = [F.least(F.greatest(near + d, F.lit(0).cast("bigint")), top) for d in (-1, 0, 1, 2)]
+    best = F.least(*[F.struct(F.abs(freq - bin_frequency(k, n, fs)).alias("d"), k.alias("k")) for k in tried])
+    return best["k"]
+
+
 def bin_profile(prof: GroupProfile) -> GroupProfile:
     return GroupProfile(prof.rows // 2 + 1, prof.longest // 2 + 1)
 
@@ -63,6 +72,7 @@ def spectral_table(signal: DataFrame, keys: list[str], fs: float, prof: GroupPro
     up, down = F.col("m") - F.col("m_prev"), F.col("m_next") - F.col("m")
     tail = F.col("k") >= 1
     bins = bins.withColumns({"_p": p, "_share": share, "_d2": dev2})
+    human = (F.col("k") >= nearest_bin(0.6, n, fs)) & (F.col("k") < nearest_bin(2.5, n, fs))
     first = lambda cond: F.min(F.when(cond, F.col("f")))
     agg = bins.groupBy(*keys).agg(
         F.max("n").alias("n"),
@@ -70,8 +80,8 @@ def spectral_table(signal: DataFrame, keys: list[str], fs: float, prof: GroupPro
         F.max("sm").alias("sm"), F.max("sfm").alias("sfm"),
         F.sum("f").alias("sf"), F.sum(F.col("f") * F.col("f")).alias("sff"),
         F.sum(F.col("m") * F.col("m")).alias("smm"),
-        F.min_by("k", F.struct(F.abs(0.6 - F.col("f")), "k")).alias("k_low"),
-        F.min_by("k", F.struct(F.abs(2.5 - F.col("f")), "k")).alias("k_high"),
+        F.coalesce(F.sum(F.when(human, F.col("m") * F.col("m"))), F.lit(0.0)).alias("human"),
+        F.max("var").alias("var"),
         F.max("pw").alias("pw_max"), F.max("spw").alias("spw"),
         first(F.col("cm") > F.col("sm") * 0.95).alias("maximum"),
         first(F.col("cm") > F.col("sm") * 0.5).alias("median"),
@@ -92,14 +102,6 @@ def spectral_table(signal: DataFrame, keys: list[str], fs: float, prof: GroupPro
         F.coalesce(F.sum(F.when(tail, F.col("m") * F.col("m"))), F.lit(0.0)).alias("sq_tail"),
         F.coalesce(F.sum(F.when(F.col("m_next").isNotNull(), F.col("m") * F.col("m"))), F.lit(0.0)).alias("sq_head"),
     )
-    var = signal.groupBy(*keys).agg(F.var_pop("y").alias("var"))
-    # Energy of the human range needs the two bin numbers found above.
-    edges = agg.select(*keys, "k_low", "k_high")
-    human = (
-        bins.select(*keys, "k", "m").join(edges, keys)
-        .groupBy(*keys)
-        .agg(F.coalesce(F.sum(F.when((F.col("k") >= F.col("k_low")) & (F.col("k") < F.col("k_high")), F.col("m") * F.col("m"))), F.lit(0.0)).alias("human"))
-    )
     nb, sm = F.col("nb"), F.col("sm")
     den = nb * F.col("sff") - F.col("sf") * F.col("sf")
     spread = F.sqrt("v2")
@@ -108,9 +110,7 @@ def spectral_table(signal: DataFrame, keys: list[str], fs: float, prof: GroupPro
         -F.try_divide(F.col("plogp"), F.log2(F.when(F.col("np") > 1, F.col("np"))))
     )
     return (
-        agg.join(var, keys)
-        .join(human, keys)
-        .select(
+        agg.select(
             *keys,
             F.coalesce("maximum", F.lit(0.0)).alias("max_frequency"),
             F.coalesce("median", F.lit(0.0)).alias("median_frequency"),
@@ -165,10 +165,10 @@ def fundamental_frequency(signal: DataFrame, keys: list[str], fs: float, prof: G
     )
 
 
-def wavelet_table(signal: DataFrame, keys: list[str], widths: tuple[int, ...], sizes: DataFrame) -> DataFrame:
+def wavelet_table(signal: DataFrame, keys: list[str], widths: tuple[int, ...]) -> DataFrame:
     """Mean, energy, deviation and variance per wavelet width, and their entropy."""
     c = F.col("c")
-    per = wavelet(signal, keys, widths, sizes).groupBy(*keys, "width").agg(
+    per = wavelet(signal, keys, widths).groupBy(*keys, "width").agg(
         F.abs(F.avg(c)).alias("a"), F.sqrt(F.avg(c * c)).alias("e"),
         F.stddev_pop(c).alias("s"), F.var_pop(c).alias("v"), F.sum(F.abs(c)).alias("t"),
     )

@@ -37,7 +37,10 @@ def _spectra(signals: pd.Series) -> pd.DataFrame:
 
 
 def spectrum(signal: DataFrame, keys: list[str], prof: GroupProfile) -> DataFrame:
-    """Bins of each signal: ``n, k, m, dm, pw``; frequency is ``k * fs / n``."""
+    """Bins of each signal: ``n, var, k, m, dm, pw``; frequency is ``k * fs / n``.
+
+    ``n`` and ``var`` (population variance) repeat on every bin of a signal.
+    """
     limit = bound(signal.sparkSession, MAX_GROUP_ROWS)
     if prof.longest <= limit:
         return _short_spectrum(signal, keys)
@@ -48,10 +51,14 @@ def spectrum(signal: DataFrame, keys: list[str], prof: GroupProfile) -> DataFram
 
 
 def _short_spectrum(signal: DataFrame, keys: list[str]) -> DataFrame:
-    packed = gather(signal, keys, "idx", "y").withColumn("_s", _spectra("x"))
+    packed = signal.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct(F.col("idx").alias("p"), F.col("y").alias("v")))).alias("_x"),
+        F.var_pop("y").alias("var"),
+    )
+    done = packed.withColumn("_s", _spectra("_x.v"))
     bins = F.posexplode(F.arrays_zip("_s.m", "_s.dm", "_s.pw")).alias("k", "_b")
-    return packed.select(*keys, F.size("x").cast("bigint").alias("n"), bins).select(
-        *keys, "n", F.col("k").cast("bigint").alias("k"), "_b.m", "_b.dm", "_b.pw"
+    return done.select(*keys, F.size("_x").cast("bigint").alias("n"), "var", bins).select(
+        *keys, "n", "var", F.col("k").cast("bigint").alias("k"), "_b.m", "_b.dm", "_b.pw"
     )
 
 
@@ -61,7 +68,9 @@ def _long_spectrum(signal: DataFrame, keys: list[str]) -> DataFrame:
     The raw spectrum differs from the centred one in bin 0 only, and the
     Hann-windowed one is a three-term difference of centred bins.
     """
-    means = signal.groupBy(*keys).agg(F.avg("y").alias("mean"), F.sum("y").alias("total"))
+    means = signal.groupBy(*keys).agg(
+        F.avg("y").alias("mean"), F.sum("y").alias("total"), F.var_pop("y").alias("var")
+    )
     centred = signal.join(means, keys).withColumns(
         {"re": F.col("y") - F.col("mean"), "im": F.lit(0.0)}
     )
@@ -82,8 +91,8 @@ def _long_spectrum(signal: DataFrame, keys: list[str]) -> DataFrame:
     bins = bins.groupBy(*keys, "n", "k").agg(
         F.sum("re").alias("re"), F.sum("im").alias("im"), F.max("dm").alias("dm")
     )
-    return bins.join(means.select(*keys, "total"), keys).select(
-        *keys, "n", "k", F.when(F.col("k") == 0, F.abs("total")).otherwise(F.col("dm")).alias("m"), "dm",
+    return bins.join(means.select(*keys, "total", "var"), keys).select(
+        *keys, "n", "var", "k", F.when(F.col("k") == 0, F.abs("total")).otherwise(F.col("dm")).alias("m"), "dm",
         (F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("pw"),
     )
 
@@ -198,13 +207,13 @@ def _convolver(widths: tuple[int, ...], drop: list[str]):
     return run
 
 
-def wavelet(
-    signal: DataFrame, keys: list[str], widths: tuple[int, ...], sizes: DataFrame
-) -> DataFrame:
+def wavelet(signal: DataFrame, keys: list[str], widths: tuple[int, ...]) -> DataFrame:
     """Continuous wavelet transform with the Ricker wavelet: ``width, idx, c``.
 
     A kernel reaches at most ``5 * max(widths)`` points to each side, so signals
-    are cut into chunks that carry that many points of their neighbours.
+    are cut into chunks that carry that many points of their neighbours.  The
+    kernel is as long as the signal where that is shorter than ten widths; such
+    a signal lies whole in chunk 0, so its length is the length of the chunk.
     """
     reach = 5 * max(widths)
     size = max(bound(signal.sparkSession, CHUNK_ROWS), 2 * reach)
@@ -214,11 +223,12 @@ def wavelet(
         F.array(own, F.when((off < reach) & (own > 0), own - 1), F.when(off >= size - reach, own + 1))
     )
     placed = signal.select(*keys, "idx", "y", F.explode(chunks).alias("_chunk"))
-    packed = gather_span(placed, [*keys, "_chunk"]).join(sizes.select(*keys, "n"), keys)
+    packed = gather_span(placed, [*keys, "_chunk"])
     start = F.col("_chunk") * size
-    count = F.least(F.lit(size), F.col("n") - start)
+    count = F.least(F.lit(size).cast("bigint"), F.col("lo") + F.size("x") - start)
+    length = F.when(F.col("_chunk") == 0, F.size("x")).otherwise(F.lit(2 * reach))
     packed = packed.filter(count > 0).select(
-        *keys, start.alias("start"), "x", "n", (start - F.col("lo")).alias("skip"), count.alias("count")
+        *keys, start.alias("start"), "x", length.alias("n"), (start - F.col("lo")).alias("skip"), count.alias("count")
     )
     extra = [StructField("width", IntegerType()), StructField("c", VECTOR)]
     schema = StructType([packed.schema[k] for k in [*keys, "start"]] + extra)
