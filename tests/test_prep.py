@@ -259,3 +259,23 @@ def test_prediction_inputs(spark):
     r = builders.prediction_inputs(s, 6, 3, "15min", scale=False).collect()
     assert len(r) == 1 and list(r[0].x) == [44.0, 45.0, 46.0, 47.0, 48.0, 49.0]
     assert [t.minute for t in r[0].future_ts] == [15, 30, 45] and [m[-1] for m in r[0].y_mark] == [1.0, 2.0, 3.0]
+
+
+@pytest.mark.parametrize("kind,per_hour", [("hour", 1), ("quarter", 4)])
+def test_calendar_borders(spark, kind, per_hour):
+    m = 30 * 24 * per_hour
+    n = 20 * m + 37
+    s = spark.range(n).select(
+        F.lit("ETT").alias("dataset"), F.lit("OT").alias("series_id"), F.col("id").alias("idx"),
+        F.expr(f"timestamp_ntz'2016-07-01 00:00:00' + make_interval(0, 0, 0, 0, 0, cast(id * {60 // per_hour} as int))").alias("ts"),
+        F.sin(F.col("id") / 7.0).alias("y"),
+    )
+    out = builders.marked_samples(s, kind, 24, 12)
+    got = {r.split: r["count"] for r in out.groupBy("split").count().collect()}
+    assert got == {"train": 12 * m - 35, "val": 4 * m - 11, "test": 4 * m - 11}
+    y = np.sin(np.arange(n) / 7.0)
+    mu, sd = y[: 12 * m].mean(), y[: 12 * m].std()
+    r = out.filter("split = 'val' and off = 5").first()
+    assert np.allclose(r.x, (y[12 * m - 19 : 12 * m + 5] - mu) / sd)
+    hours = [((12 * m - 19 + i) // per_hour) % 24 for i in range(24)]
+    assert [int(v[3]) for v in r.x_mark] == hours and len(r.x_mark[0]) == (5 if per_hour == 4 else 4)

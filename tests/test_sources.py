@@ -92,8 +92,9 @@ def test_wide_csv(spark, tmp_path):
 
 def test_csv_scan_reads_only_the_target(spark, tmp_path):
     (tmp_path / "w.csv").write_text("date,a,OT\n2020-01-01,1,2\n")
-    s = files.select_series(files.read_wide_csv(spark, str(tmp_path / "w.csv")), "S", "OT")
+    s = files.select_series(files.read_wide_csv(spark, str(tmp_path / "w.csv"), only=["OT"]), "S", "OT")
     assert [r.y for r in s.collect()] == [2.0]
+    assert "ReadSchema: struct<date:string,OT:string>" in s._jdf.queryExecution().toString()
     with pytest.raises(ValueError):
         files.select_series(s, "X")
 

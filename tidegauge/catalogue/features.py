@@ -324,10 +324,12 @@ def features_whole_series(spark, d):
 @query(f"{_base('ev')} SELECT dataset, series_id, 14 AS expected, 14 AS outputs FROM nn")
 def feature_count(spark, d):
     """Outputs per series beside the width the catalogue announces."""
-    chosen = registry.select("temporal")
-    want = registry.feature_count(registry.catalogue(spark, chosen)).select(F.col("n_features").cast("int").alias("expected"), F.lit(1).alias("_k"))
-    got = extract(events_series(spark, d), KEYS, domain="temporal").groupBy(*KEYS).agg(F.count("value").cast("int").alias("outputs"))
-    return got.withColumn("_k", F.lit(1)).join(F.broadcast(want), "_k").drop("_k")
+    cat = registry.catalogue(spark, registry.select("temporal"))
+    got = extract(events_series(spark, d), KEYS, domain="temporal").groupBy(*KEYS, "feature").agg(F.count("value").alias("got"))
+    both = got.join(F.broadcast(cat.filter("use").select("feature", "n_features")), "feature")
+    return both.groupBy(*KEYS).agg(
+        F.sum("n_features").cast("int").alias("expected"), F.sum("got").cast("int").alias("outputs")
+    )
 
 
 _CORR = {"Max": "max(y)", "Mean": "avg(y)", "Min": "min(y)", "Median": "median(y)", "Standard deviation": "stddev_pop(y)",

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.features.spectrum import segment_spectrum, spectrum, wavelet
-from tidegauge.functions.types import VECTOR
+from tidegauge.functions.types import VECTOR, once
 from tidegauge.operators.order import (
     GroupProfile,
     fits,
@@ -221,6 +221,9 @@ def _power_bins(signals: pd.Series, pre: pd.Series, nfft: pd.Series) -> pd.Serie
     return pd.Series(out)
 
 
+_power_bins = once(_power_bins)
+
+
 def mfcc(
     signal: DataFrame, keys: list[str], fs: float, pre_emphasis: float = 0.97, nfft: int = 512,
     nfilt: int = 40, num_ceps: int = 12, cep_lifter: int = 22,
@@ -252,21 +255,14 @@ def filter_energies(
         F.array_sort(F.collect_list(F.struct(F.col("idx").alias("p"), F.col("y").alias("v")))).alias("_s")
     )
     power = packed.withColumn("_p", _power_bins("_s.v", F.lit(pre_emphasis), F.lit(nfft)))
-    bank = spark.createDataFrame(mel_filters(fs, nfft, nfilt), "mel int, k int, w double")
-    # A filter whose corner bins coincide has no weights; it still has an output.
-    every = spark.createDataFrame([(i,) for i in range(nfilt)], "mel int").join(bank, "mel", "left")
-    weights = every.groupBy("mel").agg(F.collect_list(F.struct("k", "w")).alias("_f"))
-    bands = weights.agg(F.array_sort(F.collect_list(F.struct("mel", "_f"))).alias("_bank"))
+    # A filter whose corner bins coincide has no weights; a zero weight keeps its output.
+    weights = [*mel_filters(fs, nfft, nfilt), *[(i, 0, 0.0) for i in range(nfilt)]]
+    bank = F.broadcast(spark.createDataFrame(weights, "mel int, k int, w double"))
+    bins = power.select(*keys, F.posexplode("_p").alias("k", "p"))
+    energy = bins.join(bank, "k").groupBy(*keys, "mel").agg(F.sum(F.col("p") * F.col("w")).alias("_e"))
     eps = float(np.finfo(float).eps)
-    one = power.withColumn("_one", F.lit(1)).join(F.broadcast(bands.withColumn("_one", F.lit(1))), "_one")
-    per = one.select(*keys, "_p", F.explode("_bank").alias("_b"))
-    energy = F.aggregate(
-        "_b._f", F.lit(0.0),
-        lambda a, f: a + F.coalesce(F.get(F.col("_p"), f["k"]) * f["w"], F.lit(0.0)),
-    )
-    per = per.select(*keys, F.col("_b.mel").alias("mel"), energy.alias("_e"))
     safe = F.when(F.col("_e") == 0, F.lit(eps)).otherwise(F.col("_e"))
-    return per.select(*keys, "mel", (20 * F.log10(safe)).alias("db"))
+    return energy.select(*keys, "mel", (20 * F.log10(safe)).alias("db"))
 
 
 def lag_products(signal: DataFrame, keys: list[str], lags: int, prof: GroupProfile) -> DataFrame:
@@ -307,6 +303,9 @@ def _lpc(acf: pd.Series) -> pd.Series:
     return pd.Series([_predictor(np.asarray(r)) for r in acf])
 
 
+_lpc = once(_lpc)
+
+
 @F.pandas_udf(VECTOR)
 def _cepstrum(coeffs: pd.Series) -> pd.Series:
     out = []
@@ -316,6 +315,9 @@ def _cepstrum(coeffs: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+_cepstrum = once(_cepstrum)
+
+
 def lpc(signal: DataFrame, keys: list[str], n_coeff: int, prof: GroupProfile) -> DataFrame:
     """Linear prediction coefficients; signals shorter than ``n_coeff`` have none."""
     acf = lag_products(signal, keys, n_coeff, prof).filter(F.col("n") >= n_coeff)

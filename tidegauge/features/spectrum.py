@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tidegauge.config import CHUNK_ROWS, MAX_GROUP_ROWS, bound
-from tidegauge.functions.types import VECTOR, vectors_struct
+from tidegauge.functions.types import VECTOR, once, vectors_struct
 from tidegauge.operators.order import GroupProfile, gather
 
 
@@ -36,6 +36,9 @@ def _spectra(signals: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"m": m, "dm": dm, "pw": pw})
 
 
+_spectra = once(_spectra)
+
+
 def spectrum(signal: DataFrame, keys: list[str], prof: GroupProfile) -> DataFrame:
     """Bins of each signal: ``n, var, k, m, dm, pw``; frequency is ``k * fs / n``.
 
@@ -257,6 +260,9 @@ def _segment_power(segments: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+_segment_power = once(_segment_power)
+
+
 def tukey(points: int, taper: float = 0.25) -> np.ndarray:
     """Periodic Tukey window: cosine flanks over ``taper`` of its length."""
     t = np.arange(points) / points

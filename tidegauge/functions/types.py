@@ -7,3 +7,8 @@ VECTOR = ArrayType(DoubleType())
 
 def vectors_struct(*names: str) -> StructType:
     return StructType([StructField(n, VECTOR) for n in names])
+
+
+def once(udf):
+    """Keep the optimiser from copying a costly function into inferred filters."""
+    return udf.asNondeterministic()

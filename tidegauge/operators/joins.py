@@ -10,6 +10,7 @@ from pyspark.sql.types import DoubleType
 
 from tidegauge.config import KEYS, MAX_GROUP_ROWS, bound
 from tidegauge.functions.names import clean_name
+from tidegauge.functions.types import once
 from tidegauge.operators.order import gather, profile, rank_within, with_neighbours
 
 
@@ -121,6 +122,9 @@ def _dtw(left: pd.Series, right: pd.Series) -> pd.Series:
     ])
 
 
+_dtw = once(_dtw)
+
+
 def dtw_distance(series: DataFrame, pairs: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Exact dynamic-time-warping distance of the given pairs of short series.
 

@@ -81,12 +81,8 @@ def mase(forecasts: DataFrame, history: DataFrame, freq: int, keys: list[str] =
     )
     base = lagged.agg(F.avg(F.abs(F.col("y") - F.col("_l"))).alias("_m"))
     err = forecasts.agg(F.avg(F.abs(F.col("pred") - F.col("true"))).alias("_e"))
-    one = F.lit(1).alias("_k")
-    return (
-        err.select("_e", one)
-        .join(base.select("_m", one), "_k")
-        .select((F.col("_e") / (F.col("_m") + TINY)).alias("mase"))
-    )
+    both = err.unionByName(base, allowMissingColumns=True).agg(F.max("_e").alias("_e"), F.max("_m").alias("_m"))
+    return both.select((F.col("_e") / (F.col("_m") + TINY)).alias("mase"))
 
 
 def explode_steps(windows: DataFrame, pred: str = "pred", true: str = "y", keep: list[str] = KEYS) -> DataFrame:

@@ -22,8 +22,10 @@ def at_most(df: DataFrame, group: list[str], item: list[str], k: int, seed: int
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k).drop("_rn")
 
 
-def shuffled_batches(df: DataFrame, item: list[str], batch_size: int, seed: int = 0) -> DataFrame:
-    """Shuffled sample order and fixed-size batches over the whole table."""
+def shuffled_batches(
+    df: DataFrame, item: list[str], batch_size: int, seed: int = 0, within: list[str] | None = None
+) -> DataFrame:
+    """Shuffled sample order and fixed-size batches, over the whole table or ``within`` groups."""
     keyed = df.withColumn("_d", digest(item, seed))
-    ranked = rank_within(keyed, [], ["_d", *item], "shuffle_pos")
+    ranked = rank_within(keyed, within or [], ["_d", *item], "shuffle_pos")
     return ranked.withColumn("batch_id", F.expr(f"shuffle_pos div {batch_size}")).drop("_d")

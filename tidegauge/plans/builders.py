@@ -155,11 +155,7 @@ def build(
 
 def batched_splits(samples: DataFrame, batch_size: int, seed: int = 0) -> DataFrame:
     """Shuffled order and batch numbers within the samples of each split."""
-    out = None
-    for name in ("train", "val", "test"):
-        part = shuffled_batches(samples.filter(F.col("split") == name), [*KEYS, "off"], batch_size, seed)
-        out = part if out is None else out.unionByName(part)
-    return out
+    return shuffled_batches(samples, [*KEYS, "off"], batch_size, seed, within=["split"])
 
 
 def marked_samples(

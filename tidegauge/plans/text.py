@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.functions.arrays import normalise_windows, window_statistics
-from tidegauge.functions.types import VECTOR
+from tidegauge.functions.types import VECTOR, once
 
 # Class of each public benchmark dataset.
 DATASET_CLASS = {
@@ -39,6 +39,9 @@ def _circular(windows: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+_circular = once(_circular)
+
+
 def top_lags(df: DataFrame, x: str = "x", k: int = 5, digits: int = 9) -> DataFrame:
     """The ``k`` lags of largest circular autocorrelation.
 

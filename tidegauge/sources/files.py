@@ -52,18 +52,20 @@ def _csv(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def read_wide_csv(
-    spark: SparkSession, paths: str | list[str], time_col: str | None = None, parse_time: bool = True
+    spark: SparkSession, paths: str | list[str], time_col: str | None = None, parse_time: bool = True,
+    only: list[str] | None = None,
 ) -> DataFrame:
     """Every column but the first is one series; a file is one dataset.
 
-    Files of different layouts are read one layout at a time, so columns are
-    pruned by the scan.  Rows keep their file order.
+    Files are read one by one, as their columns differ.  ``only`` names the
+    series wanted, so that the scan leaves the other columns out.  Rows keep
+    their file order.
     """
     parts = []
     for path in _paths(paths):
         raw = _csv(spark, [path])
         time = time_col or raw.columns[0]
-        values = [c for c in raw.columns if c != time]
+        values = [c for c in raw.columns if c != time and (only is None or c in only)]
         rows = raw.select(
             _dataset_of(path).alias("dataset"),
             F.col(f"`{time}`").alias("ts"),
