@@ -2,8 +2,10 @@ import math
 
 import brute
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from tidegauge.features.extract import extract, extract_windows, prune, vectors
 from tidegauge.features.registry import catalogue, feature_count, register_feature, select, unregister_feature
@@ -155,6 +157,25 @@ def test_user_feature(spark):
         unregister_feature("Ends")
 
 
+@F.pandas_udf(ArrayType(DoubleType()))
+def first_and_last(x: pd.Series) -> pd.Series:
+    return x.map(lambda v: [float(v[0]), float(v[-1])])
+
+
+def test_user_feature_over_arrays(spark):
+    register_feature("Edges", "temporal", first_and_last, size=2, over="array")
+    try:
+        x = signals()["even"]
+        got = collect(extract(table(spark, {"a": x}), KEYS, names=["Edges", "Min"]))
+        assert got[("a", "Edges")] == {0: x[0], 1: x[-1]}
+        spark.conf.set("spark.tidegauge.maxGroupRows", "16")
+        with pytest.raises(ValueError):
+            extract(table(spark, {"a": x}), KEYS, names=["Edges"])
+    finally:
+        spark.conf.unset("spark.tidegauge.maxGroupRows")
+        unregister_feature("Edges")
+
+
 def test_ecdf_slope(spark):
     x = signals()["even"]
     got = collect(extract(table(spark, {"a": x, "c": np.full(9, 2.0)}), KEYS, names=["ECDF slope"]))

@@ -269,6 +269,13 @@ def entropy_kernel_density(spark, d):
     return rounded(native.entropy_kde(events_series(spark, d), KEYS), "entropy")
 
 
+@query(f"""{_base('ev')} SELECT s.dataset, s.series_id, row_number() OVER (PARTITION BY s.series_id ORDER BY y, idx) - 1 AS i, y,
+{r('row_number() OVER (PARTITION BY s.series_id ORDER BY y, idx) / n::DOUBLE')} AS p FROM s JOIN nn USING (dataset, series_id)""")
+def ecdf_values(spark, d):
+    sig = events_series(spark, d)
+    return rounded(native.ecdf_table(sig, KEYS, profile(sig, KEYS)), "p")
+
+
 @query(f"""{_base('em')}{_DFT} SELECT series_id, k, {r('m')} AS m, {r('dm')} AS dm FROM b0""")
 def amplitude_spectrum(spark, d):
     sig = embedding_series(spark, d)

@@ -172,7 +172,7 @@ def samples_with_prompt(spark, d):
     """Strided windows with a two-number vector of the split in front."""
     parts = splits.split_lookback(events_series(spark, d), L, P)
     vec = parts.groupBy(*SK).agg(F.array(F.avg("y"), F.stddev_pop("y")).alias("prompt"))
-    w = windows.sample_windows(parts, L, P, 3, SK).join(vec, SK)
+    w = windows.sample_windows(parts, L, P, 3, SK, attach=lambda chunks: chunks.join(vec, SK))
     return _rows(windows.with_prefix(w, "prompt"), [*SK, "off"])
 
 

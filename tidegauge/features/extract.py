@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidegauge.config import KEYS
 from tidegauge.features import native, spectral
 from tidegauge.features.registry import Feature, select
-from tidegauge.operators.order import GroupProfile, profile
+from tidegauge.operators.order import GroupProfile, fits, gather, profile
 from tidegauge.operators.windows import signal_windows
 
 _WHOLE_SPECTRUM = {
@@ -61,7 +61,8 @@ def extract(
     prof = prof or profile(signal, keys)
     signal = signal.select(*keys, "idx", "y")
     by_col = {f.column: f for f in chosen if f.fn is None}
-    user = [f for f in chosen if f.fn is not None]
+    user = [f for f in chosen if f.fn is not None and f.over == "rows"]
+    arrays = [f for f in chosen if f.fn is not None and f.over == "array"]
     sizes = signal.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     out: list[DataFrame] = []
 
@@ -97,6 +98,12 @@ def extract(
         else:
             table = native.ENTROPY[prob](signal, keys)
         out.append(_long(table, keys, [f]))
+    if arrays:
+        if not fits(signal, prof):
+            raise ValueError(f"signals of {prof.longest} points are too long for {[f.name for f in arrays]}; use windows")
+        packed = gather(signal, keys, "idx", "y")
+        wide = packed.select(*keys, *[f.fn(F.col("x"), **f.params).alias(f.column) for f in arrays])
+        out.append(_long(wide, keys, arrays))
     done = _WHOLE_SPECTRUM | _WAVELET
     rest = [f for c, f in by_col.items() if c not in done]
     if rest or user:

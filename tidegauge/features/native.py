@@ -13,6 +13,7 @@ from tidegauge.operators.order import (
     GroupProfile,
     fits,
     ordered_values,
+    rank_within,
     with_neighbours,
 )
 
@@ -184,6 +185,13 @@ def derive(base: DataFrame, fs: float, percentiles: list[float], ecdf_d: int = 1
     return base.withColumns(cols)
 
 
+def ecdf_table(signal: DataFrame, keys: list[str], prof: GroupProfile) -> DataFrame:
+    """Sorted values with their empirical distribution function: ``i, y, p``."""
+    ranked = rank_within(signal.select(*keys, "idx", "y"), keys, ["y", "idx"], "i", prof)
+    sizes = signal.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return ranked.join(sizes, keys).select(*keys, "i", "y", ((F.col("i") + 1) / F.col("n")).alias("p"))
+
+
 def entropy_standard(signal: DataFrame, keys: list[str]) -> DataFrame:
     """Shannon entropy of the distinct values over log2 of the length."""
     counts = signal.groupBy(*keys, "y").agg(F.count(F.lit(1)).alias("c"))

@@ -27,6 +27,8 @@ class Feature:
     cost: str = "constant"
     use: bool = True
     fn: Callable | None = None
+    # What ``fn`` reads: "rows" (an aggregate) or "array" (the whole signal in order).
+    over: str = "rows"
 
     def outputs(self) -> int:
         if isinstance(self.size, int):
@@ -114,19 +116,25 @@ _USER: dict[str, Feature] = {}
 
 
 def register_feature(
-    name: str, domain: str, fn: Callable, tags: tuple[str, ...] = (), params: dict | None = None, size: int = 1
+    name: str, domain: str, fn: Callable, tags: tuple[str, ...] = (), params: dict | None = None, size: int = 1,
+    over: str = "rows",
 ) -> Feature:
     """Add a feature.
 
-    ``fn(**params)`` returns an aggregate Column over the columns ``idx``, ``y``,
-    ``prev`` and ``n`` (an ``array<double>`` when ``size`` is above 1).  It may
-    be any aggregate, a grouped Arrow UDF included.
+    With ``over="rows"``, ``fn(**params)`` returns an aggregate Column over the
+    columns ``idx``, ``y``, ``prev`` and ``next``; it works for signals of any
+    length.  With ``over="array"``, ``fn(x, **params)`` gets the whole signal as
+    an array Column and returns a Column, of an Arrow UDF for example; signals
+    beyond the group bound raise.  A feature with ``size`` above 1 returns
+    ``array<double>``.
     """
     if domain not in DOMAINS:
         raise ValueError(f"domain must be one of {DOMAINS}")
+    if over not in ("rows", "array"):
+        raise ValueError("over must be rows or array")
     if name in {f.name for f in (*BUILT_IN, *EXTRA)} or name in _USER:
         raise ValueError(f"feature {name} is already registered")
-    _USER[name] = Feature(name, domain, name, tags, params or {}, size, fn=fn)
+    _USER[name] = Feature(name, domain, name, tags, params or {}, size, fn=fn, over=over)
     return _USER[name]
 
 
