@@ -121,6 +121,7 @@ def _native(signal, keys, prof, rest, user, param) -> DataFrame:
     base = native.base_table(
         signal, keys, prof, fs, points, param("neighbourhood_peaks", "n", 10),
         param("hist", "nbins", 10), float(param("hist", "r", 1.0)), user,
+        wanted={f.column for f in rest},
     )
     wide = native.derive(base, fs, points, param("ecdf", "d", 10), slope)
     for col in ("ecdf_percentile", "ecdf_percentile_count"):

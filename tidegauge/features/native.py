@@ -110,8 +110,13 @@ def _pick(array: str, rank: Column) -> Column:
 def base_table(
     signal: DataFrame, keys: list[str], prof: GroupProfile, fs: float, percentiles: list[float],
     reach: int = 10, hist_bins: int = 10, hist_range: float = 1.0, user: list[Feature] = (),
+    wanted: set[str] | None = None,
 ) -> DataFrame:
-    """One row per group with every aggregate and order statistic the features use."""
+    """One row per group with every aggregate and order statistic the features use.
+
+    Catalyst prunes what is not read afterwards; the sorts of long groups run at
+    once, so ``wanted`` (feature functions) tells which of them to leave out.
+    """
     rows = neighbour_columns(signal, keys, reach, prof).withColumn("_dy", F.col("y") - F.col("prev"))
     rows = rows.withColumn("_ady", F.abs("_dy"))
     aggs = _aggregates(fs, hist_bins, hist_range)
@@ -136,18 +141,32 @@ def base_table(
         mad = F.aggregate("sy", F.lit(0.0), lambda a, v: a + F.abs(v - F.col("calc_mean"))) / F.col("n")
         return base.withColumn("mean_abs_deviation", mad).drop("sy", "s_dy", "s_ady", "sdev")
     base = rows.groupBy(*keys).agg(*named)
-    for col, wanted in ranks.items():
-        base = base.join(
-            ordered_values(rows, keys, col, "idx", wanted, base, prof), keys, "left"
-        )
+    for col, asked in ranks.items():
+        if wanted is None or wanted & _SORTED[col]:
+            found = ordered_values(rows, keys, col, "idx", asked, base, prof)
+            base = base.join(found, keys, "left")
+        else:
+            base = base.withColumns({k: F.lit(None).cast("double") for k in asked})
     base = base.withColumn("calc_median", _lerp("q50", 0.5))
-    off = signal.select(*keys, "idx", "y").join(base.select(*keys, "calc_median", "calc_mean"), keys)
-    off = off.withColumns(
-        {"_d": F.abs(F.col("y") - F.col("calc_median")), "_m": F.abs(F.col("y") - F.col("calc_mean"))}
-    )
-    spread = off.groupBy(*keys).agg(F.avg("_m").alias("mean_abs_deviation"))
-    mid = ordered_values(off, keys, "_d", "idx", _quantile_ranks("md", 0.5), base, prof)
-    return base.join(spread, keys).join(mid, keys)
+    plain = signal.select(*keys, "idx", "y")
+    if wanted is None or "mean_abs_deviation" in wanted:
+        off = plain.join(base.select(*keys, "calc_mean"), keys)
+        base = base.join(off.groupBy(*keys).agg(F.avg(F.abs(F.col("y") - F.col("calc_mean"))).alias("mean_abs_deviation")), keys)
+    else:
+        base = base.withColumn("mean_abs_deviation", F.lit(None).cast("double"))
+    if wanted is None or "median_abs_deviation" in wanted:
+        off = plain.join(base.select(*keys, "calc_median"), keys)
+        off = off.withColumn("_d", F.abs(F.col("y") - F.col("calc_median")))
+        return base.join(ordered_values(off, keys, "_d", "idx", _quantile_ranks("md", 0.5), base, prof), keys)
+    return base.withColumns({k: F.lit(None).cast("double") for k in _quantile_ranks("md", 0.5)})
+
+
+# Features that need each sorted column.
+_SORTED = {
+    "y": {"calc_median", "interq_range", "ecdf_percentile", "median_abs_deviation", "ecdf_slope"},
+    "_dy": {"median_diff"},
+    "_ady": {"median_abs_diff"},
+}
 
 
 def derive(base: DataFrame, fs: float, percentiles: list[float], ecdf_d: int = 10,

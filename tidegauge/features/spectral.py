@@ -6,16 +6,16 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.features.spectrum import segment_spectrum, spectrum, wavelet
 from tidegauge.functions.types import VECTOR, once
 from tidegauge.operators.order import (
     GroupProfile,
-    fits,
     rank_within,
     running_sum,
+    whole_window,
     with_neighbours,
     with_totals,
 )
@@ -143,26 +143,22 @@ def fundamental_frequency(signal: DataFrame, keys: list[str], fs: float, prof: G
     """
     bp = bin_profile(prof)
     bins = spectrum(signal, keys, prof).select(*keys, "n", "k", F.col("dm").alias("m"))
-    peak = bins.groupBy(*keys).agg(F.max("m").alias("top"), F.max("n").alias("n"))
+    bins = with_totals(bins, keys, {"top": F.max("m")}, bp)
     starts = with_neighbours(bins, keys, "k", 1, lambda w: {"_b": F.lag("m").over(w)}, bp)
-    starts = starts.filter(F.col("_b").isNull() | (F.col("_b") != F.col("m"))).select(*keys, "k", "m")
-    if not fits(signal, bp):
-        starts = rank_within(starts, keys, ["k"], "_r", bp)
-    else:
-        w = Window.partitionBy(*keys).orderBy("k")
-        starts = starts.withColumn("_r", F.row_number().over(w).cast("bigint") - 1)
+    starts = starts.filter(F.col("_b").isNull() | (F.col("_b") != F.col("m"))).drop("_b")
+    pos = "k"
+    if not whole_window(signal, 1, bp):
+        # Chunks need positions without holes.
+        starts, pos = rank_within(starts, keys, ["k"], "_r", bp), "_r"
     runs = with_neighbours(
-        starts, keys, "_r", 1,
+        starts, keys, pos, 1,
         lambda w: {"_p": F.lag("m").over(w), "_q": F.lead("m").over(w), "_nk": F.lead("k").over(w)}, bp,
     )
-    hits = runs.join(peak, keys).filter(
-        (F.col("_p") < F.col("m")) & (F.col("_q") < F.col("m")) & (F.col("m") >= F.col("top") * 0.3)
-    )
+    m = F.col("m")
+    hit = (F.col("_p") < m) & (F.col("_q") < m) & (m >= F.col("top") * 0.3)
     mid = F.floor((F.col("k") + F.col("_nk") - 1) / 2)
-    low = hits.groupBy(*keys).agg(F.min(bin_frequency(mid, F.col("n").cast("double"), fs)).alias("f0"))
-    return peak.join(low, keys, "left").select(
-        *keys, F.coalesce("f0", F.lit(0.0)).alias("fundamental_frequency")
-    )
+    low = F.min(F.when(hit, bin_frequency(mid, F.col("n").cast("double"), fs)))
+    return runs.groupBy(*keys).agg(F.coalesce(low, F.lit(0.0)).alias("fundamental_frequency"))
 
 
 def wavelet_table(signal: DataFrame, keys: list[str], widths: tuple[int, ...]) -> DataFrame:

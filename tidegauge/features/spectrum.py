@@ -19,6 +19,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from tidegauge.config import CHUNK_ROWS, MAX_GROUP_ROWS, bound
 from tidegauge.functions.types import VECTOR, once, vectors_struct
 from tidegauge.operators.order import GroupProfile, gather
+from tidegauge.session import cut_lineage
 
 
 @F.pandas_udf(vectors_struct("m", "dm", "pw"))
@@ -50,7 +51,8 @@ def spectrum(signal: DataFrame, keys: list[str], prof: GroupProfile) -> DataFram
     sizes = signal.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     short = signal.join(sizes.filter(F.col("n") <= limit).select(*keys), keys, "left_semi")
     long = signal.join(sizes.filter(F.col("n") > limit), keys)
-    return _short_spectrum(short, keys).unionByName(_long_spectrum(long, keys))
+    # Several passes read the bins; a distributed transform is worth keeping.
+    return cut_lineage(_short_spectrum(short, keys).unionByName(_long_spectrum(long, keys)))
 
 
 def _short_spectrum(signal: DataFrame, keys: list[str]) -> DataFrame:
@@ -78,7 +80,7 @@ def _long_spectrum(signal: DataFrame, keys: list[str]) -> DataFrame:
         {"re": F.col("y") - F.col("mean"), "im": F.lit(0.0)}
     )
     dft = long_dft(centred.select(*keys, "n", F.col("idx").alias("j"), "re", "im"), keys)
-    half = dft.filter(F.col("k") <= F.expr("n div 2") + 1)
+    half = cut_lineage(dft.filter(F.col("k") <= F.expr("n div 2") + 1))
     # Bin k of the windowed signal is X[k]/2 - X[k-1]/4 - X[k+1]/4, with X[-1] the conjugate of X[1].
     weight = F.element_at(F.array(F.lit(-0.25), F.lit(0.5), F.lit(-0.25)), F.col("s") + 2)
     spread = half.withColumn("s", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))))

@@ -83,6 +83,15 @@ def _rank_by_range(df, keys, order, out, prof) -> DataFrame:
     )
 
 
+def _chunk_size(df: DataFrame, halo: int) -> int:
+    return max(bound(df.sparkSession, CHUNK_ROWS), 2 * halo + 1)
+
+
+def whole_window(df: DataFrame, halo: int, prof: GroupProfile) -> bool:
+    """Whether ``with_neighbours`` leaves groups uncut; then ``pos`` may have holes."""
+    return prof.longest <= _chunk_size(df, halo)
+
+
 def with_neighbours(
     df: DataFrame,
     keys: list[str],
@@ -93,12 +102,12 @@ def with_neighbours(
 ) -> DataFrame:
     """Add columns that look at most ``halo`` positions away.
 
-    Short groups use one window per group.  Otherwise a group is cut into chunks
-    and the rows near a cut are copied to the chunk on its other side.
+    Short groups use one window per group.  Otherwise ``pos`` must be dense: a
+    group is cut into chunks and the rows near a cut are copied to the chunk on
+    its other side.
     """
-    spark = df.sparkSession
-    size = max(bound(spark, CHUNK_ROWS), 2 * halo + 1)
-    if prof.longest <= size:
+    size = _chunk_size(df, halo)
+    if whole_window(df, halo, prof):
         return df.withColumns(build(Window.partitionBy(*keys).orderBy(pos)))
     chunk = F.expr(f"`{pos}` div {size}")
     off = F.col(pos) % size
