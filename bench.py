@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.config import KEYS, PrepConfig
 from tidegauge.features.extract import extract, extract_windows
+from tidegauge.features.registry import select
 from tidegauge.operators import metrics
 from tidegauge.operators.splits import split_lookback, split_plain
 from tidegauge.operators.windows import sample_windows
@@ -26,8 +27,8 @@ def windowing(s):
 
 
 def native_features(s):
-    sig = supplier_series(s, SF_DIR)
-    return extract(sig, KEYS, domain="temporal").unionByName(extract(sig, KEYS, domain="statistical"))
+    names = [f.name for f in (*select("temporal"), *select("statistical"))]
+    return extract(supplier_series(s, SF_DIR), KEYS, names=names)
 
 
 def spectral_features(s):

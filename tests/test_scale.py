@@ -8,7 +8,9 @@ from tidegauge.features.spectrum import long_dft, spectrum
 from tidegauge.operators.joins import merge_sensors
 from tidegauge.operators.order import profile, rank_within, running_sum, with_neighbours, with_totals
 from tidegauge.operators.sampling import at_most, shuffled_batches
-from tidegauge.operators.windows import global_sample_ids, sample_windows
+from tidegauge.operators.scaling import fit_scaler, scale
+from tidegauge.operators.splits import split_lookback
+from tidegauge.operators.windows import global_sample_ids, sample_windows, signal_windows
 
 KEYS = ["dataset", "series_id"]
 SETTINGS = ["spark.tidegauge.maxGroupRows", "spark.tidegauge.chunkRows", "spark.tidegauge.windowChunk"]
@@ -89,6 +91,36 @@ def test_sample_windows_do_not_depend_on_chunks(spark):
         assert len(a) == sum(max(0, (n - 7) // stride + 1) if n >= 7 else 0 for n in (400, 60, 17, 1))
 
 
+def test_splits_and_scaling_of_hot_series(spark):
+    s = skewed(spark).withColumn("ts", F.lit(None).cast("timestamp_ntz"))
+
+    def run():
+        parts = split_lookback(s, 6, 2)
+        return sample_windows(scale(parts, fit_scaler(s)), 6, 2, 5, ["split", *KEYS]).withColumn("x", F.transform("x", lambda v: F.round(v, 9))).withColumn("y", F.transform("y", lambda v: F.round(v, 9)))
+
+    a, b = both(spark, run)
+    assert a == b and {r[0] for r in b} == {"train", "val", "test"}
+
+
+def test_signal_windows_of_hot_series(spark):
+    s = skewed(spark)
+    a, b = both(spark, lambda: signal_windows(s, 8, 0.5))
+    assert a == b and len(a) == 8 * sum((n - 8) // 4 + 1 for n in (400, 60, 17))
+
+
+def test_hot_joins_are_split(spark):
+    """The long plan joins on a block of the position and regroups by chunk."""
+    s = skewed(spark)
+    spark.conf.set("spark.tidegauge.maxGroupRows", "16")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = scale(s, fit_scaler(s))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.tidegauge.maxGroupRows")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "_block" in plan.split("SortMergeJoin")[1].split("\n")[0]
+
+
 def test_sample_ids(spark):
     s = skewed(spark)
     a, b = both(spark, lambda: global_sample_ids(sample_windows(s, 5, 2, 3), 3).drop("x", "y"))

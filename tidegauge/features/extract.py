@@ -78,7 +78,7 @@ def extract(
         out.append(_long(spectral.fundamental_frequency(signal, keys, f.params["fs"], prof), keys, [f]))
     if "fft_mean_coeff" in by_col:
         f = by_col.pop("fft_mean_coeff")
-        table = spectral.fft_mean_coeff(signal, keys, f.params["nfreq"], f.params["fs"], sizes)
+        table = spectral.fft_mean_coeff(signal, keys, f.params["nfreq"], f.params["fs"], sizes, prof)
         out.append(_long(table, keys, [f]))
     if "lpcc" in by_col:
         f = by_col.pop("lpcc")

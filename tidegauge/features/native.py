@@ -12,6 +12,7 @@ from tidegauge.features.registry import Feature
 from tidegauge.operators.order import (
     GroupProfile,
     fits,
+    join_groups,
     ordered_values,
     rank_within,
     with_neighbours,
@@ -150,12 +151,12 @@ def base_table(
     base = base.withColumn("calc_median", _lerp("q50", 0.5))
     plain = signal.select(*keys, "idx", "y")
     if wanted is None or "mean_abs_deviation" in wanted:
-        off = plain.join(base.select(*keys, "calc_mean"), keys)
+        off = join_groups(plain, base.select(*keys, "calc_mean"), keys, prof)
         base = base.join(off.groupBy(*keys).agg(F.avg(F.abs(F.col("y") - F.col("calc_mean"))).alias("mean_abs_deviation")), keys)
     else:
         base = base.withColumn("mean_abs_deviation", F.lit(None).cast("double"))
     if wanted is None or "median_abs_deviation" in wanted:
-        off = plain.join(base.select(*keys, "calc_median"), keys)
+        off = join_groups(plain, base.select(*keys, "calc_median"), keys, prof)
         off = off.withColumn("_d", F.abs(F.col("y") - F.col("calc_median")))
         return base.join(ordered_values(off, keys, "_d", "idx", _quantile_ranks("md", 0.5), base, prof), keys)
     return base.withColumns({k: F.lit(None).cast("double") for k in _quantile_ranks("md", 0.5)})
@@ -208,7 +209,7 @@ def ecdf_table(signal: DataFrame, keys: list[str], prof: GroupProfile) -> DataFr
     """Sorted values with their empirical distribution function: ``i, y, p``."""
     ranked = rank_within(signal.select(*keys, "idx", "y"), keys, ["y", "idx"], "i", prof)
     sizes = signal.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return ranked.join(sizes, keys).select(*keys, "i", "y", ((F.col("i") + 1) / F.col("n")).alias("p"))
+    return join_groups(ranked, sizes, keys, prof).select(*keys, "i", "y", ((F.col("i") + 1) / F.col("n")).alias("p"))
 
 
 def entropy_standard(signal: DataFrame, keys: list[str]) -> DataFrame:
@@ -229,7 +230,7 @@ def entropy_gauss(signal: DataFrame, keys: list[str]) -> DataFrame:
     a long series is as spread out as the series.
     """
     stats = _grid_stats(signal, keys)
-    g = signal.select(*keys, "idx").join(stats, keys).withColumn("_x", grid_point())
+    g = join_groups(signal.select(*keys, "idx"), stats, keys).withColumn("_x", grid_point())
     z = (F.col("_x") - F.col("mean")) / F.col("std")
     return _entropy_of_density(
         g.filter("std > 0").withColumn("_p", F.exp(-0.5 * z * z)), stats, keys
@@ -278,7 +279,7 @@ def entropy_kde(signal: DataFrame, keys: list[str]) -> DataFrame:
         "h", F.col("std1") * F.pow(F.col("n") * 0.75, F.lit(-0.2))
     )
     live = stats.filter("std > 0")
-    rows = signal.select(*keys, "idx", "y").join(live, keys)
+    rows = join_groups(signal.select(*keys, "idx", "y"), live, keys)
     u = (F.col("y") - F.col("lo")) / (F.col("h") * 0.5)
     b = F.floor(u)
     d = (u - b - 0.5) * (0.5 / np.sqrt(2.0))

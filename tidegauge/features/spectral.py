@@ -13,6 +13,7 @@ from tidegauge.features.spectrum import segment_spectrum, spectrum, wavelet
 from tidegauge.functions.types import VECTOR, once
 from tidegauge.operators.order import (
     GroupProfile,
+    join_groups,
     rank_within,
     running_sum,
     whole_window,
@@ -63,7 +64,7 @@ def spectral_table(signal: DataFrame, keys: list[str], fs: float, prof: GroupPro
             "sm": F.sum("m"), "sfm": F.sum(F.col("f") * F.col("m")), "spw": F.sum("pw"),
             "sd2": F.sum(F.col("dm") * F.col("dm")), "m0": F.max(F.when(F.col("k") == 0, F.col("m"))),
         },
-        bp,
+        bp, "k",
     )
     p = F.col("dm") * F.col("dm") / F.when(F.col("sd2") != 0, F.col("sd2"))
     dev = F.col("f") - _ratio(F.col("sfm"), F.col("sm"))
@@ -143,7 +144,7 @@ def fundamental_frequency(signal: DataFrame, keys: list[str], fs: float, prof: G
     """
     bp = bin_profile(prof)
     bins = spectrum(signal, keys, prof).select(*keys, "n", "k", F.col("dm").alias("m"))
-    bins = with_totals(bins, keys, {"top": F.max("m")}, bp)
+    bins = with_totals(bins, keys, {"top": F.max("m")}, bp, "k")
     starts = with_neighbours(bins, keys, "k", 1, lambda w: {"_b": F.lag("m").over(w)}, bp)
     starts = starts.filter(F.col("_b").isNull() | (F.col("_b") != F.col("m"))).drop("_b")
     pos = "k"
@@ -275,7 +276,7 @@ def lag_products(signal: DataFrame, keys: list[str], lags: int, prof: GroupProfi
 def autocorrelation(signal: DataFrame, keys: list[str], lags: int, prof: GroupProfile) -> DataFrame:
     """Normalised autocorrelation of the centred signal; zeros for a constant one."""
     stats = signal.groupBy(*keys).agg(F.avg("y").alias("_mean"), F.var_pop("y").alias("_var"))
-    centred = signal.join(stats, keys).withColumn("y", F.col("y") - F.col("_mean"))
+    centred = join_groups(signal, stats, keys, prof).withColumn("y", F.col("y") - F.col("_mean"))
     acf = lag_products(centred.select(*keys, "idx", "y"), keys, lags, prof).join(stats, keys)
     den = F.col("_var") * F.col("n")
     return acf.select(
@@ -324,7 +325,10 @@ def lpcc(signal: DataFrame, keys: list[str], n_coeff: int, prof: GroupProfile) -
     return lpc(signal, keys, n_coeff, prof).select(*keys, _cepstrum("lpc").alias("lpcc"))
 
 
-def fft_mean_coeff(signal: DataFrame, keys: list[str], nfreq: int, fs: float, sizes: DataFrame) -> DataFrame:
-    per = segment_spectrum(signal, keys, nfreq, fs, sizes)
+def fft_mean_coeff(
+    signal: DataFrame, keys: list[str], nfreq: int, fs: float, sizes: DataFrame, prof: GroupProfile
+) -> DataFrame:
+    """Mean power per frequency over overlapping segments, as one array."""
+    per = segment_spectrum(signal, keys, nfreq, fs, sizes, prof)
     packed = per.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("k", "p"))).alias("_s"))
     return packed.select(*keys, F.col("_s.p").alias("fft_mean_coeff"))

@@ -18,7 +18,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tidegauge.config import CHUNK_ROWS, MAX_GROUP_ROWS, bound
 from tidegauge.functions.types import VECTOR, once, vectors_struct
-from tidegauge.operators.order import GroupProfile, gather
+from tidegauge.operators.order import GroupProfile, gather, join_groups, profile
 from tidegauge.session import cut_lineage
 
 
@@ -50,9 +50,9 @@ def spectrum(signal: DataFrame, keys: list[str], prof: GroupProfile) -> DataFram
         return _short_spectrum(signal, keys)
     sizes = signal.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     short = signal.join(sizes.filter(F.col("n") <= limit).select(*keys), keys, "left_semi")
-    long = signal.join(sizes.filter(F.col("n") > limit), keys)
+    long = join_groups(signal, sizes.filter(F.col("n") > limit), keys, prof)
     # Several passes read the bins; a distributed transform is worth keeping.
-    return cut_lineage(_short_spectrum(short, keys).unionByName(_long_spectrum(long, keys)))
+    return cut_lineage(_short_spectrum(short, keys).unionByName(_long_spectrum(long, keys, prof)))
 
 
 def _short_spectrum(signal: DataFrame, keys: list[str]) -> DataFrame:
@@ -67,7 +67,7 @@ def _short_spectrum(signal: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def _long_spectrum(signal: DataFrame, keys: list[str]) -> DataFrame:
+def _long_spectrum(signal: DataFrame, keys: list[str], prof: GroupProfile) -> DataFrame:
     """The same bins from distributed transforms of the centred signal.
 
     The raw spectrum differs from the centred one in bin 0 only, and the
@@ -76,10 +76,10 @@ def _long_spectrum(signal: DataFrame, keys: list[str]) -> DataFrame:
     means = signal.groupBy(*keys).agg(
         F.avg("y").alias("mean"), F.sum("y").alias("total"), F.var_pop("y").alias("var")
     )
-    centred = signal.join(means, keys).withColumns(
+    centred = join_groups(signal, means, keys, prof).withColumns(
         {"re": F.col("y") - F.col("mean"), "im": F.lit(0.0)}
     )
-    dft = long_dft(centred.select(*keys, "n", F.col("idx").alias("j"), "re", "im"), keys)
+    dft = long_dft(centred.select(*keys, "n", F.col("idx").alias("j"), "re", "im"), keys, prof)
     half = cut_lineage(dft.filter(F.col("k") <= F.expr("n div 2") + 1))
     # Bin k of the windowed signal is X[k]/2 - X[k-1]/4 - X[k+1]/4, with X[-1] the conjugate of X[1].
     weight = F.element_at(F.array(F.lit(-0.25), F.lit(0.5), F.lit(-0.25)), F.col("s") + 2)
@@ -96,7 +96,7 @@ def _long_spectrum(signal: DataFrame, keys: list[str]) -> DataFrame:
     bins = bins.groupBy(*keys, "n", "k").agg(
         F.sum("re").alias("re"), F.sum("im").alias("im"), F.max("dm").alias("dm")
     )
-    return bins.join(means.select(*keys, "total", "var"), keys).select(
+    return join_groups(bins, means.select(*keys, "total", "var"), keys, prof, "k").select(
         *keys, "n", "var", "k", F.when(F.col("k") == 0, F.abs("total")).otherwise(F.col("dm")).alias("m"), "dm",
         (F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("pw"),
     )
@@ -152,20 +152,21 @@ def _grid_fft(points: DataFrame, keys: list[str], inverse: bool = False) -> Data
     )
 
 
-def long_dft(points: DataFrame, keys: list[str]) -> DataFrame:
+def long_dft(points: DataFrame, keys: list[str], prof: GroupProfile | None = None) -> DataFrame:
     """Discrete Fourier transform of any length n over rows (n, j, re, im).
 
     Chirp method: X[k] = w[k] * sum_j (x[j] w[j]) conj(w)[k-j] with
     w[j] = exp(-i pi j^2 / n), a convolution done by power-of-two transforms.
     j^2 is reduced modulo 2n in integers to keep the angles exact.
     """
+    prof = prof or profile(points, keys)
     bits = F.ceil(F.log2((2 * F.col("n")).cast("double"))).cast("int")
     power = lambda b: F.expr(f"shiftleft(1L, {b})")
     shape = points.select(*keys, "n").distinct().withColumn("_b", bits)
     shape = shape.withColumns({"size": power("_b"), "rows": power("_b div 2"), "cols": power("_b - _b div 2")})
     sq = F.pmod(F.expr("cast(j as decimal(38,0)) * j"), (2 * F.col("n")).cast("decimal(38,0)"))
     angle = sq.cast("double") * math.pi / F.col("n")
-    x = points.join(shape.select(*keys, "size", "rows", "cols"), keys)
+    x = join_groups(points, shape.select(*keys, "size", "rows", "cols"), keys, prof, "j")
     c, s = F.cos(angle), F.sin(angle)
     a = x.withColumns({"re": F.col("re") * c + F.col("im") * s, "im": F.col("im") * c - F.col("re") * s})
     chirp = x.select(*keys, "n", "size", "rows", "cols", "j", c.alias("re"), s.alias("im"))
@@ -179,7 +180,7 @@ def long_dft(points: DataFrame, keys: list[str]) -> DataFrame:
         (F.col("re") * F.col("bre") - F.col("im") * F.col("bim")).alias("re"),
         (F.col("re") * F.col("bim") + F.col("im") * F.col("bre")).alias("im"),
     )
-    conv = _grid_fft(prod, keys, inverse=True).join(shape.select(*keys, "n"), keys).filter("j < n")
+    conv = join_groups(_grid_fft(prod, keys, inverse=True), shape.select(*keys, "n"), keys, prof, "j").filter("j < n")
     re, im = F.col("re") / F.col("size"), F.col("im") / F.col("size")
     return conv.select(
         *keys, "n", F.col("j").alias("k"), (re * c + im * s).alias("re"), (im * c - re * s).alias("im")
@@ -273,7 +274,7 @@ def tukey(points: int, taper: float = 0.25) -> np.ndarray:
 
 
 def segment_spectrum(
-    signal: DataFrame, keys: list[str], nfreq: int, fs: float, sizes: DataFrame
+    signal: DataFrame, keys: list[str], nfreq: int, fs: float, sizes: DataFrame, prof: GroupProfile
 ) -> DataFrame:
     """Mean power density per frequency over overlapping segments: ``k, p``.
 
@@ -284,7 +285,7 @@ def segment_spectrum(
     geo = sizes.select(*keys, "n", (half * 2 - 2).alias("seg")).filter("n >= 2")
     geo = geo.withColumn("step", F.col("seg") - F.expr("seg div 8"))
     geo = geo.withColumn("last", F.expr("(n - seg) div step"))
-    rows = signal.select(*keys, "idx", "y").join(geo.drop("n"), keys)
+    rows = join_groups(signal.select(*keys, "idx", "y"), geo.drop("n"), keys, prof)
     low = F.greatest(F.ceil((F.col("idx") - F.col("seg") + 1) / F.col("step")), F.lit(0).cast("bigint"))
     high = F.least(F.expr("idx div step"), F.col("last"))
     ids = F.explode(F.when(low <= high, F.sequence(low, F.greatest(low, high))))

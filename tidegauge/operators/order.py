@@ -83,6 +83,27 @@ def _rank_by_range(df, keys, order, out, prof) -> DataFrame:
     )
 
 
+def join_groups(
+    rows: DataFrame, table: DataFrame, keys: list[str], prof: GroupProfile | None = None, pos: str = "idx"
+) -> DataFrame:
+    """Join rows with a table of one row per group.
+
+    Where a group is longer than the bound, blocks of ``pos`` become part of the
+    join key and the table's row is repeated once per block, so that a hot group
+    is neither joined nor handed on in one task.
+    """
+    prof = prof or profile(rows, keys)
+    if fits(rows, prof):
+        return rows.join(table, keys)
+    size = bound(rows.sparkSession, MAX_GROUP_ROWS)
+    tops = rows.groupBy(*keys).agg(F.max(pos).alias("_top"))
+    spread = table.join(tops, keys).withColumn(
+        "_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"_top div {size}")))
+    )
+    blocks = rows.withColumn("_block", F.expr(f"`{pos}` div {size}"))
+    return blocks.join(spread.drop("_top"), [*keys, "_block"]).drop("_block")
+
+
 def _chunk_size(df: DataFrame, halo: int) -> int:
     return max(bound(df.sparkSession, CHUNK_ROWS), 2 * halo + 1)
 
@@ -123,6 +144,7 @@ def with_neighbours(
             )
         ),
     )
+    spread = spread.repartition(*keys, "_chunk")
     out = spread.withColumns(build(Window.partitionBy(*keys, "_chunk").orderBy(pos)))
     return out.filter(F.col("_own") == F.col("_chunk")).drop("_own", "_chunk")
 
@@ -144,7 +166,7 @@ def running_sum(
         *[F.coalesce(F.sum(f"_h_{k}").over(before), F.lit(0)).alias(f"_b_{k}") for k in sums],
     )
     inside = Window.partitionBy(*keys, "_chunk").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-    out = cut.withColumns({k: F.sum(c).over(inside) for k, c in sums.items()})
+    out = cut.repartition(*keys, "_chunk").withColumns({k: F.sum(c).over(inside) for k, c in sums.items()})
     out = out.join(heads, [*keys, "_chunk"])
     return out.withColumns({k: F.col(k) + F.col(f"_b_{k}") for k in sums}).drop(
         "_chunk", *[f"_b_{k}" for k in sums]
@@ -152,14 +174,14 @@ def running_sum(
 
 
 def with_totals(
-    df: DataFrame, keys: list[str], totals: dict[str, Column], prof: GroupProfile
+    df: DataFrame, keys: list[str], totals: dict[str, Column], prof: GroupProfile, pos: str = "idx"
 ) -> DataFrame:
     """Attach group aggregates to every row of the group."""
     if fits(df, prof):
         w = Window.partitionBy(*keys)
         return df.withColumns({k: c.over(w) for k, c in totals.items()})
     agg = df.groupBy(*keys).agg(*[c.alias(k) for k, c in totals.items()])
-    return df.join(agg, keys)
+    return join_groups(df, agg, keys, prof, pos)
 
 
 def ordered_values(
@@ -178,7 +200,7 @@ def ordered_values(
     """
     rows = df.select(*keys, value, tie).filter(F.col(value).isNotNull())
     ranked = rank_within(rows, keys, [value, tie], "_rank", prof)
-    wanted = ranked.join(sizes.select(*keys, "n"), keys)
+    wanted = join_groups(ranked, sizes.select(*keys, "n"), keys, prof, "_rank")
     return wanted.groupBy(*keys).agg(
         *[F.max(F.when(F.col("_rank") == r, F.col(value))).alias(k) for k, r in ranks.items()]
     )

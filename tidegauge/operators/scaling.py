@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.config import KEYS
+from tidegauge.operators.order import join_groups
 
 
 def fit_scaler(series: DataFrame, keys: list[str] = KEYS, value: str = "y") -> DataFrame:
@@ -24,12 +25,12 @@ def fit_on_train(split_series: DataFrame, keys: list[str] = KEYS, value: str = "
 
 
 def scale(df: DataFrame, params: DataFrame, keys: list[str] = KEYS, value: str = "y") -> DataFrame:
-    joined = df.join(params, keys)
+    joined = join_groups(df, params, keys)
     return joined.withColumn(value, (F.col(value) - F.col("mean")) / F.col("scale")).drop("mean", "scale")
 
 
 def unscale(df: DataFrame, params: DataFrame, keys: list[str] = KEYS, value: str = "y") -> DataFrame:
-    joined = df.join(params, keys)
+    joined = join_groups(df, params, keys)
     return joined.withColumn(value, F.col(value) * F.col("scale") + F.col("mean")).drop("mean", "scale")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.config import KEYS
+from tidegauge.operators.order import join_groups
 
 Bounds = dict[str, tuple[Column, Column]]
 
@@ -45,7 +46,7 @@ def split_by(
     hit = F.filter("_edges", lambda e: (F.col("idx") >= e["lo"]) & (F.col("idx") < e["hi"]))
     rest = [c for c in series.columns if c not in (*keys, "idx")]
     return (
-        series.join(edges, keys)
+        join_groups(series, edges, keys)
         .withColumn("_e", F.explode(hit))
         .select(
             *keys,

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.config import KEYS, WINDOW_CHUNK, bound
-from tidegauge.operators.order import profile, rank_within, running_sum
+from tidegauge.operators.order import join_groups, profile, rank_within, running_sum
 from tidegauge.operators.splits import lengths
 
 
@@ -124,7 +124,7 @@ def signal_windows(
     high = F.expr(f"idx div {step}")
     reached = low <= high
     ids = F.explode(F.when(reached, F.sequence(low, F.greatest(low, high))))
-    placed = series.join(lengths(series, keys), keys).withColumn("win_id", ids)
+    placed = join_groups(series, lengths(series, keys), keys).withColumn("win_id", ids)
     start = F.col("win_id") * step
     return placed.filter(start + window <= F.col("n")).select(
         *keys, "win_id", (idx - start).alias("idx"), *rest
