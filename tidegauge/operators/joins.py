@@ -11,7 +11,7 @@ from pyspark.sql.types import DoubleType
 from tidegauge.config import KEYS, MAX_GROUP_ROWS, bound
 from tidegauge.functions.names import clean_name
 from tidegauge.functions.types import once
-from tidegauge.operators.order import gather, profile, rank_within, with_neighbours
+from tidegauge.operators.order import gather, join_groups, profile, rank_within, with_neighbours
 
 
 def prompt_lookup(
@@ -70,11 +70,13 @@ def merge_sensors(sensors: DataFrame, fs: float, unit: float = 1e9, by: str = "f
     grid = grid.withColumn(
         "_step", F.when(F.col("_m") > 1, (F.col("tn") - F.col("t0")) / (F.col("_m") - 1)).otherwise(F.lit(1.0))
     )
-    ranked = rank_within(sensors, keys, ["t"], "_r")
+    prof = profile(sensors, keys)
+    ranked = rank_within(sensors, keys, ["t"], "_r", prof)
     lines = with_neighbours(
         ranked, keys, "_r", 1,
-        lambda w: {"_t": F.lead("t").over(w), "_v": F.lead("v").over(w)}, profile(sensors, keys),
-    ).join(grid, by)
+        lambda w: {"_t": F.lead("t").over(w), "_v": F.lead("v").over(w)}, prof,
+    )
+    lines = join_groups(lines, grid, [by], profile(sensors, [by]), "_r")
     place = lambda c: (F.col(c) - F.col("t0")) / F.col("_step")
     top = F.col("_m") - 1
     low = F.greatest(F.floor(place("t")) - 1, F.lit(0).cast("bigint"))

@@ -10,6 +10,7 @@ from tidegauge.operators.order import profile, with_neighbours
 
 # Fixed value: guards divisions by zero.
 TINY = 1e-8
+SALTS = 64
 
 
 def _agg(df: DataFrame, by: list[str], *cols: Column) -> DataFrame:
@@ -67,7 +68,10 @@ def corr_by_column(df: DataFrame, column: list[str], by: list[str] | None = None
     """
     by = by or []
     means = df.groupBy(*by, *column).agg(F.avg(F.col("true")).alias("_mt"), F.avg(F.col("pred")).alias("_mp"))
-    d = df.join(means, [*by, *column])
+    # The few means are repeated per salt, so that a column of many rows is joined by many tasks.
+    salted = means.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64("pred", "true"), F.lit(SALTS)).cast("int")
+    d = df.withColumn("_salt", salt).join(salted, [*by, *column, "_salt"])
     dt, dp = F.col("true") - F.col("_mt"), F.col("pred") - F.col("_mp")
     ratio = F.try_divide(F.sum(dt * dp), F.sqrt(F.sum(dt * dt * dp * dp)))
     per = d.groupBy(*by, *column).agg(ratio.alias("_r"))

@@ -11,6 +11,7 @@ from tidegauge.config import KEYS, PrepConfig
 from tidegauge.functions.arrays import tokenise
 from tidegauge.functions.calendar import fields_for, future_timestamps, plain_fields
 from tidegauge.operators.joins import dataset_index, ordinal_lookup, prompt_lookup
+from tidegauge.operators.order import join_groups
 from tidegauge.operators.sampling import shuffled_batches
 from tidegauge.operators.scaling import fit_on_train, processor
 from tidegauge.operators.splits import (
@@ -180,7 +181,7 @@ def marked_samples(
     else:
         parts = split_borders(chosen, seq_len, percent, keys)
         n7 = (F.col("n").cast("double") * 0.7).cast("bigint")
-        train = chosen.join(lengths(chosen, keys), keys).filter(F.col("idx") < n7)
+        train = join_groups(chosen, lengths(chosen, keys), keys).filter(F.col("idx") < n7)
     if scale:
         fit, transform, _ = processor("standard_scaler")
         parts = transform(parts, fit(train, keys), keys)
