@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidegauge.catalogue.base import EV, LI, OD, query, r, rnd, rounded, splits_sql, windows_sql
+from tidegauge.catalogue.base import EV, LI, OD, query, r, rnd, splits_sql, windows_sql
 from tidegauge.catalogue.prep import L, NS, P, SK, _named_sets, _rows, rows_sql
 from tidegauge.catalogue.values import _SCALE, _TOK
 from tidegauge.config import KEYS, PrepConfig
@@ -96,7 +96,7 @@ md5(dataset || '|' || series_id || '|' || off || '|5'), dataset, series_id, off)
 SELECT split, dataset, series_id, off, shuffle_pos, shuffle_pos // 32 AS batch_id FROM s""")
 def build_batches(spark, d):
     ev = events_series(spark, d)
-    w = builders._cut(builders.scaled_splits(ev, CFG), CFG, builders.TRAIN, builders._strides(CFG))
+    w = builders.cut_samples(builders.scaled_splits(ev, CFG), CFG, builders.TRAIN, builders.strides(CFG))
     return builders.batched_splits(w.drop("x", "y"), 32, seed=5)
 
 
@@ -175,7 +175,7 @@ SELECT dataset, {r('avg((p - t) * (p - t))', 3)} AS mse, {r('avg(abs(p - t))', 4
 def score_restored_forecast(spark, d):
     """Scaled test windows, the last-value forecast, and its error in the units of each series."""
     ev = events_series(spark, d)
-    w = builders._cut(builders.scaled_splits(ev, CFG), CFG, ["test"], builders._strides(CFG))
+    w = builders.cut_samples(builders.scaled_splits(ev, CFG), CFG, ["test"], builders.strides(CFG))
     s = scoring.score(scoring.restore(scoring.last_value(w, P), scaling.fit_scaler(ev)))
     return s.withColumns({"mse": rnd("mse", 3), "mae": rnd("mae", 4)})
 

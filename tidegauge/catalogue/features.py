@@ -11,7 +11,6 @@ from tidegauge.features.extract import extract, extract_windows, prune, vectors
 from tidegauge.features.spectrum import spectrum, wavelet
 from tidegauge.operators.correlation import correlated_features as find_correlated
 from tidegauge.operators.order import profile
-from tidegauge.operators.splits import split_plain
 from tidegauge.plans import prompts as bank
 from tidegauge.sources.tables import embedding_series, events_series, supplier_series
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidegauge.catalogue.base import EM, EV, LI, OD, add, query, r, rnd, rounded, windows_sql, unroll
+from tidegauge.catalogue.base import EM, EV, LI, add, query, r, rnd, rounded, unroll, windows_sql
 from tidegauge.catalogue.prep import L, P, _rows, rows_sql
 from tidegauge.config import KEYS
 from tidegauge.functions import arrays, calendar
@@ -12,7 +12,7 @@ from tidegauge.operators import metrics
 from tidegauge.operators.order import profile, with_neighbours
 from tidegauge.operators.windows import sample_windows
 from tidegauge.plans import scoring, text
-from tidegauge.sources.tables import embedding_series, events_series, orders_daily, supplier_series
+from tidegauge.sources.tables import events_series, supplier_series
 
 KO = [*KEYS, "off"]
 

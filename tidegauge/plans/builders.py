@@ -49,7 +49,7 @@ def scaled_splits(
     return transform(parts, params)
 
 
-def _cut(
+def cut_samples(
     parts: DataFrame, cfg: PrepConfig, split_names: list[str], stride: dict[str, int],
     attach: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
@@ -69,10 +69,10 @@ def _prompted(parts, prompts, cfg, splits, stride) -> DataFrame:
     """Windows that carry the vector of their series; it is joined to the chunks."""
     if cfg.strict:
         prompt_lookup(parts.select(*SPLIT_KEYS).filter(F.col("split").isin(splits)).distinct(), prompts, True)
-    return _cut(parts, cfg, splits, stride, lambda chunks: prompt_lookup(chunks, prompts)[0])
+    return cut_samples(parts, cfg, splits, stride, lambda chunks: prompt_lookup(chunks, prompts)[0])
 
 
-def _strides(cfg: PrepConfig, **override: int) -> dict[str, int]:
+def strides(cfg: PrepConfig, **override: int) -> dict[str, int]:
     return {"train": cfg.stride, "val": cfg.stride, "test": 1, **override}
 
 
@@ -91,7 +91,7 @@ def statistical_samples(
     rules: DataFrame | None = None,
 ) -> DataFrame:
     """Windows whose input is the series' feature vector followed by the values."""
-    windows = _prompted(scaled_splits(series, cfg, rules), prompts, cfg, splits, _strides(cfg))
+    windows = _prompted(scaled_splits(series, cfg, rules), prompts, cfg, splits, strides(cfg))
     return with_prefix(windows, "prompt").drop("prompt")
 
 
@@ -105,7 +105,7 @@ def text_samples(
     rules: DataFrame | None = None,
 ) -> DataFrame:
     """Windows whose input starts with the dataset's class number."""
-    windows = _cut(scaled_splits(series, cfg, rules), cfg, splits, _strides(cfg))
+    windows = cut_samples(scaled_splits(series, cfg, rules), cfg, splits, strides(cfg))
     indexed = dataset_index(windows, dim)
     return with_prefix(indexed, F.array(F.col("ds_index").cast("double")))
 
@@ -115,7 +115,7 @@ def token_samples(
     rules: DataFrame | None = None,
 ) -> DataFrame:
     """Windows as tokens: input and label share one scale, the prompt has its own."""
-    matched = _prompted(scaled_splits(series, cfg, rules), prompts, cfg, splits, _strides(cfg))
+    matched = _prompted(scaled_splits(series, cfg, rules), prompts, cfg, splits, strides(cfg))
     span = cfg.seq_len + cfg.pred_len
     both = tokenise(matched.withColumn("_all", F.concat("x", "y")), "_all", span, "_t", "scale")
     both = tokenise(both, "prompt", span, "_pt", "_ps")
@@ -136,7 +136,7 @@ def tsf_samples(
         found = ordinal_lookup(chunks.withColumn("ordinal", ordinal), prompts)
         return found.filter(F.col("prompt").isNotNull()).drop("ordinal")
 
-    windows = _cut(scaled_splits(tsf_series(tsf), cfg), cfg, splits, _strides(cfg, val=val_stride), attach)
+    windows = cut_samples(scaled_splits(tsf_series(tsf), cfg), cfg, splits, strides(cfg, val=val_stride), attach)
     return with_prefix(windows, "prompt").drop("prompt")
 
 
