@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegauge.llm import decontamination, packing, secrets
+from tidegauge.llm import decontamination, line_dedup, near_dedup, packing, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +27,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@query
+def op3_line_dedup(spark, sf_dir):
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_secret_battery(spark, sf_dir):
     return secrets.digest(table(spark, sf_dir, "documents"))
@@ -37,6 +42,11 @@ def op5_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+@query
+def op7_dart_minhash(spark, sf_dir):
+    return near_dedup.near_classes(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_decontaminate(spark, sf_dir):
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
