@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegauge.llm import decontamination, line_dedup, near_dedup, packing, secrets
+from tidegauge.llm import decontamination, language, line_dedup, near_dedup, packing, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,11 +42,21 @@ def op5_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+@query
+def op6_language_id(spark, sf_dir):
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_dart_minhash(spark, sf_dir):
     return near_dedup.near_classes(table(spark, sf_dir, "documents"))
 
 
+@query
+def op9_quality_labels(spark, sf_dir):
+    return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op10_decontaminate(spark, sf_dir):
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
