@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegauge.llm import decontamination, language, line_dedup, near_dedup, packing, quality, secrets
+from tidegauge.llm import (
+    decontamination, language, line_dedup, lm_scoring, near_dedup, packing, quality, secrets, topk, url_trust)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +28,16 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@query
+def op1_url_trust(spark, sf_dir):
+    return url_trust.judge(table(spark, sf_dir, "pages"), url_trust.RULES)
+
+
+@query
+def op2_topk_pivots(spark, sf_dir):
+    return topk.search(table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0)
+
+
 @query
 def op3_line_dedup(spark, sf_dir):
     return line_dedup.report(table(spark, sf_dir, "documents"))
@@ -52,6 +63,11 @@ def op7_dart_minhash(spark, sf_dir):
     return near_dedup.near_classes(table(spark, sf_dir, "documents"))
 
 
+@query
+def op8_cross_entropy(spark, sf_dir):
+    return lm_scoring.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op9_quality_labels(spark, sf_dir):
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -62,4 +78,13 @@ def op10_decontaminate(spark, sf_dir):
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+ORACLES["op1_url_trust"] = url_trust.ORACLE
+ORACLES["op2_topk_pivots"] = topk.ORACLE
 ORACLES["op10_decontaminate"] = decontamination.ORACLE
