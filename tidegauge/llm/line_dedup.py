@@ -9,8 +9,8 @@ A line goes if an equal or similar line stands before it; "before" is the order
 doc_id last. Whether the earlier line itself goes does not matter, so the outcome depends on no order of work. Lines without
 words stay. NULL texts stay NULL; an empty table gives an empty result; texts are read whole.
 
-Per word at most ``best`` candidates of a line are verified at first, the most promising ones. Lines for which there were
-more, and of which none fitted, are joined again without that bound, so no match is lost. Words are 40-bit and lines 64-bit
+Where a line has a very promising candidate at a word, at most ``best`` of its candidates there are verified at first. Lines
+for which there were more, and of which none fitted, are joined again without that bound, so no match is lost. Words are 40-bit and lines 64-bit
 hashes.
 """
 
@@ -182,7 +182,7 @@ def _hot_words(docs: DataFrame, rarity: Broadcast) -> tuple[np.ndarray, np.ndarr
 def _pairs(postings: DataFrame, best: int, only: Broadcast | None) -> DataFrame:
     """(later, earlier) candidates; ``earlier`` is NULL where a line had more than ``best`` at a word."""
     parts = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = postings.repartition(parts, F.shiftrightunsigned("k", 32), "cell").sortWithinPartitions("cell", "k", "set")
+    dealt = postings.repartition(parts, F.shiftrightunsigned("k", 32), "cell").sortWithinPartitions("k", "set")
 
     def work(batches):
         kept: list[pa.RecordBatch] = []
@@ -193,13 +193,17 @@ def _pairs(postings: DataFrame, best: int, only: Broadcast | None) -> DataFrame:
             cell, k, name, b1, b2, doc = (t.column(c).to_numpy() for c in ("cell", "k", "set", "b1", "b2", "doc"))
             k, b1, b2 = k.view(np.uint64), b1.view(np.uint64), b2.view(np.uint64)
             word = k >> np.uint64(32)
-            turns = np.flatnonzero((word[1:] != word[:-1]) | (cell[1:] != cell[:-1])) + 1
+            turns = np.flatnonzero(word[1:] != word[:-1]) + 1
             end = len(k) if last else int(turns[-1]) if len(turns) else 0  # the last group may go on in the next batch
             kept.clear()
             if end < len(k):
                 kept.extend(t.slice(end).combine_chunks().to_batches())
             if end:
-                yield from _meet(cell[:end], k[:end], name[:end], b1[:end], b2[:end], doc[:end], best, only)
+                own = [a[:end] for a in (cell, k, name, b1, b2, doc)]
+                if own[0].any():  # cells of one hot word lie side by side
+                    order = np.lexsort((own[2], own[1], own[0]))
+                    own = [a[order] for a in own]
+                yield from _meet(*own, best, only)
 
         for batch in batches:
             if batch.num_rows:
@@ -254,9 +258,13 @@ def _meet(cell, k, name, b1, b2, doc, best: int, only: Broadcast | None) -> Iter
             later, earlier = later[order], earlier[order]
             start = np.ones(len(later), bool)
             start[1:] = later[1:] != later[:-1]
-            rank = np.arange(len(later)) - np.flatnonzero(start)[np.cumsum(start) - 1] if len(later) else later
-            over = np.unique(later[rank >= best])
-            later, earlier = later[rank < best], earlier[rank < best]
+            head = np.flatnonzero(start)[np.cumsum(start) - 1] if len(later) else later
+            rank = np.arange(len(later)) - head
+            # Only where the best candidate is half as far as it may be are the others left for later.
+            room = n[later] + n[earlier] - 2 * -(-4 * (n[later] + n[earlier]) // 9)
+            keep = (rank < best) | (2 * far[order][head] > room[head])
+            over = np.unique(later[~keep])
+            later, earlier = later[keep], earlier[keep]
             if len(over):
                 yield pa.RecordBatch.from_arrays([pa.array(name[over]), pa.nulls(len(over), pa.int64())], ["later", "earlier"])
         yield pa.RecordBatch.from_arrays([pa.array(name[later]), pa.array(name[earlier])], ["later", "earlier"])
