@@ -322,7 +322,7 @@ def _similar_before(docs: DataFrame, firsts: DataFrame, rarity: Broadcast, best:
     return gone.unionByName(stored(found(more, 1), "similar-1")).distinct()
 
 
-def removed_lines(docs: DataFrame, best: int = 64) -> DataFrame:
+def removed_lines(docs: DataFrame, best: int = 8) -> DataFrame:
     """(row, lines) with the numbers of the lines to remove; ``docs`` has row, doc_id and text."""
     docs = docs.select(F.col("row").cast("bigint"), F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     survey = stored(_survey(docs), "lines")
@@ -335,7 +335,7 @@ def removed_lines(docs: DataFrame, best: int = 64) -> DataFrame:
     return gone.groupBy("row").agg(F.collect_list(F.col("line").cast("int")).alias("lines"))
 
 
-def without_repeats(docs: DataFrame, best: int = 64) -> DataFrame:
+def without_repeats(docs: DataFrame, best: int = 8) -> DataFrame:
     """``docs`` with the removed lines cut out of ``text``, and ``_n_lines`` and ``_n_removed``."""
     gone = removed_lines(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")), best)
     gone = gone.withColumnsRenamed({"row": "_row", "lines": "_gone"})
@@ -348,12 +348,12 @@ def without_repeats(docs: DataFrame, best: int = 64) -> DataFrame:
             .drop("_row", "_gone", "_lines"))
 
 
-def dedup_lines(docs: DataFrame, best: int = 64) -> DataFrame:
+def dedup_lines(docs: DataFrame, best: int = 8) -> DataFrame:
     """Columns unchanged; documents all of whose words were in removed lines go."""
     out = without_repeats(docs, best).where("_n_removed = 0 or text rlike '[0-9A-Za-z]|[^\\\\x00-\\\\x7F]'")
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def report(docs: DataFrame, best: int = 64) -> DataFrame:
+def report(docs: DataFrame, best: int = 8) -> DataFrame:
     return without_repeats(docs.select("doc_id", "text"), best).select(
         F.col("doc_id").cast("bigint"), F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), "text")
