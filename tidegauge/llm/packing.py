@@ -129,14 +129,15 @@ class WordTokenizer:
         start = np.flatnonzero(begin)
         edge = np.flatnonzero(change | starts_text[:n] | ((kind == 2) & first))
         end = np.append(edge[1:], n)[np.searchsorted(edge, start)]
-        return low, *self._contract(low, kind, start, end), odd
+        return low, *self._contract(low, kind, start, end, starts_text), odd
 
-    def _contract(self, low, kind, start, end):
-        """Give an apostrophe that stands alone the letters of a contraction."""
+    def _contract(self, low, kind, start, end, starts_text):
+        """Give an apostrophe that stands alone the letters of a contraction in the same text."""
         np = self._np
         lone = np.flatnonzero((low[start] == 39) & (end - start == 1))
         lone = lone[lone + 1 < len(start)]
-        lone = lone[(start[lone + 1] == end[lone]) & (kind[start[lone + 1]] == 1)]
+        after = start[lone + 1]
+        lone = lone[(after == end[lone]) & (kind[after] == 1) & ~starts_text[after]]
         if not len(lone):
             return start, end
         taken = np.zeros(len(lone), np.int64)
