@@ -183,3 +183,16 @@ def test_ecdf_slope(spark):
     a, b = (s[brute.ecdf_rank(len(x), p) - 1] for p in (0.5, 0.75))
     assert got[("a", "ECDF slope")][0] == pytest.approx(0.25 / (b - a))
     assert got[("c", "ECDF slope")][0] == math.inf
+
+
+def test_missing_points_close_up(spark):
+    y = [5.0, None, 1.0, 9.0, float("nan"), 3.0, 7.0, None, 2.0, 4.0, 8.0, 6.0, 1.5, 2.5]
+    kept = [v for v in y if v is not None and v == v]
+    names = ["Median", "Interquartile range", "Mean absolute deviation", "Median absolute deviation", "Root mean square", "ECDF Percentile", "Spectral centroid"]
+
+    def features(values):
+        df = spark.createDataFrame([("d", "s", i, v) for i, v in enumerate(values)], "dataset string, series_id string, idx long, y double")
+        return {(r.feature, r.k): r.value for r in extract(df, names=names).collect()}
+
+    got, want = features(y), features(kept)
+    assert got == pytest.approx(want) and got[("Median", 0)] == pytest.approx(float(np.median(kept)))

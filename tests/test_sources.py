@@ -39,14 +39,14 @@ def test_tsf(spark, tmp_path):
 
 
 @pytest.mark.parametrize("text,message", [
-    ("", "Empty file"),
-    ("# only a comment\n", "Empty file"),
-    ("@relation x\n@data\nA:1\n", "Missing attribute section"),
-    ("@attribute a string\nA:1,2\n", "Missing @data tag"),
-    ("@attribute a\n@data\nA:1\n", "Invalid meta-data"),
-    ("@attribute a string\n@frequency daily extra\n@data\nA:1\n", "Invalid meta-data"),
-    ("@attribute a string\n@data\n", "Missing series information"),
-    ("@data\n@attribute a string\nA:1\n", "Missing attribute section"),
+    ("", "no content"),
+    ("# only a comment\n", "no content"),
+    ("@relation x\n@data\nA:1\n", "attribute"),
+    ("@attribute a string\nA:1,2\n", "before any data mark"),
+    ("@attribute a\n@data\nA:1\n", "header line"),
+    ("@attribute a string\n@frequency daily extra\n@data\nA:1\n", "header line"),
+    ("@attribute a string\n@data\n", "no series line"),
+    ("@data\n@attribute a string\nA:1\n", "attribute"),
 ])
 def test_tsf_file_errors(spark, tmp_path, text, message):
     with pytest.raises(ValueError, match=message):
@@ -54,10 +54,10 @@ def test_tsf_file_errors(spark, tmp_path, text, message):
 
 
 @pytest.mark.parametrize("line,message", [
-    ("A:3:1,2", "Missing attributes/values"),
-    ("A:3:2001-02-03 04-05-06:?,?", "All series values are missing"),
-    ("A:x:2001-02-03 04-05-06:1", "Invalid attribute value"),
-    ("A:3:yesterday:1", "Invalid attribute value"),
+    ("A:3:1,2", "wrong number of fields"),
+    ("A:3:2001-02-03 04-05-06:?,?", "only missing values"),
+    ("A:x:2001-02-03 04-05-06:1", "does not suit its type"),
+    ("A:3:yesterday:1", "does not suit its type"),
 ])
 def test_tsf_line_errors(spark, tmp_path, line, message):
     t = tsf.read_tsf(spark, write(tmp_path, HEAD + line + "\n"))
@@ -67,7 +67,7 @@ def test_tsf_line_errors(spark, tmp_path, line, message):
 
 def test_tsf_unknown_attribute_type(spark, tmp_path):
     t = tsf.read_tsf(spark, write(tmp_path, "@attribute a blob\n@data\nA:1,2\n"))
-    with pytest.raises(Exception, match="Invalid attribute type"):
+    with pytest.raises(Exception, match="unknown type"):
         t.collect()
 
 
@@ -144,3 +144,11 @@ def test_min_length_and_drop_missing(spark):
     assert {r.series_id for r in files.min_length(s, 2).collect()} == {"a"}
     got = files.drop_missing(s).filter("series_id = 'a'").orderBy("idx").collect()
     assert [(r.idx, r.y) for r in got] == [(0, 0.0), (1, 1.0), (2, 3.0), (3, 4.0)]
+
+
+def test_equal_stems_are_refused(spark, tmp_path):
+    for folder in ("a", "b"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "d.csv").write_text("t,v\n1,2\n")
+    with pytest.raises(ValueError, match="both be dataset d"):
+        files.read_wide_csv(spark, [str(tmp_path / "a" / "d.csv"), str(tmp_path / "b" / "d.csv")])

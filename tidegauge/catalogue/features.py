@@ -357,11 +357,9 @@ WHEN idx < CAST(trunc(n * 0.7::DOUBLE) AS BIGINT) + CAST(trunc(n * 0.1::DOUBLE)
 FROM s JOIN nn USING (dataset, series_id))"""
 _PNAMES = ["Max", "Mean", "Median", "Min", "Root mean square", "Standard deviation"]
 _PF = f"""{_SPLIT}, pw AS (SELECT split, dataset, series_id, {', '.join(f'{_T[n]} AS "{n}"' for n in _PNAMES)} FROM sp GROUP BY 1, 2, 3),
-pl AS ({' UNION ALL '.join(f'''SELECT split, dataset, series_id, '{n}' AS feature, CAST(0 AS INTEGER) AS k, "{n}" AS value FROM pw''' for n in _PNAMES)})"""
-_FIT = """, ch AS (SELECT split, dataset, series_id FROM (SELECT *, row_number() OVER (PARTITION BY split, dataset
-  ORDER BY md5(split || '|' || dataset || '|' || series_id || '|0'), series_id) AS rn FROM pw) WHERE rn <= 50),
-pr AS (SELECT split, feature, k, avg(value) AS mean, CASE WHEN stddev_pop(value) = 0 THEN 1 ELSE stddev_pop(value) END AS scale
-  FROM pl JOIN ch USING (split, dataset, series_id) GROUP BY 1, 2, 3)"""
+pl AS MATERIALIZED ({' UNION ALL '.join(f'''SELECT split, dataset, series_id, '{n}' AS feature, CAST(0 AS INTEGER) AS k, "{n}" AS value FROM pw''' for n in _PNAMES)})"""
+_FIT = """, pr AS MATERIALIZED (SELECT split, feature, k, avg(value) AS mean,
+  CASE WHEN stddev_pop(value) = 0 THEN 1 ELSE stddev_pop(value) END AS scale FROM pl GROUP BY 1, 2, 3)"""
 
 
 def _few_prompts(spark, d):
@@ -412,5 +410,5 @@ def prune_by_prefix(spark, d):
 
 @query()
 def prompt_map(spark, d):
-    """Two principal components of a sample of prompt vectors."""
+    """Two principal components of all prompt vectors."""
     return rounded(bank.prompt_map(bank.pack_prompts(_few_prompts(spark, d))), "pc1", "pc2", digits=4)

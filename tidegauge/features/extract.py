@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidegauge.config import KEYS
 from tidegauge.features import native, spectral
 from tidegauge.features.registry import Feature, select
-from tidegauge.operators.order import GroupProfile, fits, gather, profile
+from tidegauge.operators.order import rank_within, GroupProfile, fits, gather, profile
 from tidegauge.operators.windows import signal_windows
 
 _WHOLE_SPECTRUM = {
@@ -47,6 +47,13 @@ def _long(wide: DataFrame, keys: list[str], features: list[Feature]) -> DataFram
     )
 
 
+def _present(signal: DataFrame, keys: list[str]) -> DataFrame:
+    missing = F.col("y").isNull() | F.isnan(F.col("y").cast("double"))
+    if signal.filter(missing).isEmpty():
+        return signal
+    return rank_within(signal.filter(~missing).withColumnRenamed("idx", "_at"), keys, ["_at"]).select(*keys, "idx", "y")
+
+
 def extract(
     signal: DataFrame, keys: list[str] = KEYS, domain: str | None = None, tag: str | None = None,
     names: list[str] | None = None, fs: float | None = None, overrides: dict[str, dict] | None = None,
@@ -55,11 +62,14 @@ def extract(
     """Selected features of every group: ``keys, feature, k, value``.
 
     Features that share an intermediate share one pass over it; aggregates no
-    selected feature reads are pruned from the plan.
+    selected feature reads are pruned from the plan. Missing points (NULL or NaN)
+    are left out first, and the others close up.
     """
     chosen = select(domain, tag, names, fs, overrides)
-    prof = prof or profile(signal, keys)
     signal = signal.select(*keys, "idx", "y")
+    whole_signal = _present(signal, keys)
+    prof = prof if prof and whole_signal is signal else profile(whole_signal, keys)
+    signal = whole_signal
     by_col = {f.column: f for f in chosen if f.fn is None}
     user = [f for f in chosen if f.fn is not None and f.over == "rows"]
     arrays = [f for f in chosen if f.fn is not None and f.over == "array"]

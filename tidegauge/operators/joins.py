@@ -20,13 +20,16 @@ def prompt_lookup(
     """Attach the vector of (split, dataset, cleaned series name).
 
     Returns the matched rows and the keys without a prompt; ``strict`` raises
-    when there are any.
+    when there are any. Prompts whose cleaned names meet raise when they are read.
     """
     on = ["split", "dataset", "_name"]
     left = rows.withColumn("_name", clean_name(F.col("series_id")))
     right = prompts.select(
         "split", "dataset", clean_name(F.col("series_id")).alias("_name"), F.col("features").alias("prompt")
     )
+    twice = F.raise_error(F.concat_ws(" ", F.lit("several prompts have the cleaned name"), "dataset", "_name"))
+    right = right.groupBy(*on).agg(F.first("prompt").alias("_p"), F.count(F.lit(1)).alias("_c")).select(
+        *on, F.when(F.col("_c") > 1, twice.cast("array<double>")).otherwise(F.col("_p")).alias("prompt"))
     missing = left.select(*on, "series_id").distinct().join(right, on, "left_anti").drop("_name")
     if strict:
         first = missing.limit(1).collect()
@@ -45,8 +48,10 @@ def ordinal_lookup(rows: DataFrame, prompts: DataFrame) -> DataFrame:
 
 
 def dataset_index(rows: DataFrame, dim: DataFrame) -> DataFrame:
-    """Integer class of the dataset name, from the small dataset dimension."""
-    return rows.join(F.broadcast(dim.select("dataset", "ds_index")), "dataset")
+    """Integer class of the dataset name, from the dataset dimension; an unknown dataset raises."""
+    unknown = F.raise_error(F.concat(F.lit("unknown dataset "), "dataset")).cast("int")
+    found = rows.join(dim.select("dataset", F.col("ds_index").cast("int").alias("ds_index")), "dataset", "left")
+    return found.withColumn("ds_index", F.coalesce("ds_index", unknown))
 
 
 # Grid points made from one block of a gap.

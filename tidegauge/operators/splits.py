@@ -80,7 +80,7 @@ def split_lookback(
     t, v = F.lit(train), F.lit(val)
     lens = lengths(series, keys)
     if rules is not None:
-        lens = lens.join(F.broadcast(rules.select("dataset", "train_ratio", "val_ratio")), "dataset", "left")
+        lens = lens.join(rules.select("dataset", "train_ratio", "val_ratio"), "dataset", "left")
         t, v = F.coalesce("train_ratio", t), F.coalesce("val_ratio", v)
     guard = part(F.col("n"), t) >= seq_len + pred_len
     return split_by(series, lookback_bounds(seq_len, t, v), keys, guard, lens)
@@ -94,7 +94,7 @@ def split_plain(
     t, v = F.lit(train), F.lit(val)
     lens = lengths(series, keys)
     if rules is not None:
-        lens = lens.join(F.broadcast(rules.select("dataset", "train_ratio", "val_ratio")), "dataset", "left")
+        lens = lens.join(rules.select("dataset", "train_ratio", "val_ratio"), "dataset", "left")
         t, v = F.coalesce("train_ratio", t), F.coalesce("val_ratio", v)
     n = F.col("n")
     a = part(n, t)
@@ -165,7 +165,7 @@ def dataset_rules(spark) -> DataFrame:
 
 def truncate_rows(series: DataFrame, rules: DataFrame) -> DataFrame:
     """Keep the first ``row_cap`` points of datasets that have a cap."""
-    caps = F.broadcast(rules.select("dataset", "row_cap"))
+    caps = rules.select("dataset", "row_cap")
     return (
         series.join(caps, "dataset", "left")
         .filter(F.col("row_cap").isNull() | (F.col("idx") < F.col("row_cap")))

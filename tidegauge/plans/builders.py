@@ -79,11 +79,14 @@ def strides(cfg: PrepConfig, **override: int) -> dict[str, int]:
 TRAIN = ["train", "val"]
 
 
-def dropped_series(series: DataFrame, cfg: PrepConfig) -> DataFrame:
-    """Series the length guard of the split leaves out."""
-    n = F.col("n")
-    short = (n.cast("double") * cfg.train_ratio).cast("bigint") < cfg.seq_len + cfg.pred_len
-    return lengths(series).filter(short)
+def dropped_series(series: DataFrame, cfg: PrepConfig, rules: DataFrame | None = None) -> DataFrame:
+    """Series the length guard of the split leaves out, under the ratios of ``rules`` where it has the dataset."""
+    lens, ratio = lengths(series), F.lit(cfg.train_ratio)
+    if rules is not None:
+        lens = lens.join(rules.select("dataset", "train_ratio"), "dataset", "left")
+        ratio = F.coalesce("train_ratio", ratio)
+    short = (F.col("n").cast("double") * ratio).cast("bigint") < cfg.seq_len + cfg.pred_len
+    return lens.filter(short).drop("train_ratio")
 
 
 def statistical_samples(

@@ -26,16 +26,16 @@ def generate_prompts(
 
 
 def fit_prompt_scaler(
-    prompts: DataFrame, per_dataset: int = 50, seed: int = 0
+    prompts: DataFrame, per_dataset: int | None = None, seed: int = 0
 ) -> DataFrame:
-    """Mean and scale of each feature per split, over at most ``per_dataset`` series of a dataset."""
-    series = prompts.select(*SPLIT_KEYS).distinct()
-    chosen = at_most(series, ["split", "dataset"], ["series_id"], per_dataset, seed)
+    """Mean and scale of each feature per split, over all series or a sample of ``per_dataset`` of each dataset."""
+    if per_dataset is not None:
+        series = prompts.select(*SPLIT_KEYS).distinct()
+        prompts = prompts.join(at_most(series, ["split", "dataset"], ["series_id"], per_dataset, seed), SPLIT_KEYS, "left_semi")
     std = F.stddev_pop("value")
     value = F.when(~F.isnan("value"), F.col("value"))
     return (
-        prompts.join(chosen, SPLIT_KEYS, "left_semi")
-        .withColumn("value", value)
+        prompts.withColumn("value", value)
         .groupBy("split", "feature", "k")
         .agg(F.avg("value").alias("mean"), F.when(std == 0, F.lit(1.0)).otherwise(std).alias("scale"))
     )
@@ -58,18 +58,18 @@ def pack_prompts(prompts: DataFrame) -> DataFrame:
     return vectors(prompts, SPLIT_KEYS, catalogue(prompts.sparkSession)).drop("names")
 
 
-def build_bank(series: DataFrame, per_dataset: int = 50, seed: int = 0, **options) -> DataFrame:
+def build_bank(series: DataFrame, per_dataset: int | None = None, seed: int = 0, **options) -> DataFrame:
     """Normalised, packed prompts; features are computed once and kept for fit and transform."""
     prompts = cut_lineage(generate_prompts(series, **options))
     return pack_prompts(scale_prompts(prompts, fit_prompt_scaler(prompts, per_dataset, seed)))
 
 
-def prompt_map(vecs: DataFrame, per_group: int = 100, seed: int = 0) -> DataFrame:
-    """Two principal components of a sample of prompts, labelled by dataset and split."""
+def prompt_map(vecs: DataFrame, per_group: int | None = None, seed: int = 0) -> DataFrame:
+    """Two principal components of all prompts, or of ``per_group`` of each dataset and split, labelled by both."""
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    some = at_most(vecs, ["split", "dataset"], ["series_id"], per_group, seed)
+    some = vecs if per_group is None else at_most(vecs, ["split", "dataset"], ["series_id"], per_group, seed)
     data = some.withColumn("_v", array_to_vector("features"))
     model = PCA(k=2, inputCol="_v", outputCol="_p").fit(data)
     xy = vector_to_array("_p")

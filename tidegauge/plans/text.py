@@ -58,7 +58,8 @@ def render_prompts(
 ) -> DataFrame:
     """Adds ``text``: dataset description, task and statistics of the normalised window."""
     norm = top_lags(window_statistics(normalise_windows(windows)))
-    named = norm.join(F.broadcast(dim.select("dataset", "description")), "dataset")
+    unknown = F.raise_error(F.concat(F.lit("no description of dataset "), "dataset")).cast("string")
+    named = norm.join(dim.select("dataset", "description"), "dataset", "left").withColumn("description", F.coalesce("description", unknown))
     num = lambda c: F.format_string(f"%.{digits}f", F.col(c))
     lags = F.concat(F.lit("["), F.array_join(F.col("lags").cast("array<string>"), ", "), F.lit("]"))
     # Fixed value: the wording of the prompt.

@@ -47,6 +47,15 @@ def _dataset_of(path: str):
     return file_stem(F.lit(path.rstrip("/")))
 
 
+def _distinct_names(paths: list[str]) -> None:
+    """Two paths that would name one dataset would merge their series."""
+    seen: dict[str, str] = {}
+    for path in paths:
+        name = path.rstrip("/").rsplit("/", 1)[-1].split(".", 1)[0]
+        if not any(c in path for c in "*?[{") and seen.setdefault(name, path) != path:
+            raise ValueError(f"{seen[name]} and {path} would both be dataset {name}; read them apart or by a pattern")
+
+
 def _csv(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.read.option("header", True).option("enforceSchema", False).csv(paths)
 
@@ -62,6 +71,7 @@ def read_wide_csv(
     their file order.
     """
     parts = []
+    _distinct_names(_paths(paths))
     for path in _paths(paths):
         raw = _csv(spark, [path])
         time = time_col or raw.columns[0]

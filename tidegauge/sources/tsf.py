@@ -64,12 +64,12 @@ def _headers(spark: SparkSession, paths: list[str], lines: DataFrame) -> DataFra
         setting("@horizon").alias("_h"), setting("@missing").alias("_m"), setting("@equallength").alias("_e"),
     )
     error = (
-        F.when(F.col("bad_meta"), "Invalid meta-data specification.")
-        .when(F.size("attrs") == 0, "Missing attribute section.")
-        .when(F.col("data_at") < F.col("attr_at"), "Missing attribute section. Attribute section must come before data.")
-        .when(F.col("data_at").isNull() & F.col("body_at").isNotNull(), "Missing @data tag.")
-        .when(F.col("body_at") < F.col("data_at"), "Missing @data tag.")
-        .when(F.col("body_at").isNull(), "Missing series information under data section.")
+        F.when(F.col("bad_meta"), "a header line has too few or too many fields")
+        .when(F.size("attrs") == 0, "no attribute is declared")
+        .when(F.col("data_at") < F.col("attr_at"), "attributes are declared after the data mark")
+        .when(F.col("data_at").isNull() & F.col("body_at").isNotNull(), "series lines stand before any data mark")
+        .when(F.col("body_at") < F.col("data_at"), "series lines stand before any data mark")
+        .when(F.col("body_at").isNull(), "no series line follows the data mark")
     )
     heads = heads.select(
         "path", "attrs", "freq", F.expr("try_cast(_h as int)").alias("horizon"),
@@ -78,7 +78,7 @@ def _headers(spark: SparkSession, paths: list[str], lines: DataFrame) -> DataFra
     # A file without lines shows only in the listing, which the reader holds anyway.
     listed = spark.read.format("binaryFile").load(paths).inputFiles()
     files = spark.createDataFrame([(p,) for p in listed], "path string").select(_plain("path").alias("p"))
-    empty = F.when(F.col("attrs").isNull(), F.lit("Empty file.")).otherwise(F.col("error"))
+    empty = F.when(F.col("attrs").isNull(), F.lit("the file has no content")).otherwise(F.col("error"))
     named = heads.withColumn("p", _plain("path")).drop("path")
     return files.join(named, "p", "left").withColumn("error", empty)
 
@@ -127,10 +127,10 @@ def read_tsf(
         .otherwise(F.lit(True))
     )
     checked = (
-        F.when(~fits, fail("Missing attributes/values in series."))
-        .when(missing, fail("All series values are missing."))
-        .when(bad_kind, fail("Invalid attribute type."))
-        .when(~F.forall("_pairs", good_value), fail("Invalid attribute value."))
+        F.when(~fits, fail("a series line has the wrong number of fields"))
+        .when(missing, fail("a series line has only missing values"))
+        .when(bad_kind, fail("an attribute has an unknown type"))
+        .when(~F.forall("_pairs", good_value), fail("an attribute value does not suit its type"))
         .otherwise(number)
     )
     rows = rows.withColumn("_pairs", F.when(fits, pairs))
