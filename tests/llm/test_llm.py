@@ -117,6 +117,32 @@ def test_near_classes(stored_docs, no_docs):
     assert near_dedup.near_classes(no_docs).count() == 0
 
 
+def test_prefix_pairs_miss_no_similar_pair(spark):
+    rng = random.Random(8)
+    base = [rng.sample(range(1 << 44), n) for n in (1, 4, 9, 10, 26, 200)]
+    sets = []
+    for i in range(300):
+        own = list(base[i % len(base)])
+        for _ in range(rng.randint(0, max(1, len(own) // 8))):
+            own[rng.randrange(len(own))] = rng.choice([rng.randrange(1 << 44), rng.randrange(300)])
+        sets.append(sorted(set(own + rng.sample(range(300, 310), rng.randint(0, 2)))))
+    rows = [(i - 150, i % 40, own) for i, own in enumerate(sets)]
+    given = spark.createDataFrame(rows, "set long, label long, shingles array<long>").repartition(5)
+    found = {tuple(r) for r in near_dedup.prefix_pairs(given).collect()}
+    every = {(a - 150, b - 150) for a in range(300) for b in range(a + 1, 300) if a % 40 != b % 40}
+    shared = {(a, b): len(set(sets[a + 150]) & set(sets[b + 150])) for a, b in every}
+    near = {(a, b) for (a, b), c in shared.items() if 9 * c >= 4 * (len(sets[a + 150]) + len(sets[b + 150]))}
+    assert len(near) > 300 and near <= found <= every
+
+
+@pytest.mark.parametrize("pivots", [1, 2])
+def test_few_pivots_lose_no_link(spark, stored_docs, pivots):
+    docs = near_dedup.numbered(stored_docs.select("doc_id", "text"))
+    sketches = near_dedup.sketch(docs).cache()
+    one = {tuple(r) for r in near_dedup.link(docs, sketches, pivots=pivots).collect()}
+    assert one == {tuple(r) for r in near_dedup.link(docs, sketches).collect()}
+
+
 def test_dart_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(1)
     e = np.arange(1, 301, dtype=np.uint64)

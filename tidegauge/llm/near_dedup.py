@@ -7,8 +7,10 @@ earliest per coordinate is kept. Two documents agree at a coordinate with the pr
 similarity. Bands of ``rows`` coordinates are join keys.
 
 Within a band's bucket nothing is paired with everything: members are compared with one pivot, then, in the few buckets that
-still hold several components, with other pivots, and only what is left after that pair by pair across components. Every
-link is verified on whole shingle sets: shared * 9 >= 4 * (n1 + n2) is a Jaccard similarity of 0.8 or more.
+still hold several components, with other pivots. The sets of the buckets that are open after that go through an exact
+similarity join instead: shingles are ordered by rarity among these sets, and two sets meet at a shingle that is among the
+first n // 5 + 1 of the larger and the first m // 9 + 1 of the smaller one, if sizes, places and parity bitmaps allow a
+match. Every link is verified on whole shingle sets: shared * 9 >= 4 * (n1 + n2) is a Jaccard similarity of 0.8 or more.
 
 NULL texts and texts without words are never linked; repeated rows and copies are one class; very long texts are read whole;
 an empty table gives an empty result. Input rows are told apart by their place in a stored table, so doc_id may be NULL or
@@ -31,6 +33,7 @@ from tidegauge.llm.components import components
 from tidegauge.session import stored
 
 SIZE, COORDINATES, ROWS = 5, 128, 4
+LOG_BUCKETS = 20  # how often a shingle occurs is kept per bucket of hashes
 ID_BITS = 44
 _ID = np.uint64((1 << ID_BITS) - 1)
 _FACTORS = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
@@ -215,6 +218,76 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
 
 
+def _rarity(sets: DataFrame) -> np.ndarray:
+    """Occurrences of shingles per bucket of hashes, a table of fixed size."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << LOG_BUCKETS, np.int64)
+        for batch in batches:
+            total += np.bincount(_buckets(_elements(batch.column(0))), minlength=len(total))
+        spot = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(spot), pa.array(total[spot])], ["spot", "c"])
+
+    found = sets.select("shingles").mapInArrow(work, "spot bigint, c bigint").groupBy("spot").agg(F.sum("c").alias("c")).toArrow()
+    out = np.zeros(1 << LOG_BUCKETS, np.int64)
+    out[found.column("spot").to_numpy()] = found.column("c").to_numpy()
+    return out
+
+
+def _elements(lists: pa.ListArray) -> np.ndarray:
+    return lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+
+
+def _buckets(element: np.ndarray) -> np.ndarray:
+    return (element & np.uint64((1 << LOG_BUCKETS) - 1)).astype(np.int64)
+
+
+def _rare_first(sets: DataFrame) -> DataFrame:
+    """The n // 5 + 1 rarest shingles of each set, without those no other set has: set, label, n, shingle, place and two bitmap words."""
+    shared = sets.sparkSession.sparkContext.broadcast(_rarity(sets))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
+        for batch in batches:
+            element = _elements(batch.column(2))
+            n = batch.column(2).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            if not len(element):
+                continue
+            row, start = np.repeat(np.arange(len(n)), n), np.cumsum(n) - n
+            bit = mix(element + _FACTORS[42]) & np.uint64(127)
+            flag = np.uint64(1) << (bit & np.uint64(63))
+            low = np.bitwise_xor.reduceat(np.where(bit < 64, flag, np.uint64(0)), start).view(np.int64)
+            high = np.bitwise_xor.reduceat(np.where(bit < 64, np.uint64(0), flag), start).view(np.int64)
+            often = counts[_buckets(element)]
+            order = np.lexsort((element, often, row))
+            place = np.arange(len(row)) - start[row]
+            use = np.flatnonzero((place <= n[row] // 5) & (often[order] > 1))
+            own = row[use]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(own)), batch.column(1).take(pa.array(own)), pa.array(n[own]),
+                 pa.array(element[order[use]].view(np.int64)), pa.array(place[use]), pa.array(low[own]), pa.array(high[own])],
+                ["set", "label", "n", "shingle", "place", "low", "high"])
+
+    return sets.select("set", "label", "shingles").mapInArrow(
+        work, "set bigint, label bigint, n bigint, shingle bigint, place bigint, low bigint, high bigint")
+
+
+def prefix_pairs(sets: DataFrame) -> DataFrame:
+    """(a, b) of the sets (set, label, shingles) of unlike labels that may be similar; no similar pair is missing.
+
+    The filter of places holds at the first shingle that a pair shares, the bitmaps differ in at most as many bits as the
+    sets do in shingles.
+    """
+    x = stored(_rare_first(sets), "rare")
+    y = x.where("place <= n div 9").select(
+        "shingle", F.col("set").alias("b"), F.col("label").alias("other"), F.col("n").alias("m"), F.col("place").alias("at"),
+        F.col("low").alias("low_b"), F.col("high").alias("high_b"))
+    return _ordered(x.withColumnRenamed("set", "a").join(y, "shingle").where(
+        "label <> other and (n > m or n = m and a > b) and 5 * m >= 4 * n "
+        "and 9 * (1 + least(n - place - 1, m - at - 1)) >= 4 * (n + m) "
+        "and 9 * (bit_count(low ^ low_b) + bit_count(high ^ high_b)) <= n + m").select("a", "b"))
+
+
 def link(docs: DataFrame, sketches: DataFrame, size: int = SIZE, pivots: int = 3) -> DataFrame:
     """(node, label) of every set that has a near copy."""
     bands = sketches.where("set is not null").select("set", "n", F.explode("bands").alias("k"))
@@ -235,9 +308,8 @@ def link(docs: DataFrame, sketches: DataFrame, size: int = SIZE, pivots: int = 3
             return labels
         if turn < pivots:
             more = star(open_, turn)
-        else:  # whatever is still open is compared pair by pair, across components only
-            y = open_.select("k", F.col("set").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
-            more = _ordered(_near_sizes(open_.join(y, "k")).where("label < other").select(F.col("set").alias("a"), "b"))
+        else:
+            more = prefix_pairs(stored(open_.select("set", "label").distinct().join(sets, "set"), "open-sets"))
         more = stored(more.join(tried, ["a", "b"], "left_anti"), f"pairs-{turn}")
         if more.isEmpty():
             continue
