@@ -53,7 +53,7 @@ def positions(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[np.nda
 def _marked(docs: DataFrame, labels: DataFrame) -> DataFrame:
     good = (labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id"))
             .agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).where("q = 1 and coalesce(t, 0) = 0")
-            .select("doc_id", F.lit(True).alias("target")))
+            .select("doc_id", F.lit(True).alias("target")).hint("merge"))  # one plan at every size: texts are dealt by doc_id
     text = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return text.join(good, "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
 
