@@ -211,6 +211,12 @@ def test_decontamination(spark, stored_docs, no_docs):
     assert decontamination.report(no_docs, bench).count() == 0
 
 
+def test_decontamination_splits_each_text_once(spark, stored_docs):
+    bench = spark.createDataFrame([(1, stored_docs.first().text)], "item_id long, text string")
+    for plan in (decontamination.remove_documents(stored_docs, bench), decontamination.remove_spans(stored_docs, bench)):
+        assert plan._jdf.queryExecution().optimizedPlan().toString().count("split(") <= 2
+
+
 def test_secrets(spark, no_docs):
     rng = random.Random(3)
     noise = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=64))

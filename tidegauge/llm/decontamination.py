@@ -77,7 +77,9 @@ def _find_inline(docs: DataFrame, known) -> DataFrame:
             f"i -> concat_ws(' ', {part}) in ({_texts([k['window'] for k in own])})), "
             f"i -> struct(i as start, {length} as length, concat_ws(' ', {part}) as window))")
     hits = f"if(size(_spots) = 0, cast(array() as {_HITS}), array_sort(concat({', '.join(tests)})))"
-    return w.withColumn("_hits", F.expr(hits)).drop("_words", "_spots")
+    # A filter on ``_hits`` must stay above it: moved below, it would hold the splitting of the text inside the lambdas, once
+    # per word. Spark moves no filter through a projection that holds a value bound to the row's place.
+    return w.withColumn("_hits", F.when(F.monotonically_increasing_id() >= 0, F.expr(hits))).drop("_words", "_spots")
 
 
 def _find_by_join(docs: DataFrame, windows: DataFrame) -> DataFrame:
