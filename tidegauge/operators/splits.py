@@ -30,31 +30,33 @@ def split_by(
     """
     lens = lengths(series, keys) if lens is None else lens
     edges = lens if guard is None else lens.filter(guard)
-    edges = edges.select(
-        *keys,
-        F.array(
-            *[
-                F.struct(
-                    F.lit(name).alias("split"),
-                    F.greatest(lo.cast("bigint"), F.lit(0)).alias("lo"),
-                    hi.cast("bigint").alias("hi"),
-                )
-                for name, (lo, hi) in bounds.items()
-            ]
-        ).alias("_edges"),
+    edges = edges.select(*keys, _edges(bounds).alias("_edges"))
+    return _cut(join_groups(series, edges, keys), series.columns, keys)
+
+
+def _edges(bounds: Bounds) -> Column:
+    return F.array(
+        *[
+            F.struct(
+                F.lit(name).alias("split"),
+                F.greatest(lo.cast("bigint"), F.lit(0)).alias("lo"),
+                hi.cast("bigint").alias("hi"),
+            )
+            for name, (lo, hi) in bounds.items()
+        ]
     )
+
+
+def _cut(rows: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
+    """One row per split whose range in ``_edges`` holds ``idx``."""
     hit = F.filter("_edges", lambda e: (F.col("idx") >= e["lo"]) & (F.col("idx") < e["hi"]))
-    rest = [c for c in series.columns if c not in (*keys, "idx")]
-    return (
-        join_groups(series, edges, keys)
-        .withColumn("_e", F.explode(hit))
-        .select(
-            *keys,
-            F.col("_e.split").alias("split"),
-            (F.col("idx") - F.col("_e.lo")).alias("idx"),
-            F.col("idx").alias("src_idx"),
-            *rest,
-        )
+    rest = [c for c in columns if c not in (*keys, "idx")]
+    return rows.withColumn("_e", F.explode(hit)).select(
+        *keys,
+        F.col("_e.split").alias("split"),
+        (F.col("idx") - F.col("_e.lo")).alias("idx"),
+        F.col("idx").alias("src_idx"),
+        *rest,
     )
 
 
@@ -128,19 +130,18 @@ def split_calendar(
     series: DataFrame, seq_len: int, steps_per_hour: int = 1, percent: int = 100,
     keys: list[str] = KEYS, month: int | None = None,
 ) -> DataFrame:
-    """12, 4 and 4 months of 30 days; ``month`` overrides the points in one month."""
+    """12, 4 and 4 months of 30 days; ``month`` overrides the points in one month.
+
+    The bounds are constants, so rows are cut where they lie: no length is read and nothing is joined.
+    """
     m = month or 30 * 24 * steps_per_hour
     a, b, c = 12 * m, 16 * m, 20 * m
-    return split_by(
-        series,
-        {
-            "train": (F.lit(0), few_shot(F.lit(a), seq_len, percent)),
-            "val": (F.lit(a - seq_len), F.lit(b)),
-            "test": (F.lit(b - seq_len), F.lit(c)),
-        },
-        keys,
-        lens=lengths(series, keys),
-    )
+    bounds = {
+        "train": (F.lit(0), few_shot(F.lit(a), seq_len, percent)),
+        "val": (F.lit(a - seq_len), F.lit(b)),
+        "test": (F.lit(b - seq_len), F.lit(c)),
+    }
+    return _cut(series.withColumn("_edges", _edges(bounds)), series.columns, keys)
 
 
 def prediction_tail(series: DataFrame, seq_len: int, keys: list[str] = KEYS) -> DataFrame:
