@@ -1,9 +1,11 @@
 """Operators on training data beside brute force, on small tables with NULLs, empty texts, ties, repeats and odd columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -297,6 +299,40 @@ def test_cross_entropy(stored_docs, no_docs, labels):
     assert lm_scoring.score(no_docs, labels).count() == 0
 
 
+def brute_losses(texts, chosen):
+    """Mean losses of every text under the model of the chosen texts and under that of all, with exact counts."""
+    grams = [[(t[i - 2] if i > 1 else "", t[i - 1] if i else "", t[i]) for i in range(len(t))] for t in texts]
+    vocabulary = len({c for t in texts for c in t}) + 1
+    out = []
+    for model in (chosen, [True] * len(texts)):
+        seen = [g for own, c in zip(grams, model) if c for g in own]
+        n = [Counter(f(g) for g in seen) for f in (lambda g: g[2], lambda g: g[1:], lambda g: g, lambda g: g[1], lambda g: g[:2])]
+
+        def p(g):
+            return (0.05 / vocabulary + 0.15 * n[0][g[2]] / max(len(seen), 1) + 0.3 * n[1][g[1:]] / max(n[3][g[1]], 1)
+                    + 0.5 * n[2][g] / max(n[4][g[:2]], 1))
+
+        out.append([-sum(math.log(p(g)) for g in own) / max(len(own), 1) for own in grams])
+    return list(zip(*out))
+
+
+def test_cross_entropy_beside_exact_counts(spark, stored_docs, labels):
+    """Many rare characters: tables that let n-grams share a count give other losses."""
+    rng = random.Random(6)
+    rare = [(i, "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(rng.randint(1, 3000))) + "\U0010ffff\0") for i in range(60)]
+    rare += [(None, "ab"), (None, "ab"), (None, None), (3, ""), (0, "a")]
+    marks = spark.createDataFrame([(0, 1, 1)] + [(i, i % 3 and 1, 0) for i in range(1, 40)], "doc_id long, quality int, toxic int")
+    good = {i for i in range(1, 40) if i % 3}
+    df = spark.createDataFrame(rare, "doc_id long, text string")
+    for block in (1 << 14, 1 << 22):
+        want = brute_losses([t or "" for _, t in rare], [i in good for i, _ in rare])
+        want = sorted((str(i), len(t or ""), *x) for (i, t), x in zip(rare, want))
+        got = sorted((str(r.doc_id), r.n_tokens, r.target_loss, r.background_loss) for r in lm_scoring.score(df, marks, block).collect())
+        assert [g[:2] for g in got] == [w[:2] for w in want]
+        assert np.allclose([g[2:] for g in got], [w[2:] for w in want], rtol=1e-9)
+        assert min(g[3] for g in got) >= 0
+
+
 def test_quality(spark, stored_docs, no_docs, labels):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     marks = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
