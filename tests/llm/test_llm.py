@@ -233,6 +233,28 @@ def test_secrets(spark, no_docs):
     assert secrets.digest(no_docs).count() == 0
 
 
+def test_secrets_in_assignments_paths_and_beside_fixed_patterns(spark):
+    rng = random.Random(8)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+
+    def noise(more="0123456789", k=40):
+        return "".join(rng.choices(letters + more, k=k - 2)) + "7Q"
+
+    a, b, c, d, f = noise("0123456789+/"), noise(), noise("0123456789-_"), noise("0123456789+") + "+", noise()
+    plain = "".join(rng.choices(letters, k=24))
+    texts = [(f"AWS_SECRET_ACCESS_KEY={a}==", a + "=="), (f"GET /v1/sign-in/{b}/x?sig={c}", b), (f"some-key-{d}", d),
+             (f"{f}=password=hunter2hunter2", f), (f"see {plain} here", plain), ("sig=" + c, c),
+             ("see 12345678901234567890123 and aaaaaaaaaaaa-bbbbbbbbbbbb/c=dddddddddddddddddddddddd", None)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secrets.digest(docs).collect()}
+    for i, (text, value) in enumerate(texts):
+        if value:
+            at = text.index(value)
+            assert f"noise:{at}:{at + len(value)}" in got[i].split(","), (text, got[i])
+    at = texts[1][0].index(c)
+    assert f"noise:{at}:{at + len(c)}" in got[1] and "AWS" not in texts[0][0][int(got[0].split(":")[1]):] and got[6] == ""
+
+
 def test_battery_accepts_noise_and_rejects_names():
     rng = random.Random(1)
     p = [secrets.battery("".join(rng.choices("0123456789abcdef", k=40)), "hex")[3] for _ in range(500)]

@@ -1,9 +1,10 @@
 """Secrets in whole texts: fixed patterns and a battery of randomness tests.
 
 Fixed patterns (kinds ``assign``, ``access``, ``hex``) are found leftmost and without overlap within a kind. The battery looks
-at every maximal run of 20 or more characters of the base64 alphabets that no fixed pattern has taken. The encoding is
-inferred from its characters; for that alphabet three tests ask whether the run may be uniform noise: chi-squared over
-character counts, Wald-Wolfowitz runs about the middle symbol, and serial correlation of neighbours. Their p-values are
+at what the fixed patterns leave of the runs of characters of the base64 alphabets: pieces of 20 or more characters, parted by
+``=`` (but for the padding at the end) and, where no single alphabet has all characters, by ``/`` or by ``-`` and ``_``. The
+encoding is inferred from a piece's characters; for that alphabet three tests ask whether it may be uniform noise: chi-squared
+over character counts, Wald-Wolfowitz runs about the middle symbol, and serial correlation of neighbours. Their p-values are
 combined by Fisher's rule. Ordinary names, paths and words are rejected as noise; the Benjamini-Hochberg rule, applied within
 each length class over the whole corpus, keeps the expected share of true noise among the rejected at ``fdr`` or less. Runs
 that are not rejected are secrets (kind ``noise``).
@@ -44,9 +45,9 @@ _INDEX = {name: {c: i for i, c in enumerate(letters)} for name, letters in ENCOD
 
 
 def infer(run: str) -> str | None:
-    """The narrowest encoding with letters and digits that has all characters; words and plain numbers have none."""
+    """The narrowest encoding that has all characters; runs without letters have none."""
     body = run.rstrip("=")
-    if not any(c in _DIGIT for c in body) or not any(c.isalpha() for c in body):
+    if not any(c.isalpha() for c in body):
         return None
     own = set(body)
     return next((name for name, letters in ENCODINGS if own <= set(letters)), None)
@@ -133,17 +134,49 @@ def fixed_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found, key=lambda s: (s[0], s[2]))
 
 
-def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, float]]:
-    """(start, end, p) of the runs that the battery judges."""
-    out = []
+def _between(lo: int, hi: int, taken: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """What the fixed patterns leave of a run."""
+    for a, b, _ in taken:
+        if a < hi and lo < b:
+            if lo < a:
+                yield lo, a
+            lo = b
+    if lo < hi:
+        yield lo, hi
+
+
+def _parted(text: str, lo: int, hi: int, marks: str) -> Iterator[tuple[int, int]]:
+    start = lo
+    for at in range(lo, hi + 1):
+        if at == hi or text[at] in marks:
+            if at > start:
+                yield start, at
+            start = at + 1
+
+
+def tested(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, str]]:
+    """(start, end, encoding) of the pieces that the battery judges."""
     for run in _RUN.finditer(text):
-        lo, hi = run.span()
-        if hi - lo < SHORTEST or any(a < hi and lo < b for a, b, _ in taken):
+        if run.end() - run.start() < SHORTEST:
             continue
-        encoding = infer(run.group())
-        if encoding:
-            out.append((lo, hi, battery(run.group(), encoding)[3]))
-    return out
+        for lo, hi in _between(*run.span(), taken):
+            body = lo + len(text[lo:hi].rstrip("="))
+            for a, b in _parted(text, lo, body, "="):
+                own = set(text[a:b])
+                if own & set("+/") and own & set("-_"):  # the slash of a path, or the dash before a base64 value
+                    pieces = _parted(text, a, b, "-_" if "+" in own else "/")
+                else:
+                    pieces = [(a, b)]
+                for start, end in pieces:
+                    if end == body and hi == run.end():
+                        end = hi  # with its padding
+                    if end - start >= SHORTEST and (encoding := infer(text[start:end])):
+                        yield start, end, encoding
+
+
+def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, float]]:
+    """(start, end, p) of the pieces that the battery judges."""
+    return [(a, b, battery(text[a:b], encoding)[3]) for a, b, encoding in tested(text, taken)]
 
 
 _FOUND = "doc_id bigint, base array<struct<start:bigint,end:bigint,kind:int>>, more array<struct<start:bigint,end:bigint,class:int,bin:int>>"
