@@ -367,6 +367,29 @@ def test_quality(spark, stored_docs, no_docs, labels):
     assert quality.report(no_docs, labels).count() == 0
 
 
+def test_quality_rejects_a_rare_class(spark):
+    """One harmful document in 500, of two sources with words of their own, beside a text with many copies."""
+    rng = random.Random(9)
+    common = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
+
+    def text(own=()):
+        out = rng.choices(common, k=120)
+        for w in own:
+            out[rng.randrange(len(out))] = w
+        return ". ".join(" ".join(out[i : i + 8]) for i in range(0, 120, 8)) + "."
+
+    rows = [(i, text()) for i in range(7000)] + [(i, "One same text that stands here many times over.") for i in range(7000, 9000)]
+    harmful = [(9000 + i, text(["vilea", "nastya"] if i < 6 else ["vileb", "nastyb"])) for i in range(18)]
+    marks = [(i, 1, 0) for i in range(0, 9000, 3)] + [(9000 + i, 1, 1) for i in range(18) if i % 6]
+    df = spark.createDataFrame(rows + harmful, "doc_id long, text string")
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    keep = {r.doc_id: r.keep for r in quality.report(df, labels).collect()}
+    assert not any(keep[i] for i, _ in harmful) and np.mean([keep[i] for i, _ in rows]) > 0.99
+    mixed = spark.createDataFrame([(i if i > 900 else 1, 7, quality.GOOD if i < 9990 else quality.HARMFUL) for i in range(10000)], "key long, pattern int, gold int")
+    drawn = quality.class_sample(mixed, {7: quality.GOOD}, 400).collect()
+    assert sum(r.gold == quality.HARMFUL for r in drawn) == 10 and len({r.key for r in drawn}) == len(drawn) and 150 < len(drawn) < 270
+
+
 def test_expectation_maximisation_finds_accuracies():
     rng = np.random.default_rng(0)
     n = len(quality.LABELLERS)

@@ -4,8 +4,9 @@ Ten heuristic labellers vote good, bad or nothing on every document. Expectation
 patterns estimates how each labeller votes on poor, harmful and good documents; rows of ``labels`` enter as documents whose
 class is known. The posteriors are the targets of a hashed linear scorer over words and votes, which judges every document.
 
-Bounds: the list of flagged words comes from at most about ``flag_sample`` labelled documents of either kind and the scorer from at
-most about ``train_sample`` documents; patterns are at most 3^10. Everything else covers all rows.
+Bounds: the scorer is fitted on at most about ``train_sample`` distinct texts, drawn per class so that a rare class is covered: half
+of them good, a quarter poor and a quarter harmful, by label or by the likeliest class of their votes; patterns are at most 3^10.
+Everything else covers all rows. The score is thus the probability of good where good and bad are as frequent as in that sample.
 
 NULL and empty texts have no words and are judged by their votes; very long texts are read whole; repeated rows are judged
 one by one; without labels the labellers' agreement alone decides; an empty table gives an empty result.
@@ -116,54 +117,92 @@ def gold(labels: DataFrame) -> DataFrame:
             .agg(F.when(F.max(toxic), HARMFUL).when(F.max(poor), POOR).otherwise(GOOD).alias("gold")))
 
 
-def flagged_words(docs: DataFrame, labels: DataFrame, flag_sample: int) -> np.ndarray:
-    """Hashes of words that mark toxic documents in a bounded sample of labelled ones.
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
-    Copies of one text count once: documents are told apart by the least hash of their five-word shingles.
+
+def flagged_words(docs: DataFrame, labels: DataFrame) -> np.ndarray:
+    """Hashes of words that mark toxic documents among all labelled ones.
+
+    Copies of one text count once: documents are told apart by the least hash of their five-word shingles. A word must stand in
+    so many toxic texts that less than one word of the vocabulary is expected there by chance, and be 20 times as frequent there.
     """
     from tidegauge.llm.near_dedup import shingles
 
     marks = gold(labels).select("doc_id", (F.col("gold") == HARMFUL).cast("int").alias("toxic"))
-    sizes = {r["toxic"]: r["count"] for r in marks.groupBy("toxic").count().collect()}
-    if not sizes.get(1):
-        return np.zeros(0, np.uint64)
-    share = F.when(F.col("toxic") == 1, min(1.0, flag_sample / sizes[1])).otherwise(min(1.0, 3 * flag_sample / max(sizes.get(0, 0), 1)))
-    picked = marks.where(F.rand(5) < share)
-    some = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(
-        F.broadcast(picked), "doc_id")  # at most about 4 * flag_sample rows
 
-    def work(batches):
+    def least(batches):
         for batch in batches:
-            data, at = column_bytes(batch.column(0))
+            data, at = column_bytes(batch.column(1))
             for lo, hi, part, own in pieces(data, at):
-                x = Counted(part, own)
                 row, element, _ = shingles(part, own)
-                least = np.zeros(hi - lo, np.uint64)
+                out = np.zeros(hi - lo, np.uint64)
                 if len(row):
-                    h = mix(element)
                     start = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-                    least[row[start]] = np.minimum.reduceat(h, start)
-                toxic = batch.column(1).slice(lo, hi - lo).to_numpy()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x.word.view(np.int64)), pa.array(toxic[x.row]), pa.array(least[x.row].view(np.int64))], ["word", "toxic", "text"])
+                    out[row[start]] = np.minimum.reduceat(mix(element), start)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(out.view(np.int64))], ["doc_id", "least"])
 
-    words = some.select("text", F.col("toxic").cast("int")).mapInArrow(work, "word bigint, toxic int, text bigint").distinct()
-    most = {r["toxic"]: r["n"] for r in words.groupBy("toxic").agg(F.approx_count_distinct("text").alias("n")).collect()}
+    def work(batches):
+        for batch in batches:
+            data, at = column_bytes(batch.column(0))
+            toxic = batch.column(1).to_numpy()
+            for lo, hi, part, own in pieces(data, at):
+                x = Counted(part, own)
+                word, back = np.unique(x.word, return_inverse=True)
+                t = np.bincount(back, toxic[lo:hi][x.row], len(word)).astype(np.int64)
+                c = np.bincount(back, minlength=len(word)) - t
+                yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(t), pa.array(c)], ["word", "t", "c"])
+
+    if marks.where("toxic = 1").isEmpty():
+        return np.zeros(0, np.uint64)
+    known = _texts(docs).mapInArrow(least, "doc_id bigint, least bigint").join(marks, "doc_id")
+    # Of a text's copies the least doc_id is read; texts without shingles are read one by one.
+    one = stored(known.groupBy("least", "toxic", F.when(F.col("least") == 0, F.col("doc_id")).alias("_own"))
+                 .agg(F.min("doc_id").alias("doc_id")).select("doc_id", "toxic"), "labelled")
+    most = {r["toxic"]: r["count"] for r in one.groupBy("toxic").count().collect()}
     bad, good = most.get(1, 0), max(most.get(0, 0), 1)
-    met = words.groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
-    found = met.where((F.col("t") >= 3 + bad // 100) & (F.col("t") / bad >= 20 * (F.col("c") + 0.5) / good)).select("word").toArrow()
+    if not bad:
+        return np.zeros(0, np.uint64)
+    words = stored(_texts(docs).join(one, "doc_id").select("text", "toxic").mapInArrow(work, "word bigint, t bigint, c bigint")
+                   .groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c")), "words")
+    least_t = max(3, int(np.ceil(np.log(max(words.count(), 1)) / -np.log(min(bad / (bad + good), 0.5)))))
+    found = words.where((F.col("t") >= least_t) & (F.col("t") / bad >= 20 * (F.col("c") + 0.5) / good)).select("word").toArrow()
     return np.sort(found.column("word").to_numpy().view(np.uint64))
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and a key that copies of a text share."""
+    return _texts(docs).withColumn("key", F.xxhash64(F.coalesce("text", F.lit(""))))
+
+
 def _votes(docs: DataFrame, shared) -> DataFrame:
     def work(batches):
         for batch in batches:
             data, at = column_bytes(batch.column(1))
             for lo, hi, part, own in pieces(data, at):
                 found = pattern(Counted(part, own).votes(shared.value))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(found, pa.int32())], ["doc_id", "pattern"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(found, pa.int32())], ["doc_id", "key", "pattern"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(work, "doc_id bigint, pattern int")
+    return _keyed(docs).mapInArrow(work, "doc_id bigint, key bigint, pattern int")
+
+
+def class_sample(rows: DataFrame, likeliest: dict[int, int], train_sample: int) -> DataFrame:
+    """key, pattern and gold of at most about ``train_sample`` distinct texts: half good, a quarter poor, a quarter harmful.
+
+    ``rows`` (key, pattern, gold); a text's class is its label (of several the worst), else the likeliest of its pattern.
+    """
+    texts = rows.groupBy("key").agg(F.min("pattern").alias("pattern"), F.min("gold").alias("gold"))
+    sizes = texts.groupBy("pattern", "gold").count().collect()  # at most four rows a pattern
+    kind = {(r["pattern"], r["gold"]): r["gold"] if r["gold"] != UNKNOWN else likeliest[r["pattern"]] for r in sizes}
+    total = np.zeros(3)
+    for r in sizes:
+        total[kind[r["pattern"], r["gold"]]] += r["count"]
+    quota = {POOR: train_sample / 4, HARMFUL: train_sample / 4, GOOD: train_sample / 2}
+    shares = rows.sparkSession.createDataFrame(
+        [(p, g, float(min(1.0, quota[c] / total[c]))) for (p, g), c in kind.items()], "pattern int, gold int, share double")
+    drawn = F.pmod(F.xxhash64("key", F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
+    return texts.join(F.broadcast(shares), ["pattern", "gold"]).where(drawn < F.col("share")).select("key", "pattern", "gold")
 
 
 def estimate(votes: np.ndarray, weight: np.ndarray, known: np.ndarray, turns: int = 100) -> tuple[np.ndarray, np.ndarray]:
@@ -207,42 +246,41 @@ def pattern_chance(patterns: np.ndarray, n: np.ndarray, known: np.ndarray, good:
     return {p: a / b for p, (a, b) in seen.items()}
 
 
-def fit(docs: DataFrame, labels: DataFrame, flag_sample: int = 2000, train_sample: int = 6000):
+def fit(docs: DataFrame, labels: DataFrame, train_sample: int = 6000):
     """Flagged words and the weights of the scorer."""
     sc = docs.sparkSession.sparkContext
-    flagged = flagged_words(docs, labels, flag_sample)
+    flagged = flagged_words(docs, labels)
     shared = sc.broadcast(flagged)
     votes = stored(_votes(docs, shared), "votes")
     marks = gold(labels).select("doc_id", "gold")
-    seen = votes.join(marks, "doc_id", "left").groupBy("pattern", F.coalesce("gold", F.lit(UNKNOWN)).alias("gold")).count().toArrow()
+    known_rows = votes.join(marks, "doc_id", "left").select("key", "pattern", F.coalesce("gold", F.lit(UNKNOWN)).alias("gold"))
+    seen = known_rows.groupBy("pattern", "gold").count().toArrow()
     patterns, known = seen.column("pattern").to_numpy().astype(np.int64), seen.column("gold").to_numpy()
     n = seen.column("count").to_numpy().astype(float)
     if not len(n):
         return flagged, np.zeros((DIMS, 2))
     share, table = estimate(unpack(patterns), n, known)
-    chance = pattern_chance(patterns, n, known, posterior(unpack(patterns), share, table)[:, GOOD])
+    after = posterior(unpack(patterns), share, table)
+    chance = pattern_chance(patterns, n, known, after[:, GOOD])
+    picked = class_sample(known_rows, dict(zip(patterns.tolist(), after.argmax(1).tolist())), train_sample)
 
     def work(batches):
         for batch in batches:
-            data, at = column_bytes(batch.column(1))
+            data, at = column_bytes(batch.column(0))
             for lo, hi, part, own in pieces(data, at):
                 x = Counted(part, own)
-                v = x.votes(shared.value)
-                row, dim, value = x.features(v)
+                row, dim, value = x.features(x.votes(shared.value))
                 order = np.argsort(row, kind="stable")
                 ends = np.searchsorted(row[order], np.arange(hi - lo + 1))
                 lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(a[order], t)) for a, t in ((dim, pa.int32()), (value, pa.float32()))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(pattern(v), pa.int32()), *lists], ["doc_id", "pattern", "at", "x"])
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), *lists], ["pattern", "gold", "at", "x"])
 
-    part = min(1.0, train_sample / n.sum())
-    sampled = docs.where(F.rand(3) < part).select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(
-        work, "doc_id bigint, pattern int, at array<int>, x array<float>")
-    some = sampled.join(marks, "doc_id", "left").select("pattern", F.coalesce("gold", F.lit(UNKNOWN)).alias("gold"), "at", "x").toArrow()
+    some = _keyed(docs).join(F.broadcast(picked), "key").dropDuplicates(["key"]).select("text", "pattern", "gold").mapInArrow(
+        work, "pattern int, gold int, at array<int>, x array<float>").toArrow()
     good = np.array([chance[p] for p in some.column("pattern").to_pylist()])
     mark = some.column("gold").to_numpy()
     good = np.where(mark == GOOD, 1.0, np.where(mark != UNKNOWN, 0.0, good))
-    rows = [(a.values.to_numpy(), x.values.to_numpy()) for a, x in zip(some.column("at"), some.column("x"), strict=True)][: 2 * train_sample]
-    good = good[: len(rows)]
+    rows = [(a.values.to_numpy(), x.values.to_numpy()) for a, x in zip(some.column("at"), some.column("x"), strict=True)]
     return flagged, ftrl.train(rows, np.stack([1 - good, good], 1), DIMS, rate=0.2, l1=0.02, l2=1e-3)
 
 
