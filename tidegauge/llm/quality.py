@@ -125,7 +125,7 @@ def flagged_words(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """Hashes of words that mark toxic documents among all labelled ones.
 
     Copies of one text count once: documents are told apart by the least hash of their five-word shingles. A word must stand in
-    so many toxic texts that less than one word of the vocabulary is expected there by chance, and be 20 times as frequent there.
+    so many toxic texts that a thousandth word of the vocabulary is expected there by chance, and be 20 times as frequent there.
     """
     from tidegauge.llm.near_dedup import shingles
 
@@ -165,7 +165,7 @@ def flagged_words(docs: DataFrame, labels: DataFrame) -> np.ndarray:
         return np.zeros(0, np.uint64)
     words = stored(_texts(docs).join(one, "doc_id").select("text", "toxic").mapInArrow(work, "word bigint, t bigint, c bigint")
                    .groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c")), "words")
-    least_t = max(3, int(np.ceil(np.log(max(words.count(), 1)) / -np.log(min(bad / (bad + good), 0.5)))))
+    least_t = max(3, int(np.ceil(np.log(1000 * max(words.count(), 1)) / -np.log(min(bad / (bad + good), 0.5)))))
     found = words.where((F.col("t") >= least_t) & (F.col("t") / bad >= 20 * (F.col("c") + 0.5) / good)).select("word").toArrow()
     return np.sort(found.column("word").to_numpy().view(np.uint64))
 
