@@ -2,7 +2,9 @@
 
 Ten heuristic labellers vote good, bad or nothing on every document. Expectation-maximisation over the counts of all vote
 patterns estimates how each labeller votes on poor, harmful and good documents; rows of ``labels`` enter as documents whose
-class is known. The posteriors are the targets of a hashed linear scorer over words and votes, which judges every document.
+class is known. The targets of a hashed linear scorer over words and votes, which judges every document, are the hand labels of
+labelled documents; for the others the posterior of their vote pattern, joined as five documents with the labelled ones of that
+pattern, so that it fades where a pattern has many labels.
 
 Bounds: the scorer is fitted on at most about ``train_sample`` distinct texts, drawn per class so that a rare class is covered: half
 of them good, a quarter poor and a quarter harmful, by label or by the likeliest class of their votes; patterns are at most 3^10.
