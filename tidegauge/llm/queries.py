@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidegauge.llm import (
-    decontamination, language, line_dedup, lm_scoring, near_dedup, packing, quality, secrets, topk, url_trust)
+    decontamination, language, line_dedup, lm_scoring, near_dedup, packing, periodic_runs, quality, secrets, topk, url_trust)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -78,6 +78,11 @@ def op10_decontaminate(spark, sf_dir):
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op13_periodic_runs(spark, sf_dir):
+    return periodic_runs.report(periodic_runs.find_runs(periodic_runs.with_planted_periods(table(spark, sf_dir, "documents"))))
+
+
 @query
 def pipeline(spark, sf_dir):
     import corpus_pipeline
