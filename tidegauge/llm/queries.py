@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidegauge.llm import (
-    decontamination, language, line_dedup, lm_scoring, near_dedup, packing, periodic_runs, quality, secrets, topk, url_trust)
+    decontamination, language, line_dedup, lm_scoring, near_dedup, packing, periodic_runs, quality, ranked_search,
+    secrets, topk, url_trust)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -78,6 +79,11 @@ def op10_decontaminate(spark, sf_dir):
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op11_ranked_search(spark, sf_dir):
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op13_periodic_runs(spark, sf_dir):
     return periodic_runs.report(periodic_runs.find_runs(periodic_runs.with_planted_periods(table(spark, sf_dir, "documents"))))
@@ -93,3 +99,4 @@ def pipeline(spark, sf_dir):
 ORACLES["op1_url_trust"] = url_trust.ORACLE
 ORACLES["op2_topk_pivots"] = topk.ORACLE
 ORACLES["op10_decontaminate"] = decontamination.ORACLE
+ORACLES["op11_ranked_search"] = ranked_search.ORACLE
