@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidegauge.llm import (
-    decontamination, language, line_dedup, lm_scoring, near_dedup, packing, periodic_runs, quality, ranked_search,
+    decontamination, html_wrappers, language, line_dedup, lm_scoring, near_dedup, packing, periodic_runs, quality, ranked_search,
     secrets, topk, url_trust)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,6 +84,11 @@ def op11_ranked_search(spark, sf_dir):
     return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op12_html_wrappers(spark, sf_dir):
+    return html_wrappers.report(table(spark, sf_dir, "pages"))
+
+
 @query
 def op13_periodic_runs(spark, sf_dir):
     return periodic_runs.report(periodic_runs.find_runs(periodic_runs.with_planted_periods(table(spark, sf_dir, "documents"))))
