@@ -8,10 +8,11 @@ import pytest
 from conftest import SF_SMALL
 
 import __spark_entry__ as entry_point
+from tidegauge.catalogue import base
 
 TABLES = "orders lineitem events embeddings".split()
-SQL = entry_point.oracle_sql()
-QUERIES = entry_point.queries()
+SQL, QUERIES = base.ORACLES, base.QUERIES  # the training-data operators are checked beside their own tables
+entry_point.queries()
 CHECKED = [n for n in SQL if not n.startswith("feature_")] + ["feature_median", "feature_spectral_centroid", "feature_mfcc"]
 
 
@@ -41,7 +42,8 @@ def test_query(spark, duck, name):
 
 
 def test_registry():
-    assert set(SQL) <= set(QUERIES)
+    assert set(SQL) <= set(QUERIES) <= set(entry_point.queries())
+    assert set(entry_point.oracle_sql()) <= set(entry_point.queries())
 
 
 def test_entry(spark):

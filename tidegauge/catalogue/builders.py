@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
-from tidegauge.catalogue.base import EV, LI, OD, query, r, rnd, splits_sql, windows_sql
+from tidegauge.catalogue.base import EV, LI, OD, query, r, rnd, rounded, splits_sql, windows_sql
 from tidegauge.catalogue.prep import L, NS, P, SK, _named_sets, _rows, rows_sql
 from tidegauge.catalogue.values import _SCALE, _TOK
 from tidegauge.config import KEYS, PrepConfig
 from tidegauge.operators import joins, scaling, splits
+from tidegauge.operators.packed import pack
 from tidegauge.plans import builders, scoring, text
 from tidegauge.sources.tables import events_series, orders_daily, supplier_series
 
@@ -53,6 +56,38 @@ def build_statistical_test(spark, d):
     return _rows(builders.csv_samples(ev, _prompts(ev), CFG, ["test"]), SKO)
 
 
+# A bank that has no vector for parts of less than M points.
+M = 8
+_FEW = _PROMPT.replace("GROUP BY 1, 2, 3)", f"GROUP BY 1, 2, 3 HAVING count(*) >= {M})")
+
+
+def _few_prompts(series):
+    return splits.split_plain(series).groupBy(*SK).agg(F.array(F.max("y"), F.avg("y"), F.min("y")).alias("features"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= M)
+
+
+@query(f"""{_TRAIN}{_FEW} SELECT DISTINCT split, dataset, series_id FROM w ANTI JOIN pv USING (split, dataset, series_id)""")
+def missing_prompts(spark, d):
+    """Splits of series that have windows, but no vector in the bank."""
+    ev = events_series(spark, d)
+    return builders.missing_prompts(ev, _few_prompts(ev), CFG)
+
+
+@query(_with_prompt(_TRAIN).replace(_PROMPT, _FEW))
+def build_statistical_drop_missing(spark, d):
+    """Windows of the series that have a vector, where the others are left out on demand."""
+    ev = events_series(spark, d)
+    return _rows(builders.statistical_samples(ev, _few_prompts(ev), replace(CFG, on_missing="drop")), SKO)
+
+
+@query(f"""WITH {EV} SELECT dataset, series_id, idx, {r('y')} AS y, count(*) OVER k AS n,
+{r('avg(y) OVER k')} AS mean, {r('CASE WHEN stddev_pop(y) OVER k = 0 THEN 1 ELSE stddev_pop(y) OVER k END')} AS scale
+FROM ev WINDOW k AS (PARTITION BY dataset, series_id)""")
+def packed_series(spark, d):
+    """Series stored in chunks, read back as points with the profile each chunk carries."""
+    packed = pack(events_series(spark, d))
+    return rounded(packed.rows().join(packed.series(), KEYS), "y", "mean", "scale")
+
+
 @query(f"""WITH {EV}, {NS}, {splits_sql('ns', "(CASE WHEN dataset = 'ETTh1' THEN 0.6 ELSE 0.7 END)::DOUBLE",
     "(CASE WHEN dataset = 'ETTh1' THEN 0.2 ELSE 0.1 END)::DOUBLE", L, L + P)},
 par AS (SELECT dataset, series_id, avg(y) AS mu, stddev_pop(y) AS sd FROM ns GROUP BY 1, 2),

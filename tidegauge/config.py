@@ -19,6 +19,7 @@ class PrepConfig:
     stride: int = 10
     scale_on_train: bool = False
     strict: bool = False
+    on_missing: str = "raise"  # of a series without prompt; "drop" leaves it out, see missing_prompts
 
 
 # Largest group that a plan may gather into one array or one in-task sort.
@@ -28,6 +29,11 @@ MAX_GROUP_ROWS = ("spark.tidegauge.maxGroupRows", 100_000)
 CHUNK_ROWS = ("spark.tidegauge.chunkRows", 32_768)
 # Offsets per chunk when sample windows are cut.
 WINDOW_CHUNK = ("spark.tidegauge.windowChunk", 4_096)
+# Points per chunk of a packed series table, the points after it that are stored with it, and
+# the chunks that share one copy of what is joined per series.
+PACK_CHUNK = ("spark.tidegauge.packChunk", 8_192)
+PACK_HALO = ("spark.tidegauge.packHalo", 1_023)
+PACK_BLOCK = ("spark.tidegauge.packBlock", 16)
 
 
 def bound(spark, setting) -> int:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,12 +11,24 @@ from pyspark.sql import functions as F
 from tidegauge.config import KEYS, PrepConfig
 from tidegauge.functions.arrays import tokenise
 from tidegauge.functions.calendar import fields_for, future_timestamps, plain_fields
-from tidegauge.operators.joins import dataset_index, ordinal_lookup, prompt_lookup
+from tidegauge.operators.joins import dataset_index
 from tidegauge.operators.order import join_groups
+from tidegauge.operators.packed import (
+    Packed,
+    fit_prefix,
+    keyed_prompts,
+    ordinal_prompts,
+    pack,
+    packed_windows,
+    prompt_blocks,
+    wanted_keys,
+)
 from tidegauge.operators.sampling import shuffled_batches
 from tidegauge.operators.scaling import fit_on_train, processor
 from tidegauge.operators.splits import (
     lengths,
+    lookback_bounds,
+    part,
     prediction_tail,
     split_borders,
     split_calendar,
@@ -65,11 +78,73 @@ def cut_samples(
     return out
 
 
-def _prompted(parts, prompts, cfg, splits, stride) -> DataFrame:
-    """Windows that carry the vector of their series; it is joined to the chunks."""
+Source = DataFrame | Packed
+
+
+def packed_for(source: Source, cfg: PrepConfig, rules: DataFrame | None = None) -> Packed:
+    """A long series table is stored in chunks first; a packed one is used as it is.
+
+    Its length is cut to the cap of the dataset's rule, and its split ratios stand beside it.
+    """
+    packed = source if isinstance(source, Packed) else pack(source, cfg.seq_len + cfg.pred_len)
+    chunks, train, val = packed.chunks, F.lit(cfg.train_ratio), F.lit(cfg.val_ratio)
+    if rules is not None:
+        own = F.broadcast(rules.select("dataset", "train_ratio", "val_ratio", "row_cap"))  # one row per known dataset
+        chunks = chunks.join(own, "dataset", "left").withColumn("n", F.least("n", F.coalesce("row_cap", "n"))).drop("row_cap")
+        train, val = F.coalesce("train_ratio", train), F.coalesce("val_ratio", val)
+    return replace(packed, chunks=chunks.withColumns({"train_ratio": train, "val_ratio": val}))
+
+
+def _lookback(cfg: PrepConfig):
+    """Bounds of the look-back splits, and what a series must fulfil, over columns of the packed table."""
+    ratios = F.col("train_ratio"), F.col("val_ratio")
+    return lookback_bounds(cfg.seq_len, *ratios), part(F.col("n"), ratios[0]) >= cfg.seq_len + cfg.pred_len
+
+
+def lookback_windows(
+    source: Source, cfg: PrepConfig, splits: list[str], stride: dict[str, int], rules: DataFrame | None = None,
+    prompts: DataFrame | None = None, find: Callable[[DataFrame, DataFrame], DataFrame] = keyed_prompts, fit_rows: str = "all",
+) -> DataFrame:
+    """Standardised windows of the look-back splits, with the vector of their series if ``prompts`` are given.
+
+    One scan of the packed table; only chunks and prompts meet in an exchange.  The scaler reads the whole series, rows beyond
+    a dataset's cap included; ``fit_rows="truncated"`` leaves those out, and ``cfg.scale_on_train`` reads the train part only.
+    A series without prompt raises, or is left out with ``cfg.on_missing="drop"``.
+    """
+    packed = packed_for(source, cfg, rules)
+    bounds, guard = _lookback(cfg)
+    bounds = {name: bounds[name] for name in splits}
+    span = cfg.seq_len + cfg.pred_len
     if cfg.strict:
-        prompt_lookup(parts.select(*SPLIT_KEYS).filter(F.col("split").isin(splits)).distinct(), prompts, True)
-    return cut_samples(parts, cfg, splits, stride, lambda chunks: prompt_lookup(chunks, prompts)[0])
+        short = _split_keys(packed, bounds, guard).filter((F.col("hi") > F.col("lo")) & (F.col("hi") - F.col("lo") < span)).limit(1).collect()
+        if short:
+            raise ValueError(f"series shorter than {span} points: {short[0].asDict()}")
+    params = None
+    if cfg.scale_on_train:
+        params = fit_prefix(packed, part(F.col("n"), F.col("train_ratio")))
+    elif fit_rows == "truncated":
+        params = fit_prefix(packed, F.col("n"))
+    attach = None
+    if prompts is not None:
+        attach = prompt_blocks(packed, find(_split_keys(packed, bounds, guard, span), prompts), cfg.on_missing)
+    return packed_windows(packed, bounds, cfg.seq_len, cfg.pred_len, stride, guard, attach, params)
+
+
+def _split_keys(packed: Packed, bounds, guard, span: int | None = None) -> DataFrame:
+    """(split, keys, lo, hi) per series and split; with ``span``, of those that hold a window."""
+    return wanted_keys(packed, bounds, -(1 << 62) if span is None else span, guard)
+
+
+def missing_prompts(
+    source: Source, prompts: DataFrame, cfg: PrepConfig = PrepConfig(), splits: list[str] | None = None,
+    rules: DataFrame | None = None, find: Callable[[DataFrame, DataFrame], DataFrame] = keyed_prompts,
+) -> DataFrame:
+    """split, dataset and series_id of all that has windows but no prompt: what ``on_missing="drop"`` leaves out."""
+    packed = packed_for(source, cfg, rules)
+    bounds, guard = _lookback(cfg)
+    bounds = {name: bounds[name] for name in splits or TRAIN}
+    found = find(_split_keys(packed, bounds, guard, cfg.seq_len + cfg.pred_len), prompts)
+    return found.filter(F.col("prompt").isNull()).select(*SPLIT_KEYS)
 
 
 def strides(cfg: PrepConfig, **override: int) -> dict[str, int]:
@@ -90,11 +165,11 @@ def dropped_series(series: DataFrame, cfg: PrepConfig, rules: DataFrame | None =
 
 
 def statistical_samples(
-    series: DataFrame, prompts: DataFrame, cfg: PrepConfig = PrepConfig(), splits: list[str] = TRAIN,
+    series: Source, prompts: DataFrame, cfg: PrepConfig = PrepConfig(), splits: list[str] = TRAIN,
     rules: DataFrame | None = None,
 ) -> DataFrame:
     """Windows whose input is the series' feature vector followed by the values."""
-    windows = _prompted(scaled_splits(series, cfg, rules), prompts, cfg, splits, strides(cfg))
+    windows = lookback_windows(series, cfg, splits, strides(cfg), rules, prompts)
     return with_prefix(windows, "prompt").drop("prompt")
 
 
@@ -104,21 +179,21 @@ def csv_samples(series, prompts, cfg=PrepConfig(), splits=TRAIN, rules=None) ->
 
 
 def text_samples(
-    series: DataFrame, dim: DataFrame, cfg: PrepConfig = PrepConfig(), splits: list[str] = TRAIN,
+    series: Source, dim: DataFrame, cfg: PrepConfig = PrepConfig(), splits: list[str] = TRAIN,
     rules: DataFrame | None = None,
 ) -> DataFrame:
     """Windows whose input starts with the dataset's class number."""
-    windows = cut_samples(scaled_splits(series, cfg, rules), cfg, splits, strides(cfg))
+    windows = lookback_windows(series, cfg, splits, strides(cfg), rules)
     indexed = dataset_index(windows, dim)
     return with_prefix(indexed, F.array(F.col("ds_index").cast("double")))
 
 
 def token_samples(
-    series: DataFrame, prompts: DataFrame, cfg: PrepConfig = PrepConfig(), splits: list[str] = TRAIN,
+    series: Source, prompts: DataFrame, cfg: PrepConfig = PrepConfig(), splits: list[str] = TRAIN,
     rules: DataFrame | None = None,
 ) -> DataFrame:
     """Windows as tokens: input and label share one scale, the prompt has its own."""
-    matched = _prompted(scaled_splits(series, cfg, rules), prompts, cfg, splits, strides(cfg))
+    matched = lookback_windows(series, cfg, splits, strides(cfg), rules, prompts)
     span = cfg.seq_len + cfg.pred_len
     both = tokenise(matched.withColumn("_all", F.concat("x", "y")), "_all", span, "_t", "scale")
     both = tokenise(both, "prompt", span, "_pt", "_ps")
@@ -133,13 +208,7 @@ def tsf_samples(
     val_stride: int = 54,
 ) -> DataFrame:
     """Windows of attribute-header files; prompts are found by series ordinal."""
-    ordinal = F.expr("cast(substr(series_id, 2) as bigint) - 1")
-
-    def attach(chunks):
-        found = ordinal_lookup(chunks.withColumn("ordinal", ordinal), prompts)
-        return found.filter(F.col("prompt").isNotNull()).drop("ordinal")
-
-    windows = cut_samples(scaled_splits(tsf_series(tsf), cfg), cfg, splits, strides(cfg, val=val_stride), attach)
+    windows = lookback_windows(tsf_series(tsf), cfg, splits, strides(cfg, val=val_stride), None, prompts, ordinal_prompts)
     return with_prefix(windows, "prompt").drop("prompt")
 
 
