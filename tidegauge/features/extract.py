@@ -7,21 +7,13 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.config import KEYS
+from tidegauge.config import KEYS, MAX_GROUP_ROWS, bound
 from tidegauge.features import native, spectral
+from tidegauge.features.onepass import ARRAY_FEATURES, WAVELET, WHOLE_SPECTRUM, extract_arrays
 from tidegauge.features.registry import Feature, select
-from tidegauge.operators.order import rank_within, GroupProfile, fits, gather, profile
+from tidegauge.operators.order import GroupProfile, fits, gather, join_groups, rank_within
 from tidegauge.operators.windows import signal_windows
 
-_WHOLE_SPECTRUM = {
-    "human_range_energy", "max_power_spectrum", "max_frequency", "median_frequency", "power_bandwidth",
-    "spectral_centroid", "spectral_decrease", "spectral_distance", "spectral_entropy", "spectral_kurtosis",
-    "spectral_positive_turning", "spectral_roll_off", "spectral_roll_on", "spectral_skewness",
-    "spectral_slope", "spectral_spread", "spectral_variation",
-}
-_WAVELET = {"wavelet_abs_mean", "wavelet_energy", "wavelet_entropy", "wavelet_std", "wavelet_var"}
-
-
 def _long(wide: DataFrame, keys: list[str], features: list[Feature]) -> DataFrame:
     """(feature, k, value) rows; an array whose first value is NaN becomes zeros."""
     types = dict(wide.dtypes)
@@ -47,11 +39,23 @@ def _long(wide: DataFrame, keys: list[str], features: list[Feature]) -> DataFram
     )
 
 
-def _present(signal: DataFrame, keys: list[str]) -> DataFrame:
-    missing = F.col("y").isNull() | F.isnan(F.col("y").cast("double"))
-    if signal.filter(missing).isEmpty():
+def _missing(y="y"):
+    return F.col(y).isNull() | F.isnan(F.col(y).cast("double"))
+
+
+def point_profile(signal: DataFrame, keys: list[str]) -> GroupProfile:
+    """Rows, longest group and missing points, in one pass; three numbers reach the driver."""
+    sizes = signal.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if(_missing()).alias("m"))
+    total = sizes.agg(F.sum("n").alias("rows"), F.max("n").alias("longest"), F.sum("m").alias("missing")).first()
+    return GroupProfile(total["rows"] or 0, total["longest"] or 0, total["missing"] or 0)
+
+
+def _present(signal: DataFrame, keys: list[str], prof: GroupProfile) -> DataFrame:
+    """Without missing points; the others close up."""
+    if prof.missing == 0:
         return signal
-    return rank_within(signal.filter(~missing).withColumnRenamed("idx", "_at"), keys, ["_at"]).select(*keys, "idx", "y")
+    there = signal.filter(~_missing()).withColumnRenamed("idx", "_at")
+    return rank_within(there, keys, ["_at"], prof=prof).select(*keys, "idx", "y")
 
 
 def extract(
@@ -66,40 +70,29 @@ def extract(
     are left out first, and the others close up.
     """
     chosen = select(domain, tag, names, fs, overrides)
-    signal = signal.select(*keys, "idx", "y")
-    whole_signal = _present(signal, keys)
-    prof = prof if prof and whole_signal is signal else profile(whole_signal, keys)
-    signal = whole_signal
+    points = signal.select(*keys, "idx", "y")
+    prof = prof if prof and prof.missing is not None else point_profile(points, keys)
+    signal = _present(points, keys, prof)
     by_col = {f.column: f for f in chosen if f.fn is None}
     user = [f for f in chosen if f.fn is not None and f.over == "rows"]
     arrays = [f for f in chosen if f.fn is not None and f.over == "array"]
-    sizes = signal.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     out: list[DataFrame] = []
 
     def param(column, key, default):
         return by_col[column].params.get(key, default) if column in by_col else default
 
-    whole = [f for c, f in by_col.items() if c in _WHOLE_SPECTRUM]
-    for rate in sorted({f.params["fs"] for f in whole}):
-        table = spectral.spectral_table(signal, keys, rate, prof)
-        out.append(_long(table, keys, [f for f in whole if f.params["fs"] == rate]))
-    if "fundamental_frequency" in by_col:
-        f = by_col.pop("fundamental_frequency")
-        out.append(_long(spectral.fundamental_frequency(signal, keys, f.params["fs"], prof), keys, [f]))
-    if "fft_mean_coeff" in by_col:
-        f = by_col.pop("fft_mean_coeff")
-        table = spectral.fft_mean_coeff(signal, keys, f.params["nfreq"], f.params["fs"], sizes, prof)
-        out.append(_long(table, keys, [f]))
-    if "lpcc" in by_col:
-        f = by_col.pop("lpcc")
-        out.append(_long(spectral.lpcc(signal, keys, f.params["n_coeff"], prof), keys, [f]))
-    if "mfcc" in by_col:
-        f = by_col.pop("mfcc")
-        out.append(_long(spectral.mfcc(signal, keys, **f.params), keys, [f]))
-    waves = [f for c, f in by_col.items() if c in _WAVELET]
-    for widths in sorted({tuple(f.params["widths"]) for f in waves}):
-        table = spectral.wavelet_table(signal, keys, widths)
-        out.append(_long(table, keys, [f for f in waves if tuple(f.params["widths"]) == widths]))
+    gathered = [f for c, f in by_col.items() if c in ARRAY_FEATURES]
+    if gathered and fits(signal, prof):
+        out.append(extract_arrays(points, keys, gathered))
+    elif gathered:
+        limit = bound(signal.sparkSession, MAX_GROUP_ROWS)
+        sizes = signal.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+        short = join_groups(signal, sizes.filter(F.col("n") <= limit), keys, prof).drop("n")
+        long = join_groups(signal, sizes.filter(F.col("n") > limit), keys, prof).drop("n")
+        out.append(extract_arrays(short, keys, gathered))
+        out += _tables(long, keys, gathered, sizes.filter(F.col("n") > limit), prof)
+    for f in gathered:
+        by_col.pop(f.column)
     if "entropy" in by_col:
         f = by_col.pop("entropy")
         prob = f.params.get("prob", "standard")
@@ -114,13 +107,30 @@ def extract(
         packed = gather(signal, keys, "idx", "y")
         wide = packed.select(*keys, *[f.fn(F.col("x"), **f.params).alias(f.column) for f in arrays])
         out.append(_long(wide, keys, arrays))
-    done = _WHOLE_SPECTRUM | _WAVELET
-    rest = [f for c, f in by_col.items() if c not in done]
+    rest = list(by_col.values())
     if rest or user:
         out.append(_native(signal, keys, prof, rest, user, param))
     return reduce(DataFrame.unionByName, out)
 
 
+def _tables(signal, keys, features, sizes, prof) -> list[DataFrame]:
+    """The features that need a whole signal, for signals too long to gather: a table per family."""
+    by_col, out = {f.column: f for f in features}, []
+    whole = [f for c, f in by_col.items() if c in WHOLE_SPECTRUM]
+    for rate in sorted({f.params["fs"] for f in whole}):
+        out.append(_long(spectral.spectral_table(signal, keys, rate, prof), keys, [f for f in whole if f.params["fs"] == rate]))
+    waves = [f for c, f in by_col.items() if c in WAVELET]
+    for widths in sorted({tuple(f.params["widths"]) for f in waves}):
+        out.append(_long(spectral.wavelet_table(signal, keys, widths), keys, [f for f in waves if tuple(f.params["widths"]) == widths]))
+    single = {
+        "fundamental_frequency": lambda p: spectral.fundamental_frequency(signal, keys, p["fs"], prof),
+        "fft_mean_coeff": lambda p: spectral.fft_mean_coeff(signal, keys, p["nfreq"], p["fs"], sizes, prof),
+        "lpcc": lambda p: spectral.lpcc(signal, keys, p["n_coeff"], prof),
+        "mfcc": lambda p: spectral.mfcc(signal, keys, **p),
+    }
+    return out + [_long(make(by_col[c].params), keys, [by_col[c]]) for c, make in single.items() if c in by_col]
+
+
 def _native(signal, keys, prof, rest, user, param) -> DataFrame:
     fs = next((f.params["fs"] for f in rest if "fs" in f.params), 100.0)
     pct = list(param("ecdf_percentile", "percentile", None) or param("ecdf_percentile_count", "percentile", (0.2, 0.8)))
@@ -146,11 +156,16 @@ def extract_windows(
 ) -> DataFrame:
     """Features of every complete signal window."""
     cut = signal_windows(series, window, overlap, keys)
-    prof = options.pop("prof", None) or GroupProfile(0, window)
+    prof = options.pop("prof", None)
+    if prof is None or prof.missing is None:
+        prof = GroupProfile(0, window, series.filter(_missing()).count())
     return extract(cut, [*keys, "win_id"], prof=prof, **options)
 
 
-def prune(features: DataFrame, prefix: str = "FFT mean coefficient") -> DataFrame:
+PRUNED = "FFT mean coefficient"
+
+
+def prune(features: DataFrame, prefix: str = PRUNED) -> DataFrame:
     """Drop the features whose name starts with ``prefix``."""
     return features.filter(~F.startswith(F.col("feature"), F.lit(prefix)))
 

@@ -303,13 +303,14 @@ def _lpc(acf: pd.Series) -> pd.Series:
 _lpc = once(_lpc)
 
 
+def _cepstrum_of(a: np.ndarray) -> np.ndarray:
+    a = np.asarray(a, dtype=float)
+    return a * 0 if a.sum() == 0 else np.abs(np.fft.ifft(np.log(np.abs(np.fft.fft(a)) ** 2)))
+
+
 @F.pandas_udf(VECTOR)
 def _cepstrum(coeffs: pd.Series) -> pd.Series:
-    out = []
-    for a in coeffs:
-        a = np.asarray(a, dtype=float)
-        out.append(a * 0 if a.sum() == 0 else np.abs(np.fft.ifft(np.log(np.abs(np.fft.fft(a)) ** 2))))
-    return pd.Series(out)
+    return pd.Series([_cepstrum_of(a) for a in coeffs])
 
 
 _cepstrum = once(_cepstrum)

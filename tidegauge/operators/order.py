@@ -23,6 +23,7 @@ from tidegauge.session import cut_lineage
 class GroupProfile:
     rows: int
     longest: int
+    missing: int | None = None  # points without value, where they were counted
 
 
 def profile(df: DataFrame, keys: list[str]) -> GroupProfile:

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.config import KEYS
-from tidegauge.features.extract import extract, prune, vectors
-from tidegauge.features.registry import catalogue
+from tidegauge.features.extract import PRUNED, extract, prune, vectors
+from tidegauge.features.registry import catalogue, select
 from tidegauge.operators.sampling import at_most
 from tidegauge.operators.splits import split_plain
 from tidegauge.session import cut_lineage
@@ -22,6 +22,8 @@ def generate_prompts(
 ) -> DataFrame:
     """Features of the three consecutive parts of every series, pruned, in long form."""
     parts = split_plain(min_length(series, min_points), train, val, rules)
+    if not {"domain", "tag", "names"} & options.keys():
+        options["names"] = [f.name for f in select() if not f.name.startswith(PRUNED)]
     return prune(extract(parts, SPLIT_KEYS, **options))
 
 
