@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegauge.llm.periodic_runs import free_name
+from tidegauge.llm.columns import free_name
 from tidegauge.llm.url_trust import host_of
 from tidegauge.session import stored
 

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegauge.llm.arrow_text import column_bytes, pieces
+from tidegauge.llm.columns import free_name
 
 CHUNK = 1 << 20  # bytes of text searched at once
 RUNS = T.ArrayType(T.StructType([T.StructField(name, T.LongType()) for name in ("start", "length", "period")]))
@@ -223,14 +224,6 @@ def _searched(text: pa.Array, times: int, shortest: int) -> tuple[pa.Array, pa.A
     return found, collapsed.cast(pa.string())
 
 
-def free_name(columns: list[str], wanted: str) -> str:
-    """``wanted``, with as many underscores behind it as keep it apart from ``columns``."""
-    taken = {c.lower() for c in columns}
-    while wanted.lower() in taken:
-        wanted += "_"
-    return wanted
-
-
 def find_runs(docs: DataFrame, text_col: str = "text", times: int = 4, shortest: int = 6, runs_col: str = "runs",
               collapsed_col: str = "collapsed") -> DataFrame:
     """``docs`` with the runs of each text (array of start, length and period, in words, by start, then period) and the text

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.llm import ftrl
 from tidegauge.llm.arrow_text import IS_WORD, Words, column_bytes, mix, pieces
+from tidegauge.llm.columns import free_name
 from tidegauge.session import stored
 
 LABELLERS = ("length", "symbols", "capitals", "repeats", "variety", "bars", "shouting", "word_size", "flagged", "sentences")
@@ -35,12 +36,19 @@ _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
 _LETTER = _UPPER.copy()
 _LETTER[97:123] = True
+_ODD = ~(IS_WORD | _PLAIN)
+PIECE = 1 << 19  # bytes of text worked on at once
 
 
 def _share(a, b):
     return a / np.maximum(b, 1)
 
 
+def short(word: np.ndarray) -> np.ndarray:
+    """The 40 bits by which flagged words are told apart."""
+    return word >> np.uint64(4)
+
+
 class Counted:
     """A run of texts with its distinct words and their counts."""
 
@@ -59,9 +67,13 @@ class Counted:
     def votes(self, flagged: np.ndarray) -> np.ndarray:
         """(texts, labellers) votes."""
         d, rows, w = self.data, self.rows, self.words
-        total = np.concatenate([np.zeros((1, 5), np.int64), np.cumsum(np.stack(
-            [~(IS_WORD[d] | _PLAIN[d]), _UPPER[d], _LETTER[d], d == 124, d == 33], 1), 0)]) if len(d) else np.zeros((1, 5), np.int64)
-        odd, upper, letter, bars, shouts = (total[self.at[1:]] - total[self.at[:-1]]).T
+
+        def of_texts(flags):
+            total = np.zeros(len(d) + 1, np.int32)
+            np.cumsum(flags, dtype=np.int32, out=total[1:])
+            return np.diff(total[self.at])
+
+        odd, upper, letter, bars, shouts = (of_texts(x) for x in (_ODD[d], _UPPER[d], _LETTER[d], d == 124, d == 33))
         size, n = np.diff(self.at), np.diff(w.row_at)
         chars = np.bincount(w.rows(), w.end - w.start, rows)
         same = np.zeros(len(w), bool)
@@ -72,7 +84,7 @@ class Counted:
         inside = w.end < len(d)
         ends[inside] = np.isin(d[w.end[inside]], np.frombuffer(b".?!:", np.uint8))
         stops = np.bincount(w.rows(), ends, rows)
-        hits = np.bincount(self.row, np.isin(self.word, flagged), rows) if len(flagged) else np.zeros(rows)
+        hits = np.bincount(self.row, np.isin(short(self.word), flagged), rows) if len(flagged) else np.zeros(rows)
 
         def vote(bad, good):
             return np.where(bad, 0, np.where(good, 2, 1))
@@ -133,39 +145,47 @@ def flagged_words(docs: DataFrame, labels: DataFrame) -> np.ndarray:
 
     marks = gold(labels).select("doc_id", (F.col("gold") == HARMFUL).cast("int").alias("toxic"))
 
-    def least(batches):
+    def slim(batches):
+        """Every document's least shingle and its distinct words, five bytes each."""
         for batch in batches:
             data, at = column_bytes(batch.column(1))
-            for lo, hi, part, own in pieces(data, at):
+            for lo, hi, part, own in pieces(data, at, PIECE):
                 row, element, _ = shingles(part, own)
                 out = np.zeros(hi - lo, np.uint64)
                 if len(row):
                     start = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
                     out[row[start]] = np.minimum.reduceat(mix(element), start)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(out.view(np.int64))], ["doc_id", "least"])
+                x = Counted(part, own)
+                raw = np.ascontiguousarray(short(x.word).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
+                ends = 5 * np.searchsorted(x.row, np.arange(hi - lo + 1))
+                words = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(raw)])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(lo, hi - lo), pa.array(out.view(np.int64)), words], ["doc_id", "least", "words"])
 
-    def work(batches):
+    def tally(batches):
         for batch in batches:
-            data, at = column_bytes(batch.column(0))
-            toxic = batch.column(1).to_numpy()
-            for lo, hi, part, own in pieces(data, at):
-                x = Counted(part, own)
-                word, back = np.unique(x.word, return_inverse=True)
-                t = np.bincount(back, toxic[lo:hi][x.row], len(word)).astype(np.int64)
+            if batch.num_rows:
+                raw = batch.column(0)
+                size = np.diff(np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1]) // 5
+                wide = np.zeros((int(size.sum()), 8), np.uint8)
+                wide[:, :5] = np.frombuffer(b"".join(raw.to_pylist()), np.uint8).reshape(-1, 5)
+                word, back = np.unique(wide.view("<u8").ravel(), return_inverse=True)
+                t = np.bincount(back, np.repeat(batch.column(1).to_numpy(), size), len(word)).astype(np.int64)
                 c = np.bincount(back, minlength=len(word)) - t
                 yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(t), pa.array(c)], ["word", "t", "c"])
 
     if marks.where("toxic = 1").isEmpty():
         return np.zeros(0, np.uint64)
-    known = _texts(docs).mapInArrow(least, "doc_id bigint, least bigint").join(marks, "doc_id")
-    # Of a text's copies the least doc_id is read; texts without shingles are read one by one.
+    # Labels meet the slim rows, never the texts, by sort and merge at every size.
+    known = _texts(docs).mapInArrow(slim, "doc_id bigint, least bigint, words binary").join(marks.hint("merge"), "doc_id")
+    # Of a text's copies one is read; texts without shingles are read one by one.
     one = stored(known.groupBy("least", "toxic", F.when(F.col("least") == 0, F.col("doc_id")).alias("_own"))
-                 .agg(F.min("doc_id").alias("doc_id")).select("doc_id", "toxic"), "labelled")
+                 .agg(F.min_by("words", "doc_id").alias("words")).select("words", "toxic"), "labelled")
     most = {r["toxic"]: r["count"] for r in one.groupBy("toxic").count().collect()}
     bad, good = most.get(1, 0), max(most.get(0, 0), 1)
     if not bad:
         return np.zeros(0, np.uint64)
-    words = stored(_texts(docs).join(one, "doc_id").select("text", "toxic").mapInArrow(work, "word bigint, t bigint, c bigint")
+    words = stored(one.select("words", "toxic").mapInArrow(tally, "word bigint, t bigint, c bigint")
                    .groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c")), "words")
     least_t = max(3, int(np.ceil(np.log(1000 * max(words.count(), 1)) / -np.log(min(bad / (bad + good), 0.5)))))
     found = words.where((F.col("t") >= least_t) & (F.col("t") / bad >= 20 * (F.col("c") + 0.5) / good)).select("word").toArrow()
@@ -181,7 +201,7 @@ def _votes(docs: DataFrame, shared) -> DataFrame:
     def work(batches):
         for batch in batches:
             data, at = column_bytes(batch.column(1))
-            for lo, hi, part, own in pieces(data, at):
+            for lo, hi, part, own in pieces(data, at, PIECE):
                 found = pattern(Counted(part, own).votes(shared.value))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(found, pa.int32())], ["doc_id", "key", "pattern"])
@@ -269,7 +289,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_sample: int = 6000):
     def work(batches):
         for batch in batches:
             data, at = column_bytes(batch.column(0))
-            for lo, hi, part, own in pieces(data, at):
+            for lo, hi, part, own in pieces(data, at, PIECE):
                 x = Counted(part, own)
                 row, dim, value = x.features(x.votes(shared.value))
                 order = np.argsort(row, kind="stable")
@@ -286,8 +306,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_sample: int = 6000):
     return flagged, ftrl.train(rows, np.stack([1 - good, good], 1), DIMS, rate=0.2, l1=0.02, l2=1e-3)
 
 
-def scored(docs: DataFrame, flagged: np.ndarray, weights: np.ndarray) -> DataFrame:
-    """``docs`` (columns unchanged, NULL texts too) with ``_score``, the probability of good."""
+def scored(docs: DataFrame, flagged: np.ndarray, weights: np.ndarray, score_col: str = "_score") -> DataFrame:
+    """``docs`` (columns unchanged, NULL texts too) with ``score_col``, the probability of good."""
     shared = docs.sparkSession.sparkContext.broadcast((flagged, (weights[:, 1] - weights[:, 0]).astype(np.float32)))
 
     @F.arrow_udf("double")
@@ -295,13 +315,13 @@ def scored(docs: DataFrame, flagged: np.ndarray, weights: np.ndarray) -> DataFra
         flagged, w = shared.value
         data, at = column_bytes(texts)
         out = np.zeros(len(texts))
-        for lo, hi, part, own in pieces(data, at):
+        for lo, hi, part, own in pieces(data, at, PIECE):
             x = Counted(part, own)
             row, dim, value = x.features(x.votes(flagged))
             out[lo:hi] = 1 / (1 + np.exp(-np.bincount(row, w[dim] * value, hi - lo)))
         return pa.array(out)
 
-    return docs.withColumn("_score", score(F.col("text").cast("string")))
+    return docs.withColumn(score_col, score(F.col("text").cast("string")))
 
 
 def report(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -313,6 +333,7 @@ def report(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFr
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents that the classifier accepts; columns unchanged."""
-    judged = scored(docs, *fit(docs, labels))
-    return judged.where(F.col("_score") >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    name = free_name(docs.columns, "_score")
+    judged = scored(docs, *fit(docs, labels), name)
+    return judged.where(F.col(name) >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
 
