@@ -10,8 +10,8 @@ doc_id last. Whether the earlier line itself goes does not matter, so the outcom
 words stay. NULL texts stay NULL; an empty table gives an empty result; texts are read whole.
 
 Where a line has a very promising candidate at a word, at most ``best`` of its candidates there are verified at first. Lines
-for which there were more, and of which none fitted, are joined again without that bound, so no match is lost. Words are 40-bit and lines 64-bit
-hashes.
+for which there were more, and of which none fitted, are joined again without that bound at the words where there were more,
+so no match is lost. Words are 40-bit and lines 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.llm import bloom
 from tidegauge.llm.arrow_text import Words, column_bytes, mix, pieces
+from tidegauge.llm.columns import free_name
 from tidegauge.session import stored
 
 LOG_BUCKETS = 21  # word counts are kept per bucket of hashes
@@ -67,6 +68,12 @@ class Lines:
         self.row = np.searchsorted(self.first, self.line, "right") - 1
         self.place = self.line - self.first[self.row]  # line within its text
 
+    def words_of(self, some: np.ndarray) -> pa.Array:
+        """The words of the lines chosen, as lists."""
+        ends = np.concatenate([[0], np.cumsum(self.n[some])])
+        return pa.LargeListArray.from_arrays(
+            pa.array(ends, pa.int64()), pa.array(self.token[np.repeat(some, self.n)].view(np.int64))).cast(pa.list_(pa.int64()))
+
     def bitmaps(self) -> tuple[np.ndarray, np.ndarray]:
         spot = mix(self.token) & np.uint64(127)
         bit = np.uint64(1) << (spot & np.uint64(63))
@@ -124,9 +131,12 @@ def _prefixes(x: Lines, rarity: np.ndarray):
     return own[keep], order[keep] & np.uint64(0x7FFFFFFF), position[keep]
 
 
-def _postings(docs: DataFrame, rarity: Broadcast, cells: Broadcast) -> DataFrame:
+def _postings(docs: DataFrame, rarity: Broadcast, cells: Broadcast, only: Broadcast | None = None) -> DataFrame:
     """One row per distinct line of a run of texts and prefix word: word, size and position packed in ``k``; name of the
-    line, bitmaps, first document and cell. Hot words are dealt to several cells, so that each two of their lines meet in one."""
+    line, bitmaps, first document and cell. Hot words are dealt to several cells, so that each two of their lines meet in one.
+
+    With ``only``, a filter of words, other words are left out, and each line that is left has one more row with its words.
+    """
 
     def work(batches):
         table, hot = np.frombuffer(rarity.value, np.uint8), cells.value
@@ -147,6 +157,8 @@ def _postings(docs: DataFrame, rarity: Broadcast, cells: Broadcast) -> DataFrame
                 new[order[first]] = True
                 line, word, position = _prefixes(x, table)
                 keep = new[line]
+                if only is not None:
+                    keep &= bloom.hits(only, bloom.key_of(word))
                 line, word, position = line[keep], word[keep], position[keep]
                 n = x.n[line]
                 k = (word << np.uint64(32)) | (np.minimum(n, (1 << 20) - 1).astype(np.uint64) << np.uint64(12)) | np.minimum(position, 4095).astype(np.uint64)
@@ -161,11 +173,20 @@ def _postings(docs: DataFrame, rarity: Broadcast, cells: Broadcast) -> DataFrame
                     block = (mix(x.name[line].view(np.uint64)) % nb.astype(np.uint64)).astype(np.int64)[copies]
                     cell = (np.minimum(block, turn) * m + np.maximum(block, turn)).astype(np.int32)
                     line, k = line[copies], k[copies]
+                names = ["k", "cell", "set", "b1", "b2", "doc"]
+                out = [pa.array(k.view(np.int64)), pa.array(cell), pa.array(x.name[line]), pa.array(b1[line].view(np.int64)),
+                       pa.array(b2[line].view(np.int64)), pa.array(doc[line])]
+                if only is None:
+                    yield pa.RecordBatch.from_arrays(out, names)
+                    continue
+                yield pa.RecordBatch.from_arrays([*out, pa.nulls(len(line), pa.list_(pa.int64()))], [*names, "words"])
+                some = np.zeros(len(x.at), bool)
+                some[line] = True
+                none = [pa.nulls(int(some.sum()), t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(k.view(np.int64)), pa.array(cell), pa.array(x.name[line]), pa.array(b1[line].view(np.int64)),
-                     pa.array(b2[line].view(np.int64)), pa.array(doc[line])], ["k", "cell", "set", "b1", "b2", "doc"])
+                    [none[0], none[1], pa.array(x.name[some]), *none[2:], x.words_of(some)], [*names, "words"])
 
-    return docs.mapInArrow(work, "k bigint, cell int, set bigint, b1 bigint, b2 bigint, doc bigint")
+    return docs.mapInArrow(work, "k bigint, cell int, set bigint, b1 bigint, b2 bigint, doc bigint" + (", words array<bigint>" if only else ""))
 
 
 def _hot_words(docs: DataFrame, rarity: Broadcast) -> tuple[np.ndarray, np.ndarray]:
@@ -180,9 +201,9 @@ def _hot_words(docs: DataFrame, rarity: Broadcast) -> tuple[np.ndarray, np.ndarr
 
 
 def _pairs(postings: DataFrame, best: int, only: Broadcast | None) -> DataFrame:
-    """(later, earlier) candidates; ``earlier`` is NULL where a line had more than ``best`` at a word."""
+    """(later, earlier, word) candidates; where a line had more than ``best`` at a word, ``earlier`` is NULL and ``word`` its key."""
     parts = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = postings.repartition(parts, F.shiftrightunsigned("k", 32), "cell").sortWithinPartitions("k", "set")
+    dealt = postings.repartition(parts, F.shiftrightunsigned("k", 32), "cell").sortWithinPartitions("k")
 
     def work(batches):
         kept: list[pa.RecordBatch] = []
@@ -200,9 +221,9 @@ def _pairs(postings: DataFrame, best: int, only: Broadcast | None) -> DataFrame:
                 kept.extend(t.slice(end).combine_chunks().to_batches())
             if end:
                 own = [a[:end] for a in (cell, k, name, b1, b2, doc)]
-                if own[0].any():  # cells of one hot word lie side by side
-                    order = np.lexsort((own[2], own[1], own[0]))
-                    own = [a[order] for a in own]
+                # Cells of one hot word, and copies of a line, lie side by side.
+                order = np.lexsort((own[2], own[1], own[0])) if own[0].any() else np.lexsort((own[2], own[1]))
+                own = [a[order] for a in own]
                 yield from _meet(*own, best, only)
 
         for batch in batches:
@@ -217,7 +238,7 @@ def _pairs(postings: DataFrame, best: int, only: Broadcast | None) -> DataFrame:
         if kept:
             yield from ready(True)
 
-    return dealt.mapInArrow(work, "later bigint, earlier bigint").distinct()
+    return dealt.mapInArrow(work, "later bigint, earlier bigint, word bigint").distinct()
 
 
 def _meet(cell, k, name, b1, b2, doc, best: int, only: Broadcast | None) -> Iterator[pa.RecordBatch]:
@@ -225,6 +246,7 @@ def _meet(cell, k, name, b1, b2, doc, best: int, only: Broadcast | None) -> Iter
     new[1:] = (k[1:] != k[:-1]) | (name[1:] != name[:-1]) | (cell[1:] != cell[:-1])
     at = np.flatnonzero(new)
     cell, k, name, b1, b2, doc = cell[at], k[at], name[at], b1[at], b2[at], np.minimum.reduceat(doc, at)
+    names = ["later", "earlier", "word"]
     n, position = ((k >> np.uint64(12)) & np.uint64((1 << 20) - 1)).astype(np.int64), (k & np.uint64(4095)).astype(np.int64)
     wanted = bloom.hits(only, name) if only is not None else None
     # Entries are sorted by cell, word and size: the partners of i are the next ones, up to a quarter longer.
@@ -266,8 +288,9 @@ def _meet(cell, k, name, b1, b2, doc, best: int, only: Broadcast | None) -> Iter
             over = np.unique(later[~keep])
             later, earlier = later[keep], earlier[keep]
             if len(over):
-                yield pa.RecordBatch.from_arrays([pa.array(name[over]), pa.nulls(len(over), pa.int64())], ["later", "earlier"])
-        yield pa.RecordBatch.from_arrays([pa.array(name[later]), pa.array(name[earlier])], ["later", "earlier"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(name[over]), pa.nulls(len(over), pa.int64()), pa.array(bloom.key_of(k[over] >> np.uint64(32)))], names)
+        yield pa.RecordBatch.from_arrays([pa.array(name[later]), pa.array(name[earlier]), pa.nulls(len(later), pa.int64())], names)
         lo = hi
 
 
@@ -285,18 +308,17 @@ def _word_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
                 new = np.zeros(len(x.at), bool)
                 new[np.unique(x.name, return_index=True)[1]] = True
                 new &= bloom.hits(shared, x.name)
-                pick = np.repeat(new, x.n)
-                ends = np.concatenate([[0], np.cumsum(x.n[new])])
-                sets = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(x.token[pick].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(x.name[new]), sets.cast(pa.list_(pa.int64()))], ["set", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(x.name[new]), x.words_of(new)], ["set", "words"])
 
     return docs.mapInArrow(work, "set bigint, words array<bigint>").join(needed, "set", "left_semi").dropDuplicates(["set"])
 
 
-def _matches(docs: DataFrame, pairs: DataFrame, turn: int) -> DataFrame:
+def _either(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("later", "earlier")).alias("set")).distinct()
+
+
+def _matches(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The candidate pairs with a Jaccard similarity of 0.8 or more."""
-    either = pairs.select(F.explode(F.array("later", "earlier")).alias("set")).distinct()
-    sets = stored(_word_sets(docs, either), f"line-words-{turn}")
     one = pairs.join(sets.select(F.col("set").alias("later"), F.col("words").alias("x")), "later")
     two = one.join(sets.select(F.col("set").alias("earlier"), F.col("words").alias("y")), "earlier")
     return two.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("later", "earlier")
@@ -307,19 +329,24 @@ def _similar_before(docs: DataFrame, firsts: DataFrame, rarity: Broadcast, best:
     cells = docs.sparkSession.sparkContext.broadcast(_hot_words(docs, rarity))
     place = firsts.select("set", "first")
 
-    def found(pairs: DataFrame, turn: int) -> DataFrame:
-        matched = _matches(docs, pairs, turn)
+    def found(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        matched = _matches(pairs, sets)
         one = matched.join(place.withColumnsRenamed({"set": "later", "first": "a"}), "later")
         two = one.join(place.withColumnsRenamed({"set": "earlier", "first": "b"}), "earlier")
         return two.where("b < a").select(F.col("later").alias("set")).distinct()
 
     pairs = stored(_pairs(_postings(docs, rarity, cells), best, None), "line-pairs")
-    gone = stored(found(pairs.where("earlier is not null"), 0), "similar-0")
-    rest = stored(pairs.where("earlier is null").select(F.col("later").alias("set")).join(gone, "set", "left_anti"), "open-lines")
+    some = pairs.where("earlier is not null").select("later", "earlier")
+    gone = stored(found(some, stored(_word_sets(docs, _either(some)), "line-words-0")), "similar-0")
+    left = pairs.where("earlier is null").select(F.col("later").alias("set"), "word").join(gone, "set", "left_anti")
+    rest = stored(left, "open-lines")
     if rest.isEmpty():
         return gone
-    more = stored(_pairs(_postings(docs, rarity, cells), 0, bloom.build(rest)), "line-pairs-1")
-    return gone.unionByName(stored(found(more, 1), "similar-1")).distinct()
+    # Open lines meet again only at the words where they had too many candidates.
+    again = stored(_postings(docs, rarity, cells, bloom.build(rest.select("word").distinct())), "open-postings")
+    more = stored(_pairs(again.where("k is not null").drop("words"), 0, bloom.build(rest.select("set").distinct())).select("later", "earlier"), "line-pairs-1")
+    sets = stored(again.where("k is null").select("set", "words").join(_either(more), "set", "left_semi").dropDuplicates(["set"]), "line-words-1")
+    return gone.unionByName(stored(found(more, sets), "similar-1")).distinct()
 
 
 def removed_lines(docs: DataFrame, best: int = 8) -> DataFrame:
@@ -335,22 +362,28 @@ def removed_lines(docs: DataFrame, best: int = 8) -> DataFrame:
     return gone.groupBy("row").agg(F.collect_list(F.col("line").cast("int")).alias("lines"))
 
 
-def without_repeats(docs: DataFrame, best: int = 8) -> DataFrame:
-    """``docs`` with the removed lines cut out of ``text``, and ``_n_lines`` and ``_n_removed``."""
+def without_repeats(docs: DataFrame, best: int = 8, n_lines: str = "_n_lines", n_removed: str = "_n_removed") -> DataFrame:
+    """``docs`` with the removed lines cut out of ``text``, and two more columns: how many lines there were, and went.
+
+    ``docs`` must be read from files: its rows are numbered twice.
+    """
+    row, gone_, lines = (free_name(docs.columns, c) for c in ("_row", "_gone", "_lines"))
     gone = removed_lines(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")), best)
-    gone = gone.withColumnsRenamed({"row": "_row", "lines": "_gone"})
-    joined = docs.withColumn("_row", F.monotonically_increasing_id()).join(gone, "_row", "left").withColumn("_lines", F.split("text", "\n"))
-    kept = F.expr("concat_ws('\n', transform(array_except(sequence(0, size(_lines) - 1), _gone), i -> _lines[i]))")
-    return (joined.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept))
-            .withColumn("_n_lines", F.coalesce(F.size("_lines"), F.lit(0)).cast("bigint"))
-            .withColumn("_n_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint"))
-            .withColumn("_n_lines", F.greatest("_n_lines", F.lit(0))).withColumn("_n_removed", F.greatest("_n_removed", F.lit(0)))
-            .drop("_row", "_gone", "_lines"))
+    gone = gone.withColumnsRenamed({"row": row, "lines": gone_})
+    joined = docs.withColumn(row, F.monotonically_increasing_id()).join(gone, row, "left").withColumn(lines, F.split("text", "\n"))
+    kept = F.expr(f"concat_ws('\n', transform(array_except(sequence(0, size({lines}) - 1), {gone_}), i -> {lines}[i]))")
+
+    def size(c):
+        return F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("bigint")
+
+    return joined.select(*[F.when(F.col(gone_).isNull(), F.col("text")).otherwise(kept).alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns],
+                         size(lines).alias(n_lines), size(gone_).alias(n_removed))
 
 
 def dedup_lines(docs: DataFrame, best: int = 8) -> DataFrame:
     """Columns unchanged; documents all of whose words were in removed lines go."""
-    out = without_repeats(docs, best).where("_n_removed = 0 or text rlike '[0-9A-Za-z]|[^\\\\x00-\\\\x7F]'")
+    names = [free_name(docs.columns, c) for c in ("_n_lines", "_n_removed")]
+    out = without_repeats(docs, best, *names).where(f"{names[1]} = 0 or text rlike '[0-9A-Za-z]|[^\\\\x00-\\\\x7F]'")
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
