@@ -412,3 +412,17 @@ def test_pipeline(spark):
     out = corpus_pipeline.run(spark, sf)
     assert 0 < out.select("doc_id").distinct().count() < docs.count()
     assert out.groupBy("sequence_id").sum("length").where("`sum(length)` > 2048").count() == 0
+
+
+def test_operators_of_the_pipeline_keep_columns_of_any_name(spark, tmp_path, labels):
+    names = ["_row", "_hits", "_words", "_lines", "_gone", "_score", "_n_lines", "_n_removed", "row", "class_id", "keep"]
+    text = "some words of a text that is long enough to have shingles and lines\nsecond line of it"
+    rows = [(i, text if i % 3 else f"text of its own {i} with other words {i * 7}", *[f"{c}{i}" for c in names]) for i in range(1, 9)]
+    spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in names)).coalesce(1).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    bench = spark.createDataFrame([(1, "text of its own 3 with other words 21")], "item_id long, text string")
+    for out in (quality.keep_good(docs, labels), line_dedup.dedup_lines(docs), near_dedup.keep_one(docs), decontamination.remove_documents(docs, bench),
+                decontamination.remove_spans(docs, bench)):
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert got and all(r[c] == f"{c}{r.doc_id}" for r in got for c in names)

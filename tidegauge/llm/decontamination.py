@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegauge.llm.columns import shielded
 from tidegauge.session import stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -123,16 +124,17 @@ def report(docs: DataFrame, items: DataFrame, size: int = 10, inline_windows: in
 
 def remove_documents(docs: DataFrame, items: DataFrame, size: int = 10, inline_windows: int = 50_000) -> DataFrame:
     """The documents without any hit, columns unchanged."""
-    return find(docs, items, size, inline_windows).where(F.size("_hits") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    own, names = shielded(docs, "text")
+    return find(own, items, size, inline_windows).where(F.size("_hits") == 0).select(*names)
 
 
 def remove_spans(docs: DataFrame, items: DataFrame, size: int = 10, inline_windows: int = 50_000) -> DataFrame:
     """All documents; those with hits lose the words covered, their remaining words joined by blanks."""
-    found = find(docs, items, size, inline_windows)
+    own, names = shielded(docs, "text")
+    found = find(own, items, size, inline_windows)
     kept = F.expr("filter(_words, (w, i) -> not exists(_hits, h -> i >= h.start and i < h.start + h.length))")
     text = F.when(F.size("_hits") > 0, F.concat_ws(" ", kept)).otherwise(F.col("text"))
-    return (found.withColumn("_words", words_of(F.col("text"))).withColumn("text", text)
-            .select(*[F.col(f"`{c}`") for c in docs.columns]))
+    return found.withColumn("_words", words_of(F.col("text"))).withColumn("text", text).select(*names)
 
 
 ORACLE = rf"""

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.llm import bloom
 from tidegauge.llm.arrow_text import Words, column_bytes, mix, pieces
+from tidegauge.llm.columns import free_name
 from tidegauge.llm.components import components
 from tidegauge.session import stored
 
@@ -353,7 +354,7 @@ def near_classes(docs: DataFrame, weights: str = "set") -> DataFrame:
 
 def keep_one(docs: DataFrame, weights: str = "set") -> DataFrame:
     """One document of each class stays; columns unchanged."""
-    place = "_row"
+    place = free_name(docs.columns, "_row")
     gone = classes(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")), weights).where("not keep")
     kept = docs.withColumn(place, F.monotonically_increasing_id()).join(gone.select(F.col("row").alias(place)), place, "left_anti")
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
