@@ -90,6 +90,13 @@ def test_density_entropy(spark, prob):
         assert got[(k, "Entropy")][0] == pytest.approx(brute.density_entropy(x, prob), abs=1e-9)
 
 
+def test_density_entropy_of_long_signals(spark, tiny_bounds):
+    data = {k: v for k, v in signals().items() if k in ("even", "negative", "closed", "long")} | {"const": np.full(40, 3.0), "far": np.append(np.arange(50.0), 1e5)}
+    got = collect(extract(table(spark, data), KEYS, names=["Entropy"], overrides={"Entropy": {"prob": "kde"}}))
+    for k, x in data.items():
+        assert got[(k, "Entropy")][0] == pytest.approx(brute.density_entropy(x, "kde") if k != "const" else 0.0, abs=1e-9)
+
+
 def test_constant_and_short_signals(spark):
     data = {"const": np.full(40, 3.0), "zero": np.zeros(40), "one": np.array([2.0]), "two": np.array([1.0, 2.0]),
             "eleven": np.arange(11.0)}

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidegauge.config import KEYS, PrepConfig
-from tidegauge.operators.packed import open_packed, pack
+from tidegauge.operators.packed import numbered_windows, open_packed, pack
 from tidegauge.operators.splits import split_plain
 from tidegauge.plans import builders
 
@@ -118,3 +118,15 @@ def test_packed_table_of_its_own(spark, series, tmp_path):
     empty = series.limit(0)
     assert builders.statistical_samples(empty, bank(empty), CFG).count() == 0
     assert builders.missing_prompts(empty, bank(series), CFG).count() == 0
+
+
+def test_sample_numbers_need_no_exchange_above_windows(spark, series, small_chunks):
+    packed = pack(series, 22)
+    n = F.col("n")
+    bounds, stride = {"a": (F.lit(0), n - 100), "b": (n - 90, n)}, {"a": 7, "b": 3}
+    got = numbered_windows(packed, bounds, 16, 6, stride)
+    rows = sorted(tuple(r) for r in got.select("split", *KEYS, "off", "sample_id").collect())
+    assert [r[-1] for r in rows] == list(range(len(rows))) and len(rows) > 300
+    plan = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    cut = next(i for i, x in enumerate(plan) if "Generate explode" in x)
+    assert not any("Join" in x or "Aggregate" in x or "Window" in x for x in plan[:cut]) and any("Join" in x for x in plan[cut:])

@@ -279,3 +279,29 @@ def test_calendar_borders(spark, kind, per_hour):
     assert np.allclose(r.x, (y[12 * m - 19 : 12 * m + 5] - mu) / sd)
     hours = [((12 * m - 19 + i) // per_hour) % 24 for i in range(24)]
     assert [int(v[3]) for v in r.x_mark] == hours and len(r.x_mark[0]) == (5 if per_hour == 4 else 4)
+
+
+def test_column_correlation_over_many_batches(spark):
+    rng = np.random.default_rng(3)
+    t = rng.normal(1e6, 3, (500, 4)).round(3)
+    p = (t + rng.normal(0, 2, t.shape)).round(3)
+    t[:, 2] = 0.1
+    p[:, 3] = -0.3
+    rows = [(g, c, float(t[i, c]), float(p[i, c])) for g in ("a", "b") for i in range(0, 500, 1 if g == "a" else 2) for c in range(4)]
+    rows += [("a", 0, None, 1.0), ("a", 9, 1.0, None)]
+    df = spark.createDataFrame(rows, "g string, c int, true double, pred double").repartition(7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        got = {r.g: r["corr"] for r in metrics.corr_by_column(df, ["c"], ["g"]).collect()}
+        plan = metrics.corr_by_column(df, ["c"], ["g"])._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for g, step in (("a", 1), ("b", 2)):
+        r = []
+        for c in (0, 1):
+            x, y = t[::step, c], p[::step, c]
+            mp = np.append(y, 1.0).mean() if (g, c) == ("a", 0) else y.mean()
+            dt, dp = x - x.mean(), y - mp
+            r.append((dt * dp).sum() / np.sqrt((dt * dt * dp * dp).sum()))
+        assert got[g] == pytest.approx(np.mean(r), rel=1e-6)
+    assert "Join" not in plan

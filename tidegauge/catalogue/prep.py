@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidegauge.catalogue.base import EM, EV, LI, OD, query, r, rnd, rounded, splits_sql, unroll, windows_sql
 from tidegauge.config import KEYS
 from tidegauge.functions.names import clean_name, clean_path
+from tidegauge.operators.packed import numbered_windows, pack
 from tidegauge.operators import sampling, scaling, splits, windows
 from tidegauge.sources import files
 from tidegauge.sources.tables import embedding_series, events_series, orders_daily, supplier_series
@@ -206,7 +207,8 @@ def signal_windows_overlap(spark, d):
 @query(f"""WITH {EV}, {windows_sql('ev', 'dataset, series_id', L, P, 1)}
 SELECT dataset, series_id, off, row_number() OVER (ORDER BY dataset, series_id, off) - 1 AS sample_id FROM w""")
 def sample_numbers(spark, d):
-    return windows.global_sample_ids(windows.sample_windows(events_series(spark, d), L, P).drop("x", "y"))
+    packed = pack(events_series(spark, d), L + P)
+    return numbered_windows(packed, {"all": (F.lit(0), F.col("n"))}, L, P, {"all": 1}).drop("split", "x", "y")
 
 
 @query(f"""WITH {EV}, {OD}, u AS (SELECT dataset, series_id, y FROM ev UNION ALL SELECT dataset, series_id, y FROM od)

@@ -99,7 +99,7 @@ def extract(
         if prob == "standard":
             table = native.entropy_standard(signal, keys)
         else:
-            table = native.ENTROPY[prob](signal, keys)
+            table = native.ENTROPY[prob](signal, keys, prof)
         out.append(_long(table, keys, [f]))
     if arrays:
         if not fits(signal, prof):

@@ -5,8 +5,10 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidegauge.features.registry import Feature
 from tidegauge.operators.order import (
@@ -14,6 +16,7 @@ from tidegauge.operators.order import (
     fits,
     join_groups,
     ordered_values,
+    profile,
     rank_within,
     with_neighbours,
 )
@@ -223,14 +226,14 @@ def entropy_standard(signal: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def entropy_gauss(signal: DataFrame, keys: list[str]) -> DataFrame:
+def entropy_gauss(signal: DataFrame, keys: list[str], prof: GroupProfile | None = None) -> DataFrame:
     """Entropy of the fitted normal density over an even grid of n points.
 
     The grid points are the rows themselves: point ``idx`` of n, so the grid of
     a long series is as spread out as the series.
     """
     stats = _grid_stats(signal, keys)
-    g = join_groups(signal.select(*keys, "idx"), stats, keys).withColumn("_x", grid_point())
+    g = join_groups(signal.select(*keys, "idx"), stats, keys, prof).withColumn("_x", grid_point())
     z = (F.col("_x") - F.col("mean")) / F.col("std")
     return _entropy_of_density(
         g.filter("std > 0").withColumn("_p", F.exp(-0.5 * z * z)), stats, keys
@@ -263,52 +266,111 @@ def _entropy_of_density(density: DataFrame, stats: DataFrame, keys: list[str]) -
     )
 
 
-# Order of the Hermite expansion and half-width, in bandwidths, of a kernel's reach.
-_TERMS, _REACH = 18, 9.0
+# Order of the Hermite and Taylor expansions, half-width, in bins, of a kernel's reach, and a bin of half a bandwidth in the
+# unit of the expansions.
+_TERMS, _REACH, _UNIT = 18, 18, 0.5 / np.sqrt(2.0)
 
 
-def entropy_kde(signal: DataFrame, keys: list[str]) -> DataFrame:
-    """Entropy of a Gaussian kernel density (Silverman bandwidth) over the grid.
+def _translations() -> np.ndarray:
+    """(2 * reach + 1, terms, terms): what maps the moments of a bin to the Taylor coefficients about the centre of the bin
+    ``offset`` bins higher. The l-th derivative of the Hermite function h_j is (-1)^l h_{j+l}."""
+    t = np.arange(-_REACH, _REACH + 1) * _UNIT
+    h = [np.exp(-t * t), 2 * t * np.exp(-t * t)]
+    for j in range(1, 2 * _TERMS - 1):
+        h.append(2 * t * h[j] - 2 * j * h[j - 1])
+    h = np.stack(h, 1)
+    out = np.empty((len(t), _TERMS, _TERMS))
+    for k in range(_TERMS):
+        out[:, :, k] = (-1) ** k / math.factorial(k) * h[:, k : k + _TERMS]
+    return out
 
-    No point pairs are formed.  Samples are summed into bins half a bandwidth
-    wide as power moments about the bin centre, and each grid point adds the
-    Hermite expansions of the bins within nine bandwidths, whose neglected rest
-    is below double precision.  A constant series has entropy 0.
-    """
-    stats = _grid_stats(signal, keys).withColumn(
-        "h", F.col("std1") * F.pow(F.col("n") * 0.75, F.lit(-0.2))
-    )
-    live = stats.filter("std > 0")
-    rows = join_groups(signal.select(*keys, "idx", "y"), live, keys)
+
+_FACTORIALS = np.array([float(math.factorial(j)) for j in range(_TERMS)])
+
+
+def _density_entropy(y: np.ndarray) -> float:
+    """Entropy of the kernel density of one signal over its grid, by the fast Gauss transform."""
+    n, lo, hi = len(y), y.min(), y.max()
+    if n <= 2 or lo == hi:
+        return 0.0
+    top = -hi if hi < 0 else hi
+    width = y.std(ddof=1) * (n * 0.75) ** -0.2 * 0.5
+    u, g = (y - lo) / width, (lo + np.arange(n) * ((top - lo) / (n - 1)) - lo) / width
+    bins, own = np.unique(np.floor(u), return_inverse=True)
+    powers = ((u - bins[own] - 0.5) * _UNIT)[:, None] ** np.arange(_TERMS) / _FACTORIALS
+    moments = np.stack([np.bincount(own, powers[:, j], len(bins)) for j in range(_TERMS)], 1)
+    cells, at = np.unique(np.floor(g), return_inverse=True)
+    taylor = np.zeros((len(cells), _TERMS))
+    for o, matrix in zip(range(-_REACH, _REACH + 1), _TRANSLATIONS, strict=True):
+        source = np.searchsorted(bins, cells - o)
+        met = (source < len(bins)) & (bins[np.minimum(source, len(bins) - 1)] == cells - o)
+        taylor[met] += moments[source[met]] @ matrix
+    p = (taylor[at] * ((g - cells[at] - 0.5) * _UNIT)[:, None] ** np.arange(_TERMS)).sum(1)
+    total, some = p.sum(), p[p > 0]
+    return float((np.log2(total) - (some * np.log2(some)).sum() / total) / np.log2(n))
+
+
+_TRANSLATIONS = _translations()
+
+
+def _short_kde(signal: DataFrame, keys: list[str]) -> DataFrame:
+    packed = signal.groupBy(*keys).agg(F.collect_list(F.col("y").cast("double")).alias("_y"))
+    schema = T.StructType([packed.schema[k] for k in keys]).add("entropy", T.DoubleType())
+
+    def work(batches):
+        for batch in batches:
+            col = batch.column(len(keys))
+            found = [_density_entropy(col[i].values.to_numpy(zero_copy_only=False)) if len(col[i].values) else None for i in range(len(col))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keys))), pa.array(found, pa.float64())], schema.names)
+
+    return packed.mapInArrow(work, schema)
+
+
+def _long_kde(signal: DataFrame, keys: list[str], prof: GroupProfile) -> DataFrame:
+    """The same transform for signals of any length: the moments of bins are summed by Spark, translated from bin to bin, and
+    every grid point meets the one set of coefficients of its own bin."""
+    stats = _grid_stats(signal, keys).withColumn("h", F.col("std1") * F.pow(F.col("n") * 0.75, F.lit(-0.2)))
+    rows = join_groups(signal.select(*keys, "idx", "y"), stats.filter("std > 0"), keys, prof)
     u = (F.col("y") - F.col("lo")) / (F.col("h") * 0.5)
     b = F.floor(u)
-    d = (u - b - 0.5) * (0.5 / np.sqrt(2.0))
-    moments = [
-        F.sum(F.pow(d, F.lit(float(j))) / float(math.factorial(j))).alias(f"_a{j}") for j in range(_TERMS)
-    ]
+    d = (u - b - 0.5) * float(_UNIT)
+    moments = [F.sum(F.pow(d, F.lit(float(j))) / float(_FACTORIALS[j])).alias(f"_a{j}") for j in range(_TERMS)]
     bins = rows.groupBy(*keys, b.alias("_bin")).agg(*moments)
     bins = bins.select(*keys, "_bin", F.array(*[F.col(f"_a{j}") for j in range(_TERMS)]).alias("_a"))
-    grid = rows.withColumn("_g", (grid_point() - F.col("lo")) / (F.col("h") * 0.5))
-    reach = int(2 * _REACH)
-    near = F.explode(F.sequence(F.floor("_g") - reach, F.floor("_g") + reach))
-    hits = grid.select(*keys, "idx", "_g", near.alias("_bin")).join(bins, [*keys, "_bin"])
-    t = (F.col("_g") - F.col("_bin") - 0.5) * (0.5 / np.sqrt(2.0))
-    # Hermite functions by recurrence: h_{j+1} = 2 t h_j - 2 j h_{j-1}, h_0 = exp(-t^2).
-    start = F.struct(
-        F.lit(0.0).alias("s"), F.exp(-t * t).alias("h"), F.lit(0.0).alias("g"), F.lit(0.0).alias("j")
-    )
-    near_sum = F.aggregate(
-        "_a", start,
-        lambda s, a: F.struct(
-            (s["s"] + a * s["h"]).alias("s"),
-            (2.0 * t * s["h"] - 2.0 * s["j"] * s["g"]).alias("h"),
-            s["h"].alias("g"),
-            (s["j"] + 1.0).alias("j"),
-        ),
-        lambda s: s["s"],
-    )
-    dens = hits.groupBy(*keys, "idx").agg(F.sum(near_sum).alias("_p"))
+    grid = rows.withColumn("_g", (grid_point() - F.col("lo")) / (F.col("h") * 0.5)).withColumn("_bin", F.floor("_g"))
+    cells = grid.select(*keys, "_bin").distinct()
+    pairs = cells.select(*keys, F.col("_bin").alias("_cell"), F.explode(F.sequence(F.col("_bin") - _REACH, F.col("_bin") + _REACH)).alias("_bin")).join(
+        bins, [*keys, "_bin"]).select(*keys, "_cell", (F.col("_cell") - F.col("_bin")).alias("_o"), "_a")
+    schema = T.StructType([pairs.schema[k] for k in [*keys, "_cell"]] + [T.StructField(f"_l{j}", T.DoubleType()) for j in range(_TERMS)])
+
+    def translate(batches):
+        for batch in batches:
+            if batch.num_rows:
+                o = batch.column(len(keys) + 1).to_numpy().astype(int) + _REACH
+                a = batch.column(len(keys) + 2).flatten().to_numpy().reshape(-1, _TERMS)
+                out = np.empty_like(a)
+                for k in np.unique(o):
+                    out[o == k] = a[o == k] @ _TRANSLATIONS[k]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keys) + 1)), *(pa.array(out[:, j]) for j in range(_TERMS))], schema.names)
+
+    taylor = pairs.mapInArrow(translate, schema).groupBy(*keys, F.col("_cell").alias("_bin")).agg(*[F.sum(f"_l{j}").alias(f"_l{j}") for j in range(_TERMS)])
+    t = (F.col("_g") - F.col("_bin") - 0.5) * float(_UNIT)
+    value = F.col(f"_l{_TERMS - 1}")
+    for j in reversed(range(_TERMS - 1)):
+        value = value * F.col("_t") + F.col(f"_l{j}")
+    dens = grid.select(*keys, "_bin", t.alias("_t")).join(taylor, [*keys, "_bin"]).select(*keys, value.alias("_p"))
     return _entropy_of_density(dens, stats, keys)
 
 
+def entropy_kde(signal: DataFrame, keys: list[str], prof: GroupProfile | None = None) -> DataFrame:
+    """Entropy of a Gaussian kernel density (Silverman bandwidth) over the grid, by the fast Gauss transform.
+
+    No point pairs are formed.  Samples are summed into bins half a bandwidth wide as power moments about the bin centre.  The
+    moments of the bins within nine bandwidths are translated to one polynomial per bin of grid points, whose neglected rest is
+    below double precision; a grid point evaluates the polynomial of its bin.  A constant series has entropy 0.
+    """
+    prof = prof or profile(signal, keys)
+    return _short_kde(signal, keys) if fits(signal, prof) else _long_kde(signal, keys, prof)
+
+
 ENTROPY = {"gauss": entropy_gauss, "kde": entropy_kde}

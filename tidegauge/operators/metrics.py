@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidegauge.config import KEYS
 from tidegauge.operators.order import profile, with_neighbours
 
 # Fixed value: guards divisions by zero.
 TINY = 1e-8
-SALTS = 64
 
 
 def _agg(df: DataFrame, by: list[str], *cols: Column) -> DataFrame:
@@ -61,20 +63,76 @@ def metric(df: DataFrame, by: list[str] | None = None, names: list[str] | None =
     return _agg(df, by or [], *[every[m]().alias(m) for m in (names or METRICS)])
 
 
+_MOMENTS = ("nt", "mt", "np", "mp", "nb", "bt", "bp", "c11", "c20", "c02", "c21", "c12", "c22", "lt", "ht", "lp", "hp")
+
+
+def _batch_moments(t: np.ndarray, p: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
+    """(groups, moments) of a batch: counts and means of each side, and central co-moments of the rows that have both."""
+    def mean(x, own, count):
+        return np.bincount(own, x, groups) / np.maximum(count, 1)
+
+    out = []
+    for x in (t, p):
+        there = ~np.isnan(x)
+        count = np.bincount(group[there], minlength=groups)
+        out += [count, mean(x[there], group[there], count)]
+    both = ~(np.isnan(t) | np.isnan(p))
+    t_, p_, own = t[both], p[both], group[both]
+    count = np.bincount(own, minlength=groups)
+    bt, bp = mean(t_, own, count), mean(p_, own, count)
+    dt, dp = t_ - bt[own], p_ - bp[own]
+    out += [count, bt, bp] + [np.bincount(own, dt**i * dp**j, groups) for i, j in ((1, 1), (2, 0), (0, 2), (2, 1), (1, 2), (2, 2))]
+    for x in (t, p):
+        there = ~np.isnan(x)
+        for start, take in ((np.inf, np.minimum), (-np.inf, np.maximum)):
+            edge = np.full(groups, start)
+            take.at(edge, group[there], x[there])
+            out.append(edge)
+    return np.stack([np.asarray(x, float) for x in out], 1)
+
+
+def _partial_moments(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Moments of every batch and group: few rows, whatever a group's size."""
+    rows = df.select(*keys, F.col("true").cast("double").alias("true"), F.col("pred").cast("double").alias("pred"))
+    schema = StructType([rows.schema[k] for k in keys] + [StructField(f"_{m}", DoubleType()) for m in _MOMENTS])
+
+    def work(batches):
+        for batch in batches:
+            if batch.num_rows:
+                t, p = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("true", "pred"))
+                codes, first = np.zeros(batch.num_rows, np.int64), np.zeros(1, np.int64)
+                for c in range(len(keys)):
+                    own = batch.column(c).dictionary_encode(null_encoding="encode").indices.to_numpy()
+                    _, first, codes = np.unique(codes * (int(own.max()) + 1) + own, return_index=True, return_inverse=True)
+                found = _batch_moments(t, p, codes, len(first))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(first)) for c in range(len(keys))), *(pa.array(x) for x in found.T)], schema.names)
+
+    return rows.mapInArrow(work, schema)
+
+
 def corr_by_column(df: DataFrame, column: list[str], by: list[str] | None = None) -> DataFrame:
     """Mean over columns of sum(dt*dp) / sqrt(sum(dt^2 * dp^2)).
 
-    This is the coded definition and not Pearson's; ``F.corr`` gives that one.
+    This is the coded definition and not Pearson's; ``F.corr`` gives that one.  Co-moments up to order (2, 2) about the means of
+    each batch are carried to the means of the whole column, so rows are read once and only moments are exchanged.  A column
+    with a constant side counts for nothing.
     """
     by = by or []
-    means = df.groupBy(*by, *column).agg(F.avg(F.col("true")).alias("_mt"), F.avg(F.col("pred")).alias("_mp"))
-    # The few means are repeated per salt, so that a column of many rows is joined by many tasks.
-    salted = means.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salt = F.pmod(F.xxhash64("pred", "true"), F.lit(SALTS)).cast("int")
-    d = df.withColumn("_salt", salt).join(salted, [*by, *column, "_salt"])
-    dt, dp = F.col("true") - F.col("_mt"), F.col("pred") - F.col("_mp")
-    ratio = F.try_divide(F.sum(dt * dp), F.sqrt(F.sum(dt * dt * dp * dp)))
-    per = d.groupBy(*by, *column).agg(ratio.alias("_r"))
+    keys = list(dict.fromkeys([*by, *column]))
+    part = _partial_moments(df, keys)
+    whole = Window.partitionBy(*keys)
+
+    def mean(n, m):
+        return F.try_divide(F.sum(F.col(n) * F.col(m)).over(whole), F.sum(n).over(whole))
+
+    part = part.withColumns({"_t": F.col("_bt") - mean("_nt", "_mt"), "_p": F.col("_bp") - mean("_np", "_mp")})
+    n, t, p = F.col("_nb"), F.col("_t"), F.col("_p")
+    one = F.sum(F.col("_c11") + n * t * p)
+    two = F.sum(F.col("_c22") + 2 * p * F.col("_c21") + p * p * F.col("_c20") + 2 * t * F.col("_c12") + 4 * t * p * F.col("_c11")
+                + t * t * F.col("_c02") + n * t * t * p * p)
+    constant = (F.min("_lt") == F.max("_ht")) | (F.min("_lp") == F.max("_hp"))
+    ratio = F.when(~constant, F.try_divide(one, F.sqrt(two)))
+    per = part.groupBy(*keys).agg(ratio.alias("_r"))
     return per.groupBy(*by).agg(F.avg("_r").alias("corr"))
 
 

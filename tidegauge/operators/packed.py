@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.config import KEYS, PACK_BLOCK, PACK_CHUNK, PACK_HALO, bound
 from tidegauge.functions.names import clean_name
+from tidegauge.operators.order import profile, rank_within, running_sum
 from tidegauge.operators.scaling import fit_scaler
 from tidegauge.session import stored
 
@@ -196,3 +197,34 @@ def prompt_blocks(packed: Packed, found: DataFrame, on_missing: str = "raise") -
         return own.join(right, [*keys, "_block"], "left").drop("_block").withColumn("prompt", F.coalesce("prompt", none))
 
     return attach
+
+
+def numbered(packed: Packed, bounds: Bounds, span: int, stride: dict[str, int], guard: Column | None = None) -> Callable[[DataFrame], DataFrame]:
+    """Joins to every chunk the number of its split's first sample, all samples counted in (split, series, offset) order.
+
+    Lengths give the samples of a series, so only the table of one row per split and series is ranked and summed; it meets the
+    chunks by (split, series, block of chunks), and windows get ``sample_id`` as ``first_sample + off div stride`` where they lie.
+    """
+    keys = ["split", *packed.keys]
+    chain = F.coalesce(*[F.when(F.col("split") == name, F.lit(step).cast("bigint")) for name, step in stride.items()])
+    per = wanted_keys(packed, bounds, span, guard).withColumn("_n", F.floor((F.col("hi") - F.col("lo") - span) / chain) + 1)
+    prof = profile(per, [])
+    ranked = rank_within(per, [], keys, "_r", prof).withColumn("_all", F.lit(0))
+    sums = running_sum(ranked, ["_all"], "_r", {"_upto": F.col("_n")}, prof)
+    step = bound(packed.chunks.sparkSession, PACK_BLOCK)
+    block = f"div {packed.size * step}"
+    right = sums.select(*keys, F.explode(F.sequence(F.expr(f"lo {block}"), F.expr(f"(hi - 1) {block}"))).alias("_block"), (
+        F.col("_upto") - F.col("_n")).alias("first_sample"))
+
+    def attach(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_block", F.expr(f"chunk div {step}")).join(right, [*keys, "_block"]).drop("_block")
+
+    return attach
+
+
+def numbered_windows(packed: Packed, bounds: Bounds, seq_len: int, pred_len: int, stride: dict[str, int], **options) -> DataFrame:
+    """Windows with ``sample_id``, their place among all samples in (split, series, offset) order."""
+    attach = numbered(packed, bounds, seq_len + pred_len, stride, options.get("guard"))
+    out = packed_windows(packed, bounds, seq_len, pred_len, stride, attach=attach, **options)
+    step = F.coalesce(*[F.when(F.col("split") == name, F.lit(s).cast("bigint")) for name, s in stride.items()])
+    return out.withColumn("sample_id", F.col("first_sample") + F.floor(F.col("off") / step)).drop("first_sample")
