@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tidegauge.operators.joins import merge_sensors
 from tidegauge.plans.sensors import folder_features
 from tidegauge.sources import files, tsf
 
@@ -124,8 +125,42 @@ def test_sensor_folders(spark, tmp_path):
     assert {r.sensor for r in s.select("sensor").distinct().collect()} == {"Acc", "Gyro"}
     assert s.count() == 2 * 2 * 2 * 60
     assert files.read_sensor_folders(spark, str(tmp_path), ["Acc.txt"]).count() == 2 * 2 * 60
-    with pytest.raises(Exception, match="more than 1 axes"):
-        files.read_sensor_folders(spark, str(tmp_path), max_axes=1).collect()
+    (tmp_path / "r3").mkdir()
+    (tmp_path / "r3" / "Wide.csv").write_text("\n".join(",".join(str(i * 100 + a) for a in range(41)) for i in range(3)))
+    wide = files.read_sensor_folders(spark, str(tmp_path), ["Wide.csv"])
+    assert {(r.axis, r.v - r.t) for r in wide.collect()} == {(a, float(a)) for a in range(1, 41)} and wide.count() == 120
+
+
+def test_samples_of_one_time_keep_their_order(spark, tmp_path):
+    (tmp_path / "r").mkdir()
+    (tmp_path / "r" / "A.csv").write_text("\n".join(f"{i // 2},{(i * 7) % 5}" for i in range(20)))
+    got = [sorted(map(tuple, merge_sensors(files.read_sensor_folders(spark, str(tmp_path)).repartition(k), 1.0, 1.0).collect())) for k in (1, 7)]
+    assert got[0] == got[1] and len(got[0]) == 9
+
+
+def test_rejected_cells(spark, tmp_path):
+    (tmp_path / "d.csv").write_text("date,a,b\n2020-01-01,1,x\n2020-01-02,-,\n2020-01-03,-,x2\n2020-01-04,1e3,x\n")
+    got = {tuple(r) for r in files.rejected_cells(spark, str(tmp_path / "d.csv")).collect()}
+    assert got == {("d", "a", "-", 2), ("d", "b", "x", 2), ("d", "b", "x2", 1)}
+
+
+@pytest.mark.parametrize("mode", ["strict", "lenient"])
+def test_tsf_ordinals_over_many_blocks(spark, tmp_path, mode):
+    for name in ("one", "two"):
+        lines = [f"T{i}:{i}:2001-02-03 04-05-06:{i},{i + 1}" + (":odd" if mode == "lenient" and i % 7 == 2 else "") for i in range(400)]
+        (tmp_path / f"{name}.tsf").write_text(HEAD + "\n# remark\n".join(lines) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        out = tsf.read_tsf(spark, [str(tmp_path / f"{n}.tsf") for n in ("one", "two")], mode)
+        kept = out[0] if mode == "lenient" else out
+        got = sorted((r.dataset, r.ordinal, int(r.series_value[0])) for r in kept.collect())
+        plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = [i for i in range(400) if mode == "strict" or i % 7 != 2]
+    assert got == [(n, k, i) for n in ("one", "two") for k, i in enumerate(want)]
+    assert mode == "strict" or out[1].count() == 2 * (400 - len(want))
+    assert not any("Sort" in x or "Window" in x for x in plan.splitlines() if "series_value" in x)
 
 
 def test_folder_pipeline(spark, tmp_path):

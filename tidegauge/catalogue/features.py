@@ -321,6 +321,59 @@ def features_per_window(spark, d):
     return rounded(extract_windows(supplier_series(spark, d), 25, names=list(_WAGG)), "value", digits=3)
 
 
+def _rows_of(exprs: dict[str, str]) -> str:
+    """Feature rows of plain aggregates over ``d``."""
+    parts = " UNION ALL ".join(f"SELECT dataset, series_id, '{n}' AS feature, CAST(0 AS INTEGER) AS k, CAST({e} AS DOUBLE) AS value FROM d GROUP BY 1, 2" for n, e in exprs.items())
+    return f"{_base('ev')}{_TEMPORAL} SELECT dataset, series_id, feature, k, {r('value', 3)} AS value FROM ({parts})"
+
+
+@query(_rows_of({f.name: _T[f.name] for f in registry.select("temporal")}))
+def features_by_domain(spark, d):
+    """The features of one domain."""
+    return rounded(extract(events_series(spark, d), KEYS, domain="temporal"), "value", digits=3)
+
+
+_EMG = {n: _T[n] for n in ("Negative turning points", "Positive turning points", "Root mean square", "Zero crossing rate")}
+
+
+@query(_rows_of(_EMG))
+def features_by_tag(spark, d):
+    """The features of one tag, but for the cepstra, which have a query of their own."""
+    return rounded(extract(events_series(spark, d), KEYS, tag="emg").filter("feature <> 'MFCC'"), "value", digits=3)
+
+
+@query(_rows_of({
+    "Average power": _T["Average power"].replace("100", "50"), "Area under the curve": _T["Area under the curve"].replace("100", "50"),
+    "Neighbourhood peaks": "count(*) FILTER (WHERE idx >= 3 AND idx < n - 3 AND y > lm AND y > rm)",
+}).replace("10 PRECEDING", "3 PRECEDING").replace("10 FOLLOWING", "3 FOLLOWING"))
+def features_with_overrides(spark, d):
+    """Another sampling rate for all, and another reach for one."""
+    names = ["Average power", "Area under the curve", "Neighbourhood peaks"]
+    out = extract(events_series(spark, d), KEYS, names=names, fs=50, overrides={"Neighbourhood peaks": {"n": 3}})
+    return rounded(out, "value", digits=3)
+
+
+@query(_rows_of({"Range share": "max(y) / 2"}) + f""" UNION ALL SELECT dataset, series_id, 'Ends', CAST(k AS INTEGER), {r('CASE WHEN k = 0 THEN a ELSE b END', 3)}
+FROM (SELECT dataset, series_id, arg_min(y, idx) AS a, arg_max(y, idx) AS b FROM d GROUP BY 1, 2), range(0, 2) t(k)""")
+def features_of_users(spark, d):
+    """Two registered features, one with a parameter and one with two outputs."""
+    registry.register_feature("Range share", "statistical", lambda top: F.max("y") / top, params={"top": 2.0})
+    registry.register_feature("Ends", "temporal", lambda: F.array(F.min_by("y", "idx"), F.max_by("y", "idx")), size=2)
+    try:
+        return rounded(extract(events_series(spark, d), KEYS, names=["Range share", "Ends"]), "value", digits=3)
+    finally:
+        registry.unregister_feature("Range share")
+        registry.unregister_feature("Ends")
+
+
+@query(f"""{_base('ev')} SELECT dataset, series_id, CAST(133 + least(256, n // 2 + 1) AS INTEGER) AS outputs, 133 AS pruned FROM nn""")
+def feature_widths(spark, d):
+    """Values per series of the whole catalogue (389 from 510 points on), and of what the prompt bank keeps."""
+    every = extract(events_series(spark, d), KEYS)
+    kept = prune(every).groupBy(*KEYS).agg(F.count(F.lit(1)).cast("int").alias("pruned"))
+    return every.groupBy(*KEYS).agg(F.count(F.lit(1)).cast("int").alias("outputs")).join(kept, KEYS)
+
+
 @query()
 def features_whole_series(spark, d):
     """Every catalogue feature of every user's series."""

@@ -57,8 +57,8 @@ def source_series_list(spark, d):
     return files.union_all(out).drop("ts")
 
 
-def _tsf_files(spark, d):
-    """Event values as ten attribute-header files, every seventh value missing."""
+def _tsf_files(spark, d, spoilt: int | None = None):
+    """Event values as ten attribute-header files, every seventh value missing; lines of over ``spoilt`` values have a field too many."""
     ev = events_series(spark, d).withColumn("uid", F.col("series_id").cast("bigint"))
     value = F.when(F.col("idx") % 7 == 3, F.lit("?")).otherwise(F.col("y").cast("string"))
     lines = ev.groupBy("uid").agg(
@@ -68,6 +68,8 @@ def _tsf_files(spark, d):
         ":", F.concat(F.lit("U"), F.col("uid").cast("string")), F.col("uid").cast("string"),
         F.date_format("t", "yyyy-MM-dd HH-mm-ss"), F.array_join("_s.v", ","),
     )
+    if spoilt:
+        text = F.when(F.size("_s") > spoilt, F.concat(F.lit("more:"), text)).otherwise(text)
     lines = lines.select((F.col("uid") % 10).alias("part"), F.lit(1).alias("sec"), "uid", text.alias("value"))
     head = [
         "# values of user events", "@relation events", "@attribute name string", "@attribute uid numeric",
@@ -179,6 +181,25 @@ def sensor_window_features(spark, d):
     return rounded(out, "value", digits=3)
 
 
+@query(f"""WITH {EV}, c AS (SELECT CAST(series_id AS BIGINT) AS uid, count(*) AS n FROM ev GROUP BY 1)
+SELECT uid, row_number() OVER (PARTITION BY uid % 10 ORDER BY uid) - 1 AS ordinal, n FROM c WHERE n <= 70
+UNION ALL SELECT uid, NULL, NULL FROM c WHERE n > 70""")
+def source_tsf_lenient(spark, d):
+    """Lines with a field too many are handed back; the others are numbered without them."""
+    kept, rejected = tsf.read_tsf(spark, _tsf_files(spark, d, 70), "lenient")
+    rows = kept.select(tsf.numeric_attr("uid").alias("uid"), "ordinal", F.size("series_value").cast("bigint").alias("n"))
+    none = F.lit(None).cast("bigint")
+    return rows.unionByName(rejected.select(F.split("line", ":")[2].cast("bigint").alias("uid"), none.alias("ordinal"), none.alias("n")))
+
+
+@query("""SELECT 'd' AS dataset, 'o_orderstatus' AS series_id, o_orderstatus AS cell, count(*) AS n FROM orders GROUP BY 3""")
+def source_rejected_cells(spark, d):
+    """Cells of a wide file that are no numbers, by column."""
+    path = f"{scratch_path(spark, 'cells')}/d.csv"
+    spark.read.parquet(f"{d}/orders.parquet").select("o_orderdate", "o_totalprice", "o_orderstatus").write.option("header", True).csv(path)
+    return files.rejected_cells(spark, path)
+
+
 @query(f"""WITH {EV} SELECT 'folder=' || (CAST(series_id AS BIGINT) % 10) AS folder, CAST(a AS INTEGER) AS axis, CAST(idx AS DOUBLE) AS t,
 CASE WHEN a = 1 THEN y ELSE y * 2 END AS v FROM ev, range(1, 3) t(a)""")
 def source_sensor_folders(spark, d):

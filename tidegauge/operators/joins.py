@@ -76,7 +76,7 @@ def merge_sensors(sensors: DataFrame, fs: float, unit: float = 1e9, by: str = "f
         "_step", F.when(F.col("_m") > 1, (F.col("tn") - F.col("t0")) / (F.col("_m") - 1)).otherwise(F.lit(1.0))
     )
     prof = profile(sensors, keys)
-    ranked = rank_within(sensors, keys, ["t"], "_r", prof)
+    ranked = rank_within(sensors, keys, ["t", *(c for c in ("place",) if c in sensors.columns), "v"], "_r", prof)
     lines = with_neighbours(
         ranked, keys, "_r", 1,
         lambda w: {"_t": F.lead("t").over(w), "_v": F.lead("v").over(w)}, prof,

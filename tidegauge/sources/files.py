@@ -118,42 +118,51 @@ def read_series_list(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return out.select(*KEYS, "idx", F.lit(None).cast("timestamp_ntz").alias("ts"), "y")
 
 
-def read_sensor_folders(
-    spark: SparkSession, root: str, patterns: list[str] | None = None, max_axes: int = 32
-) -> DataFrame:
-    """Header-less ``time, axis1, axis2, ...`` files; a folder is one recording.
+def read_sensor_folders(spark: SparkSession, root: str, patterns: list[str] | None = None) -> DataFrame:
+    """Header-less ``time, axis1, axis2, ...`` files of any width; a folder is one recording.
 
-    Without ``patterns`` every CSV or TXT file is taken and files holding
-    anything but numbers are left out.  ``max_axes`` is checked, not silently
-    applied: a wider file raises.
+    Without ``patterns`` every CSV or TXT file is taken and files holding anything but numbers are left out.  ``place`` keeps
+    the order of samples of one time: block of the file and line in it.
     """
-    fields = ["t"] + [f"a{i}" for i in range(1, max_axes + 2)]
-    raw = (
-        spark.read.option("recursiveFileLookup", True)
-        .schema(", ".join(f"{f} string" for f in fields))
-        .csv(root)
-        .select("*", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"))
-    )
+    raw = spark.read.option("recursiveFileLookup", True).option("sep", "\u0001").option("quote", "").schema("line string").csv(root)
+    raw = raw.select("line", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"),
+                     F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("place"))
     if patterns:
         raw = raw.filter(F.col("file").isin(list(patterns)))
     else:
         raw = raw.filter(F.lower("file").rlike(r"\.(csv|txt)$"))
-    wide = f"a{max_axes + 1}"
-    guard = F.when(F.col(wide).isNotNull(), F.raise_error(F.lit(f"more than {max_axes} axes"))).otherwise(F.lit(True))
-    long = raw.filter(guard).select(
-        F.regexp_replace("path", r"/[^/]*$", "").alias("folder"), "path",
-        F.regexp_extract("file", r"^([^.]*)", 1).alias("sensor"),
-        F.expr("try_cast(t as double)").alias("t"),
-        F.posexplode(F.array(*[F.col(f) for f in fields[1:-1]])).alias("_a", "_v"),
-    ).filter(F.col("_v").isNotNull())
-    long = long.select("folder", "path", "sensor", "t", (F.col("_a") + 1).alias("axis"),
-                       F.expr("try_cast(trim(_v) as double)").alias("v"))
+    cell = F.transform(F.split("line", ","), lambda c: F.regexp_replace(F.trim(c), r'^"(.*)"$', "$1"))
+    cells = raw.filter(F.trim("line") != "").select(
+        F.regexp_replace("path", r"/[^/]*$", "").alias("folder"), "path", F.regexp_extract("file", r"^([^.]*)", 1).alias("sensor"),
+        "place", cell.alias("_c"))
+    long = cells.select(
+        "folder", "path", "sensor", "place", F.expr("try_cast(_c[0] as double)").alias("t"),
+        F.posexplode(F.slice("_c", 2, F.greatest(F.size("_c") - 1, F.lit(0)))).alias("_a", "_v"),
+    ).filter(F.col("_v") != "")
+    long = long.select("folder", "path", "sensor", "t", (F.col("_a") + 1).alias("axis"), F.expr("try_cast(_v as double)").alias("v"), "place")
     if not patterns:
         bad = long.filter(F.col("v").isNull() | F.col("t").isNull()).select("path").distinct()
         long = long.join(bad, "path", "left_anti")
     return long.drop("path")
 
 
+def rejected_cells(spark: SparkSession, paths: str | list[str], time_col: str | None = None, has_time: bool = True) -> DataFrame:
+    """(dataset, series_id, cell, n): what stands in value columns of wide CSV or list files and is no number.
+
+    The readers make such a cell NULL, or leave its row out; empty cells are missing values and are not listed.
+    """
+    out = None
+    _distinct_names(_paths(paths))
+    for path in _paths(paths):
+        raw = _csv(spark, [path])
+        time = (time_col or raw.columns[0]) if has_time else None
+        values = [c for c in raw.columns if c != time]
+        rows = raw.select(_dataset_of(path).alias("dataset"), *[F.col(f"`{c}`") for c in values]).unpivot(["dataset"], values, "series_id", "cell")
+        bad = rows.filter("cell is not null and try_cast(cell as double) is null")
+        out = bad if out is None else out.unionByName(bad)
+    return out.groupBy("dataset", "series_id", "cell").agg(F.count(F.lit(1)).alias("n"))
+
+
 def drop_missing(series: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Remove missing points and close the gaps in ``idx``."""
     kept = series.filter(F.col("y").isNotNull() & ~F.isnan("y")).withColumnRenamed("idx", "_old")

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegauge.config import KEYS
 from tidegauge.functions.names import dataset_of
-from tidegauge.operators.order import rank_within
 from tidegauge.sources.files import drop_missing, register_reader
 
 # Bytes 0x80 to 0x9F as code page 1252 assigns them; five are unassigned.
@@ -106,13 +105,16 @@ def read_tsf(
     wrong = heads.filter(F.col("error").isNotNull()).limit(1).collect()
     if wrong:
         raise ValueError(f"{wrong[0]['p']}: {wrong[0]['error']}")
-    body = lines.filter(~F.startswith(F.col("line"), F.lit("@"))).withColumn("p", _plain("path"))
+    body = lines.filter(~F.startswith(F.col("line"), F.lit("@"))).select(
+        _plain("path").alias("p"), "_blk", "line", F.monotonically_increasing_id().alias("_at"))
     # Headers hold one row per file, so Spark joins them by broadcast when they are small.
-    rows = body.join(heads.drop("error"), "p").withColumn("_f", F.split("line", ":"))
+    heads = heads.drop("error")
+    rows = body.join(heads, "p").withColumn("_f", F.split("line", ":"))
     fits = F.size("_f") == F.size("attrs") + 1
     rejected = rows.filter(~fits).select(dataset_of(paths, F.col("p")).alias("dataset"), "line")
     if mode == "lenient":
         rows = rows.filter(fits)
+    rows = _numbered(rows, body, heads, mode == "lenient")
     values = F.split(F.element_at("_f", -1), ",")
     number = F.transform(values, lambda v: F.when(v == "?", F.lit(None)).otherwise(F.trim(v).cast("double")))
     missing = F.forall(values, lambda v: v == "?")
@@ -135,13 +137,36 @@ def read_tsf(
     )
     rows = rows.withColumn("_pairs", F.when(fits, pairs))
     parsed = rows.select(
-        dataset_of(paths, F.col("p")).alias("dataset"), "_blk", "_mid",
+        dataset_of(paths, F.col("p")).alias("dataset"), "ordinal",
         F.map_from_entries(F.transform("_pairs", lambda p: F.struct(p["name"], p["v"]))).alias("attrs"),
         F.map_from_entries(F.transform("_pairs", lambda p: F.struct(p["name"], p["type"]))).alias("attr_types"),
         "freq", "horizon", "has_missing", "equal_length", checked.alias("series_value"),
     )
-    ranked = rank_within(parsed, ["dataset"], ["_blk", "_mid"], "ordinal").drop("_blk", "_mid")
-    return (ranked, rejected) if mode == "lenient" else ranked
+    parsed = parsed.select(*[c for c in parsed.columns if c != "ordinal"], "ordinal")
+    return (parsed, rejected) if mode == "lenient" else parsed
+
+
+def _numbered(rows: DataFrame, body: DataFrame, heads: DataFrame, lenient: bool) -> DataFrame:
+    """``ordinal``: the place of a series line among the lines of its file that are kept.
+
+    Lines of one block of a file are numbered one after the other, so a line's place is that in its block and the lines of the
+    blocks before; these follow from one row per block.  No line is sorted or moved for it.
+    """
+    own = ["p", "_blk"]
+    blocks = body.groupBy(*own).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    gone = F.lit(0)
+    if lenient:
+        slim = body.select(*own, "_at", F.size(F.split("line", ":")).alias("_k")).join(heads.select("p", F.size("attrs").alias("_a")), "p")
+        bad = slim.filter("_k <> _a + 1").groupBy(*own).agg(F.sort_array(F.collect_list("_at")).alias("_bad"))  # of one block
+        blocks = blocks.join(bad, own, "left")
+        gone = F.coalesce(F.size("_bad"), F.lit(0))
+        gone = F.greatest(gone, F.lit(0))
+    before = Window.partitionBy("p").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_before", F.coalesce(F.sum(F.col("_n") - gone).over(before), F.lit(0)))
+    place = F.col("_before") + F.col("_at") - F.col("_first")
+    if lenient:
+        place = place - F.greatest(F.coalesce(F.size(F.filter("_bad", lambda x: x < F.col("_at"))), F.lit(0)), F.lit(0))
+    return rows.join(blocks.drop("_n"), own).withColumn("ordinal", place.cast("bigint")).drop("_blk", "_at", "_first", "_before", "_bad")
 
 
 def numeric_attr(name: str):
