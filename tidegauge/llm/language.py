@@ -11,6 +11,7 @@ rows count each time; ties go to the language that sorts first; an empty table g
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ def _letters() -> np.ndarray:
     """For each code point its lower-case letter, or 32. By rule from the Unicode data of Python."""
     if not _table:
         t = np.full(0x110000, 32, np.uint32)
-        for c in range(0x30000):
+        for c in range(sys.maxunicode + 1):
             ch = chr(c)
             if ch.isalpha():
                 low = ch.lower()
