@@ -1,7 +1,7 @@
 """URL filter: host rules, and trust propagated over the link graph for hosts that no rule covers.
 
 A rule (action, host, path) fits its host and all subdomains where the url's path starts with the rule's; the longest rule
-wins, of equal ones the one with the longer host. Absolute links in pages give edges between hosts, one per ordered pair, with
+wins, of equal ones the one with the longer host. Links with a host (``//host/`` too) give edges between hosts, one per ordered pair, with
 the number of links as weight. A host whose pages are allowed more often than blocked is a trusted seed, in the opposite case
 a blocked seed, with the difference as weight. Trust is the personalised PageRank of trusted seeds along links; distrust that
 of blocked seeds against the links: who links to blocked hosts is distrusted. A host is blocked when distrust / (trust +
@@ -24,7 +24,7 @@ from tidegauge.session import stored
 
 Rule = tuple[str, str, str]
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-_LINK = r"(?i)href\s*=\s*[\"']?[a-z][a-z0-9+.-]*://([^/?#\"'\s>]*)"
+_LINK = r"(?i)href\s*=\s*[\"']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#\"'\s>]*)"
 
 
 def host_of(url: Column) -> Column:
@@ -108,7 +108,7 @@ def host_verdicts(pages: DataFrame, places: DataFrame, threshold: float = 0.5, d
 
 
 def judge(pages: DataFrame, rules: Sequence[Rule], threshold: float = 0.5) -> DataFrame:
-    """page_id, host, path, rule, verdict of every page, and the host's trust and distrust."""
+    """page_id, host, path, rule and verdict of every page."""
     places = parsed(pages.select("page_id", "url"), rules)
     hosts = host_verdicts(pages.select("url", "html"), places, threshold)
     own = F.when(F.coalesce("blocked", F.lit(False)), "block").otherwise("allow")
@@ -142,7 +142,7 @@ lean AS (SELECT host, sum(CASE act WHEN 'allow' THEN 1 WHEN 'block' THEN -1 ELSE
 s AS (SELECT kind, host, l / sum(l) OVER (PARTITION BY kind) AS w
       FROM (SELECT CASE WHEN l > 0 THEN 't' ELSE 'd' END AS kind, host, CAST(abs(l) AS DOUBLE) AS l FROM lean)),
 e AS (SELECT src, dst, count(*) AS n FROM (
-        SELECT host AS src, translate(unnest(regexp_extract_all(html, '(?i)href\s*=\s*["'']?[a-z][a-z0-9+.-]*://([^/?#"''\s>]*)', 1)), '{UPPER}', '{LOWER}') AS dst FROM p)
+        SELECT host AS src, translate(unnest(regexp_extract_all(html, '(?i)href\s*=\s*["'']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"''\s>]*)', 1)), '{UPPER}', '{LOWER}') AS dst FROM p)
       WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY 1, 2),
 b AS (SELECT 't' AS kind, src, dst, n FROM e UNION ALL SELECT 'd', dst, src, n FROM e),
 f AS (SELECT kind, src, dst, n / sum(n) OVER (PARTITION BY kind, src) AS p FROM b),
