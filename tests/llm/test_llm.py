@@ -426,3 +426,32 @@ def test_operators_of_the_pipeline_keep_columns_of_any_name(spark, tmp_path, lab
         assert out.columns == docs.columns
         got = out.collect()
         assert got and all(r[c] == f"{c}{r.doc_id}" for r in got for c in names)
+
+
+@pytest.mark.parametrize("reach", [1e7, 3e14])
+def test_top_k_of_large_components(spark, reach):
+    rng = np.random.default_rng(6)
+    rows = [(i, (rng.random(3) * reach / 64).tolist()) for i in range(60)] + [(60, [reach, 0.0, 0.0]), (61, [1e4, 0.0, 0.0])]
+    df = spark.createDataFrame(rows[:-2] if reach > 1e8 else rows, "vec_id long, embedding array<double>")
+    good = [(i, [math.floor(64 * x) for x in v]) for i, v in map(tuple, df.collect())]
+    if reach > 1e8:
+        with pytest.raises(Exception, match="beyond 64 bits"):
+            topk.search(df, lambda i: i % 20 == 0).collect()
+        return
+    want = []
+    for q, x in good:
+        if q % 20 == 0:
+            best = sorted((-sum(a * b for a, b in zip(x, y)), i) for i, y in good if i != q)[:20]
+            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert rows_of(topk.search(df, lambda i: i % 20 == 0, block=16, pivots=4)) == sorted(want, key=str)
+
+
+def test_language_knows_letters_of_all_planes(spark):
+    rows = [(i, "\U00030001\U00031350 \U00020001" * 9 if i % 2 else "abc def" * 9, "a" if i % 2 else "b") for i in range(120)]
+    got = language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert all(r.lang_pred == ("a" if r.doc_id % 2 else "b") for r in got)
+
+
+def test_links_without_a_scheme(spark):
+    pages = spark.createDataFrame([("http://a.com/x", "<a href='//B.org/y'><a href=//c.org>")], "url string, html string")
+    assert {tuple(r)[:2] for r in url_trust.host_edges(pages).collect()} == {("a.com", "b.org"), ("a.com", "c.org")}

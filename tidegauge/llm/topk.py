@@ -8,8 +8,8 @@ block. Scores are integers and computed exactly; bounds have a margin for roundi
 
 Pivots come from a bounded sample of vectors and only steer the work. The block list has at most about ``most_blocks`` rows.
 Vectors that are NULL, or hold NULL or non-finite components, take no part. Vectors of unequal length are compared over the
-components that both have. floor(64 x) is held within +-2^28. Ties go to the smaller id; equal ids are ranked in any order;
-an empty table gives an empty result.
+components that both have. A component or a score beyond 64 bits raises. Ties go to the smaller id; equal ids are ranked in
+any order; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,23 +21,23 @@ from pyspark.sql import functions as F
 
 from tidegauge.session import stored
 
-LIMIT = 1 << 28
-
 
 def cleaned(vectors: DataFrame, id_col: str, vector_col: str, factor: float) -> DataFrame:
     """(id, v): the usable vectors as whole numbers."""
     v = F.col(vector_col).cast("array<double>")
     usable = F.col(id_col).isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    whole = F.transform(v, lambda x: F.greatest(F.least(F.floor(x * factor).cast("double"), F.lit(float(LIMIT))), F.lit(-float(LIMIT))).cast("int"))
+    wide = F.raise_error(F.lit("a component is beyond 64 bits")).cast("bigint")
+    whole = F.transform(v, lambda x: F.when(F.abs(x * factor) < 2.0**63, F.floor(x * factor)).otherwise(wide))
     return vectors.where(usable).select(F.col(id_col).cast("bigint").alias("id"), whole.alias("v"))
 
 
 def _matrix(col: pa.Array, dims: int) -> np.ndarray:
+    """Whole numbers, one vector a row."""
     at = np.diff(col.offsets.to_numpy())
     flat = col.flatten().to_numpy()
     if len(at) and (at == dims).all():
-        return flat.reshape(len(at), dims).astype(np.float64)
-    out = np.zeros((len(at), dims))
+        return flat.reshape(len(at), dims)
+    out = np.zeros((len(at), dims), np.int64)
     row = np.repeat(np.arange(len(at)), at)
     out[row, np.arange(len(flat)) - np.repeat(np.cumsum(at) - at, at)] = flat
     return out
@@ -45,6 +45,7 @@ def _matrix(col: pa.Array, dims: int) -> np.ndarray:
 
 def _raised(x: np.ndarray, longest: float) -> np.ndarray:
     """Vectors with the component that makes their squared length ``longest``."""
+    x = x.astype(float)
     return np.concatenate([x, np.sqrt(np.maximum(longest - (x * x).sum(1), 0))[:, None]], 1)
 
 
@@ -71,8 +72,8 @@ def choose_pivots(sample: np.ndarray, count: int) -> np.ndarray:
 _BLOCK = "block bigint, pivot int, near double, far double, norm double, ids binary, v binary, rows int"
 
 
-def _blocks(keyed: DataFrame, dims: int, size: int) -> DataFrame:
-    """Rows of a sorted partition, ``size`` at a time, as one row with a matrix."""
+def _blocks(keyed: DataFrame, dims: int, size: int, kind: str) -> DataFrame:
+    """Rows of a sorted partition, ``size`` at a time, as one row with a matrix of integers of ``kind``."""
 
     def work(batches):
         from pyspark import TaskContext
@@ -92,8 +93,8 @@ def _blocks(keyed: DataFrame, dims: int, size: int) -> DataFrame:
                     d = part.column("d").to_numpy()
                     yield pa.RecordBatch.from_pylist([{
                         "block": number, "pivot": int(pivot[a]), "near": float(d.min()), "far": float(d.max()),
-                        "norm": float(np.sqrt((x * x).sum(1).max())), "ids": part.column("id").to_numpy().tobytes(),
-                        "v": x.astype(np.int32).tobytes(), "rows": len(x)}], schema)
+                        "norm": float(np.sqrt((x.astype(float) ** 2).sum(1).max())), "ids": part.column("id").to_numpy().tobytes(),
+                        "v": x.astype(kind).tobytes(), "rows": len(x)}], schema)
                     number += 1
 
         schema = pa.schema([("block", pa.int64()), ("pivot", pa.int32()), ("near", pa.float64()), ("far", pa.float64()), ("norm", pa.float64()),
@@ -111,16 +112,22 @@ def _blocks(keyed: DataFrame, dims: int, size: int) -> DataFrame:
 
 
 def _compare(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Exact inner products."""
-    reach = float(np.sqrt((q * q).sum(1).max(initial=0)) * np.sqrt((v * v).sum(1).max(initial=0)))
+    """Exact inner products; no part of a sum is larger than the product of the norms."""
+    a, b = q.astype(float), v.astype(float)
+    reach = float(np.sqrt((a * a).sum(1).max(initial=0)) * np.sqrt((b * b).sum(1).max(initial=0)))
     if reach < 1 << 24:
         return (q.astype(np.float32) @ v.astype(np.float32).T).astype(np.int64)
     if reach < 1 << 53:
-        return (q @ v.T).astype(np.int64)
-    return q.astype(np.int64) @ v.astype(np.int64).T
+        return (a @ b.T).astype(np.int64)
+    if reach < 1 << 62:
+        return q.astype(np.int64) @ v.astype(np.int64).T
+    exact = q.astype(object) @ v.astype(object).T
+    if any(abs(x) >= 1 << 63 for x in exact.ravel()):
+        raise OverflowError("a score is beyond 64 bits")
+    return exact.astype(np.int64)
 
 
-def _search(pairs: DataFrame, data: DataFrame, queries: DataFrame, dims: int, k: int) -> DataFrame:
+def _search(pairs: DataFrame, data: DataFrame, queries: DataFrame, dims: int, k: int, kind: str) -> DataFrame:
     """The k best of every query in each pair of blocks, as (query_id, vec_id, score)."""
     q = queries.select(F.col("block").alias("q"), F.col("ids").alias("q_ids"), F.col("v").alias("q_v"))
     both = pairs.join(q, "q").join(data.select("block", "ids", "v"), "block").select("q_ids", "q_v", "floor", "ids", "v")
@@ -129,8 +136,7 @@ def _search(pairs: DataFrame, data: DataFrame, queries: DataFrame, dims: int, k:
         for batch in batches:
             for row in batch.to_pylist():
                 qi, vi = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["ids"], np.int64)
-                qx = np.frombuffer(row["q_v"], np.int32).reshape(len(qi), dims).astype(float)
-                vx = np.frombuffer(row["v"], np.int32).reshape(len(vi), dims).astype(float)
+                qx, vx = np.frombuffer(row["q_v"], kind).reshape(len(qi), dims), np.frombuffer(row["v"], kind).reshape(len(vi), dims)
                 floor = np.frombuffer(row["floor"], np.int64)
                 score = _compare(qx, vx)
                 at, to = np.nonzero((score >= floor[:, None]) & (qi[:, None] != vi[None]))
@@ -155,11 +161,13 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
     spark = vectors.sparkSession
     rows = stored(cleaned(vectors, id_col, vector_col, factor), "vectors")
     shape = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dims"), F.max(F.aggregate(
-        "v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)).alias("longest")).first()
+        "v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)).alias("longest"), F.max(F.aggregate(
+            "v", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x.cast("double"))))).alias("widest")).first()
     empty = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
     if not shape["n"]:
         return empty
     dims, longest = max(1, shape["dims"]), shape["longest"]
+    kind = "<i4" if shape["widest"] < 1 << 31 else "<i8"  # as narrow as the numbers allow
     some = rows.where(F.rand(9) < min(1.0, sample / shape["n"])).limit(2 * sample).toArrow()
     fitted = choose_pivots(_raised(_matrix(some.column("v").combine_chunks(), dims), longest), pivots)
     if not len(fitted):
@@ -176,16 +184,16 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns, pa.array(near, pa.int32()), pa.array(d[np.arange(len(d)), near])], ["id", "v", "pivot", "d"])
 
-    keyed = stored(rows.mapInArrow(key, "id bigint, v array<int>, pivot int, d double"), "keyed")
+    keyed = stored(rows.mapInArrow(key, "id bigint, v array<bigint>, pivot int, d double"), "keyed")
     parts = max(1, -(-shape["n"] // (4 * size)))
 
     def sorted_blocks(df, rows_each, name):
-        return stored(_blocks(df.repartitionByRange(parts, "pivot", "d", "id").sortWithinPartitions("pivot", "d", "id"), dims, rows_each), name)
+        return stored(_blocks(df.repartitionByRange(parts, "pivot", "d", "id").sortWithinPartitions("pivot", "d", "id"), dims, rows_each, kind), name)
 
     data = sorted_blocks(keyed, size, "vector-blocks")
     asked = keyed.where(is_query(F.col("id")))
     queries = stored(_blocks(asked.repartitionByRange(max(1, parts // 8), "pivot", "d", "id").sortWithinPartitions("pivot", "d", "id").coalesce(
-        max(1, parts // 8)), dims, 1024), "query-blocks")
+        max(1, parts // 8)), dims, 1024, kind), "query-blocks")
     listed = data.select("block", "pivot", "near", "far", "norm", "rows").toArrow()
     blocks = spark.sparkContext.broadcast(tuple(listed.column(c).to_numpy() for c in ("block", "pivot", "near", "far", "norm", "rows")))
 
@@ -203,7 +211,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
             for batch in batches:
                 for row in batch.to_pylist():
                     ids = np.frombuffer(row["ids"], np.int64)
-                    x = np.frombuffer(row["v"], np.int32).reshape(len(ids), dims).astype(float)
+                    x = np.frombuffer(row["v"], kind).reshape(len(ids), dims).astype(float)
                     own = (x * x).sum(1)
                     up = _raised(x, longest)
                     d = _distances(up, fitted)[:, pivot]  # queries by blocks
@@ -224,13 +232,13 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
         return source.mapInArrow(work, "q bigint, block bigint, floor binary")
 
     first = stored(route(None, True), "first-pairs")
-    seen = stored(_best(_search(first, data, queries, dims, k), k), "first-found")
+    seen = stored(_best(_search(first, data, queries, dims, k, kind), k), "first-found")
     kth = seen.where(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
     spots = queries.select("block", "ids").mapInArrow(_places, "block bigint, place int, query_id bigint")
     floors = (spots.join(kth, "query_id", "left").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("place", "kth"))).alias("all"))
               .select("block", F.transform("all", lambda s: F.coalesce(s["kth"], F.lit(-(1 << 63)))).alias("kths")).mapInArrow(_packed, "block bigint, floors binary"))
     rest = stored(route(floors, False).join(first.select("q", "block"), ["q", "block"], "left_anti"), "other-pairs")
-    more = _search(rest, data, queries, dims, k)
+    more = _search(rest, data, queries, dims, k, kind)
     return _best(seen.select("query_id", "vec_id", "score").unionByName(more), k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
 
