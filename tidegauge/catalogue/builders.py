@@ -13,7 +13,7 @@ from tidegauge.config import KEYS, PrepConfig
 from tidegauge.operators import joins, scaling, splits
 from tidegauge.operators.packed import pack
 from tidegauge.plans import builders, scoring, text
-from tidegauge.sources.tables import events_series, orders_daily, supplier_series
+from tidegauge.sources.tables import events_series, orders_daily, supplier_series, to_series
 
 CFG = PrepConfig(seq_len=L, pred_len=P, stride=3)
 SKO = [*SK, "off"]
@@ -205,6 +205,61 @@ def build_prediction_inputs(spark, d):
     return rows.select(*KEYS, "pos", rnd("_e.v").alias("value"), F.col("_e.m")[1].cast("int").alias("day"))
 
 
+@query(f"""WITH {OD}, t AS (SELECT * FROM od WHERE series_id IN ('1-URGENT', '2-HIGH')),
+n AS (SELECT *, count(*) OVER k AS n, avg(y) OVER k AS mu, stddev_pop(y) OVER k AS sd FROM t WINDOW k AS (PARTITION BY series_id)),
+l AS (SELECT series_id, max(ts) AS lt FROM t GROUP BY 1)
+SELECT dataset, series_id, CAST(idx - n + {L} AS INTEGER) AS pos, {r('(y - mu) / sd')} AS value, {r('y', 2)} AS raw,
+{r('(isodow(ts) - 1) / 6.0 - 0.5')} AS weekday, {r('(day(ts) - 1) / 30.0 - 0.5')} AS day, {r('(dayofyear(ts) - 1) / 365.0 - 0.5')} AS day_of_year
+FROM n WHERE idx >= n - {L} UNION ALL
+SELECT 'orders', series_id, CAST({L} + i - 1 AS INTEGER), NULL, NULL, {r('(isodow(f) - 1) / 6.0 - 0.5')}, {r('(day(f) - 1) / 30.0 - 0.5')}, {r('(dayofyear(f) - 1) / 365.0 - 0.5')}
+FROM (SELECT series_id, i, lt + i * INTERVAL 1 DAY AS f FROM l, range(1, {P + 1}) a(i))""")
+def build_prediction_scaled_marks(spark, d):
+    """Two chosen series with scaled calendar fields, and their points before scaling."""
+    out = builders.prediction_inputs(orders_daily(spark, d), L, P, "D", "M", "2-HIGH", time_fields="scaled", cols=["1-URGENT", "2-HIGH"], inverse=True)
+    none = F.array_repeat(F.lit(None).cast("double"), P)
+    flat = F.arrays_zip(F.concat("x", none).alias("v"), F.concat("x_raw", none).alias("r"), F.concat("x_mark", "y_mark").alias("m"))
+    rows = out.select(*KEYS, F.posexplode(flat).alias("pos", "_e"))
+    marks = [rnd(F.col("_e.m")[i]).alias(c) for i, c in enumerate(("weekday", "day", "day_of_year"))]
+    return rows.select(*KEYS, "pos", rnd("_e.v").alias("value"), rnd("_e.r", 2).alias("raw"), *marks)
+
+
+@query(f"""WITH {OD}, {_border_sql('od')}, {windows_sql('bs', _K, L, P, 1)} {rows_sql(_K + ', off')}""")
+def build_marked_list(spark, d):
+    """A list of series under the shares of the custom split, without marks."""
+    return _rows(builders.marked_samples(orders_daily(spark, d), "list", L, P, "M", percent=50), SKO)
+
+
+def _calendar_sql(steps: int, marks: str) -> str:
+    m = 720 * steps
+    return f"""WITH a AS (SELECT 'events' AS dataset, 'all' AS series_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS idx, ts, value AS y FROM events),
+e(split, lo, hi) AS (VALUES ('train', 0, {12 * m}), ('val', {12 * m - L}, {16 * m}), ('test', {16 * m - L}, {20 * m})),
+t AS (SELECT avg(y) AS mu, stddev_pop(y) AS sd FROM a WHERE idx < {12 * m}),
+p AS (SELECT split, dataset, series_id, idx - lo AS idx, ts, (y - mu) / sd AS y FROM a JOIN e ON idx >= lo AND idx < hi, t),
+c AS (SELECT split, count(*) AS n FROM p GROUP BY 1),
+o AS (SELECT split, unnest(range(0, n - {L + P} + 1)) AS off FROM c WHERE n >= {L + P})
+SELECT split, x.dataset, x.series_id, off, {r('x.y')} AS first_x, {r('z.y')} AS last_y, {marks}
+FROM o JOIN p x USING (split) JOIN p z USING (split) WHERE x.idx = off AND z.idx = off + {L + P - 1}"""
+
+
+def _calendar_rows(spark, d, kind: str, marks: dict[str, int]):
+    one = to_series(spark.read.parquet(f"{d}/events.parquet"), "events", F.lit("all"), ["ts", "event_id"], F.col("value"))
+    w = builders.marked_samples(one, kind, L, P, "M")
+    return w.select(*SKO, rnd(F.col("x")[0]).alias("first_x"), rnd(F.element_at("y", -1)).alias("last_y"),
+                    *[F.element_at("y_mark", -1)[i].cast("int").alias(c) for c, i in marks.items()])
+
+
+@query(_calendar_sql(1, "CAST(month(z.ts) AS INTEGER) AS month, CAST(hour(z.ts) AS INTEGER) AS hour"))
+def build_marked_hour(spark, d):
+    """All events as one hourly series, cut at months of 30 days."""
+    return _calendar_rows(spark, d, "hour", {"month": 0, "hour": 3})
+
+
+@query(_calendar_sql(4, "CAST(day(z.ts) AS INTEGER) AS day, CAST(minute(z.ts) // 15 AS INTEGER) AS quarter"))
+def build_marked_quarter(spark, d):
+    """The same at four points an hour, with the quarter of the hour."""
+    return _calendar_rows(spark, d, "quarter", {"day": 1, "quarter": 4})
+
+
 @query(f"""{_TEST}, e AS (SELECT w.dataset, w.series_id, x[len(x)] * sd + mu AS p, unnest(y) * sd + mu AS t FROM w JOIN par USING (dataset, series_id))
 SELECT dataset, {r('avg((p - t) * (p - t))', 3)} AS mse, {r('avg(abs(p - t))', 4)} AS mae FROM e GROUP BY 1""")
 def score_restored_forecast(spark, d):

@@ -267,22 +267,33 @@ def marked_samples(
 
 def prediction_inputs(
     series: DataFrame, seq_len: int, pred_len: int, freq: str, mode: str = "S", target: str = "OT",
-    scale: bool = True, keys: list[str] = KEYS,
+    scale: bool = True, keys: list[str] = KEYS, time_fields: str = "plain", cols: list[str] | None = None,
+    inverse: bool = False,
 ) -> DataFrame:
-    """Last ``seq_len`` points of each series with marks for them and the steps to come."""
+    """Last ``seq_len`` points of each series with marks for them and the steps to come.
+
+    ``cols`` names the series wanted, the target among them.  ``time_fields="scaled"`` gives the calendar fields of ``freq``
+    between -0.5 and 0.5.  ``inverse`` adds ``x_raw``, the points before scaling.
+    """
+    if cols is not None:
+        if target not in cols:
+            raise ValueError(f"the target {target!r} is not among {cols}")
+        series = series.filter(F.col("series_id").isin(cols))
     chosen = select_series(series, mode, target)
-    tail = prediction_tail(chosen, seq_len, keys)
+    tail = prediction_tail(chosen, seq_len, keys).withColumn("_raw", F.col("y"))
     if scale:
         fit, transform, _ = processor("standard_scaler")
         tail = transform(tail, fit(chosen, keys), keys)
     packed = tail.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("idx").alias("p"), F.col("y").alias("v"), F.col("ts").alias("t")))).alias("_s")
+        F.array_sort(F.collect_list(F.struct(F.col("idx").alias("p"), F.col("y").alias("v"), F.col("ts").alias("t"), F.col("_raw").alias("r")))).alias("_s")
     )
-    packed = packed.select(*keys, F.col("_s.v").alias("x"), F.col("_s.t").alias("x_ts"))
+    raw = [F.col("_s.r").alias("x_raw")] if inverse else []
+    packed = packed.select(*keys, F.col("_s.v").alias("x"), F.col("_s.t").alias("x_ts"), *raw)
     out = packed.withColumn("last_ts", F.element_at("x_ts", -1)).withColumn(
         "future_ts", future_timestamps("last_ts", freq, pred_len)
     )
-    mark = lambda ts: F.array(*[c.cast("double") for c in plain_fields(ts, True).values()])
+    fields = (lambda ts: plain_fields(ts, True)) if time_fields == "plain" else (lambda ts: fields_for(freq, ts))
+    mark = lambda ts: F.array(*[c.cast("double") for c in fields(ts).values()])
     return out.withColumns(
         {"x_mark": F.transform("x_ts", mark), "y_mark": F.transform("future_ts", mark)}
     ).drop("last_ts")
