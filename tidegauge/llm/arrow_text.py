@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK = 1 << 21  # bytes of text worked on at once
+PIECE = 1 << 19  # the same where many operators follow one another in one worker
 _MASK = (1 << 64) - 1
 
 

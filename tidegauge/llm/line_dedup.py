@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.llm import bloom
-from tidegauge.llm.arrow_text import Words, column_bytes, mix, pieces
+from tidegauge.llm.arrow_text import PIECE, Words, column_bytes, mix, pieces
 from tidegauge.llm.columns import free_name
 from tidegauge.session import stored
 
@@ -92,7 +92,7 @@ def _survey(docs: DataFrame) -> DataFrame:
         counts = np.zeros(1 << LOG_BUCKETS, np.int64)
         for batch in batches:
             data, at = column_bytes(batch.column(2))
-            for lo, hi, part, own in pieces(data, at):
+            for lo, hi, part, own in pieces(data, at, PIECE):
                 x = Lines(part, own)
                 counts += np.bincount((x.token >> np.uint64(TOKEN_BITS - LOG_BUCKETS)).astype(np.int64), minlength=len(counts))
                 keys = batch.column(0).slice(lo, hi - lo).take(pa.array(x.row))
@@ -144,7 +144,7 @@ def _postings(docs: DataFrame, rarity: Broadcast, cells: Broadcast, only: Broadc
         for batch in batches:
             data, at = column_bytes(batch.column(2))
             ids = batch.column(1).fill_null(_LAST).to_numpy()
-            for lo, _, part, own in pieces(data, at):
+            for lo, _, part, own in pieces(data, at, PIECE):
                 x = Lines(part, own)
                 if not len(x.at):
                     continue
@@ -301,7 +301,7 @@ def _word_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
     def work(batches):
         for batch in batches:
             data, at = column_bytes(batch.column(2))
-            for _, _, part, own in pieces(data, at):
+            for _, _, part, own in pieces(data, at, PIECE):
                 x = Lines(part, own)
                 if not len(x.at):
                     continue

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.llm import bloom
-from tidegauge.llm.arrow_text import Words, column_bytes, mix, pieces
+from tidegauge.llm.arrow_text import PIECE, Words, column_bytes, mix, pieces
 from tidegauge.llm.columns import free_name
 from tidegauge.llm.components import components
 from tidegauge.session import stored
@@ -155,7 +155,7 @@ def sketch(docs: DataFrame, weights: str = "set", size: int = SIZE) -> DataFrame
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = column_bytes(batch.column(2))
-            for lo, hi, part, own in pieces(data, at):
+            for lo, hi, part, own in pieces(data, at, PIECE):
                 rows = hi - lo
                 row, element, count = shingles(part, own, size)
                 n = np.bincount(row, minlength=rows)
@@ -183,7 +183,7 @@ def _shingle_sets(docs: DataFrame, needed: DataFrame, size: int) -> DataFrame:
     def work(batches):
         for batch in batches:
             data, at = column_bytes(batch.column(0))
-            for lo, hi, part, own in pieces(data, at):
+            for lo, hi, part, own in pieces(data, at, PIECE):
                 row, element, _ = shingles(part, own, size)
                 n = np.bincount(row, minlength=hi - lo)
                 name = _sets(row, element, hi - lo).view(np.int64)

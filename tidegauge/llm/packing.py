@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegauge.llm.arrow_text import PIECE as RUN
 from tidegauge.llm.arrow_text import column_bytes
 from tidegauge.llm.arrow_text import pieces as runs
 from tidegauge.session import stored
@@ -229,7 +230,7 @@ def cut(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, separator: i
         for batch in batches:
             keys = batch.column(0).to_pylist()
             data, offsets = column_bytes(batch.column(1))
-            for lo, hi, part, at_ in runs(data, offsets):
+            for lo, hi, part, at_ in runs(data, offsets, RUN):
                 doc, piece, start, length, crc, ids = [], [], [], [], [], []
                 for key, whole in zip(keys[lo:hi], tokenizer.batch(part, at_), strict=True):
                     whole += end

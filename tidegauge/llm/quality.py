@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.llm import ftrl
-from tidegauge.llm.arrow_text import IS_WORD, Words, column_bytes, mix, pieces
+from tidegauge.llm.arrow_text import IS_WORD, PIECE, Words, column_bytes, mix, pieces
 from tidegauge.llm.columns import free_name
 from tidegauge.session import stored
 
@@ -37,7 +37,6 @@ _UPPER[65:91] = True
 _LETTER = _UPPER.copy()
 _LETTER[97:123] = True
 _ODD = ~(IS_WORD | _PLAIN)
-PIECE = 1 << 19  # bytes of text worked on at once
 
 
 def _share(a, b):
@@ -81,7 +80,7 @@ class Counted:
         twice = np.bincount(w.rows(), same, rows)
         kinds = np.bincount(self.row, minlength=rows)
         ends = np.zeros(len(w), bool)
-        inside = w.end < len(d)
+        inside = w.end < self.at[1:][w.rows()]
         ends[inside] = np.isin(d[w.end[inside]], np.frombuffer(b".?!:", np.uint8))
         stops = np.bincount(w.rows(), ends, rows)
         hits = np.bincount(self.row, np.isin(short(self.word), flagged), rows) if len(flagged) else np.zeros(rows)
