@@ -51,6 +51,21 @@ def test_rank(spark):
     assert hot == list(range(400))
 
 
+def test_short_groups_stay_out_of_the_range_shuffle(spark):
+    s = skewed(spark)
+    spark.conf.set("spark.tidegauge.maxGroupRows", "100")
+    try:
+        out = rank_within(s, KEYS, ["y", "idx"], "r")
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        got = out.collect()
+    finally:
+        spark.conf.unset("spark.tidegauge.maxGroupRows")
+    assert "Union" in plan and out.columns == [*s.columns, "r"] and len(got) == 478
+    for name, n in (("hot", 400), ("b", 60)):
+        own = sorted((r.y, r.idx, r.r) for r in got if r.series_id == name)
+        assert [r for _, _, r in own] == list(range(n))
+
+
 def test_rank_over_the_whole_table(spark):
     s = skewed(spark)
     got = rank_within(s, [], ["y", "series_id", "idx"], "r").orderBy("r").collect()

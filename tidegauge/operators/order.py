@@ -47,9 +47,29 @@ def rank_within(
     """Dense zero-based position of each row in its group; ``order`` must be total."""
     prof = prof or profile(df, keys)
     if keys and fits(df, prof):
-        w = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumn(out, (F.row_number().over(w) - 1).cast("bigint"))
-    return _rank_by_range(df, keys, order, out, prof)
+        return _rank_by_window(df, keys, order, out)
+    if not keys:
+        return _rank_by_range(df, keys, order, out, prof)
+    # Only the long groups, a row each in a table of checked size, go through the range shuffle.
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > bound(df.sparkSession, MAX_GROUP_ROWS))
+    found = sizes.agg(F.count(F.lit(1)).alias("groups"), F.sum("_n").alias("rows"), F.max("_n").alias("longest")).first()
+    if found["groups"] > MOST_LONG or found["rows"] == prof.rows:
+        return _rank_by_range(df, keys, order, out, prof)
+    names = F.broadcast(sizes.select(*keys))
+    short = _rank_by_window(df.join(names, keys, "left_anti"), keys, order, out)
+    if found["groups"]:
+        long = _rank_by_range(df.join(names, keys, "left_semi"), keys, order, out, GroupProfile(found["rows"], found["longest"]))
+        short = short.unionByName(long)
+    return short.select(*df.columns, out)
+
+
+MOST_LONG = 100_000  # long groups whose names are broadcast
+MOST_RANGES = 20_000
+
+
+def _rank_by_window(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn(out, (F.row_number().over(w) - 1).cast("bigint"))
 
 
 def _rank_by_range(df, keys, order, out, prof) -> DataFrame:
@@ -63,7 +83,7 @@ def _rank_by_range(df, keys, order, out, prof) -> DataFrame:
     spark = df.sparkSession
     parts = max(
         int(spark.conf.get("spark.sql.shuffle.partitions")),
-        math.ceil(prof.rows / bound(spark, MAX_GROUP_ROWS)),
+        min(MOST_RANGES, math.ceil(prof.rows / bound(spark, MAX_GROUP_ROWS))),
     )
     by = [*keys, *order]
     placed = cut_lineage(
