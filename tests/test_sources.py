@@ -110,6 +110,26 @@ def test_series_list(spark, tmp_path):
         files.read_series_list(spark, "x.feather")
 
 
+def test_series_list_of_many_splits_sorts_no_rows(spark, tmp_path):
+    """Long series over several files and splits, two paths of one dataset: places follow the files, without a sort of the rows."""
+    rows = [(float(i), float(i % 7) if i % 5 else None) for i in range(2000)]
+    for folder, part in (("one", rows[:1500]), ("two", rows[1500:])):
+        df = spark.createDataFrame(part, "p double, q double").repartitionByRange(6, "p").sortWithinPartitions("p")
+        df.write.parquet(str(tmp_path / folder / "s.parquet"))
+    spark.conf.set("spark.tidegauge.maxGroupRows", "100")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        s = files.read_series_list(spark, [str(tmp_path / "one" / "s.parquet"), str(tmp_path / "two" / "s.parquet")])
+        got = sorted((r.series_id, r.idx, r.y) for r in s.collect())
+        plan = s._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.tidegauge.maxGroupRows")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    kept = [r for r in rows if r[1] is not None]
+    assert got == [("p", i, r[0]) for i, r in enumerate(kept)] + [("q", i, r[1]) for i, r in enumerate(kept)]
+    assert "Sort" not in plan and "Repartition" not in plan and "LogicalRDD" not in plan
+
+
 def recordings(root):
     for rec, start in (("r1", 0), ("r2/inner", 5)):
         d = root / rec

@@ -14,6 +14,7 @@ from tidegauge.session import scratch_path
 from tidegauge.sources import files, tsf
 from tidegauge.sources.tables import embedding_series, events_series
 
+ROWS_A_TASK = 1_000_000
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
 
@@ -48,10 +49,11 @@ def source_series_list(spark, d):
         "l_suppkey", "l_orderkey", "l_linenumber", F.col("l_quantity").alias("q"),
         F.when(F.col("l_linenumber") != 3, F.col("l_extendedprice")).alias("p"),
     )
-    out = []
+    out, order = [], ["l_suppkey", "l_orderkey", "l_linenumber", "q", "p"]
+    runs = max(int(spark.conf.get("spark.sql.shuffle.partitions")), li.count() // ROWS_A_TASK)  # a task sorts no more on larger tables
     for name, rest in (("even", 0), ("odd", 1)):
         path = f"{scratch_path(spark, 'list')}/{name}.parquet"
-        part = li.filter(F.col("l_suppkey") % 2 == rest).sort("l_suppkey", "l_orderkey", "l_linenumber", "q", "p")
+        part = li.filter(F.col("l_suppkey") % 2 == rest).repartitionByRange(runs, *order).sortWithinPartitions(*order)
         part.select("q", "p").write.parquet(path)
         out.append(files.read_series_list(spark, path))
     return files.union_all(out).drop("ts")

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegauge.config import KEYS
 from tidegauge.functions.names import dataset_of, file_stem
 from tidegauge.operators.order import rank_within
+from tidegauge.session import stored
 
 _READERS: dict[str, Callable] = {}
 
@@ -94,10 +95,12 @@ def read_wide_csv(
 def read_series_list(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Several all-numeric files; rows with any missing value are dropped.
 
-    CSV, Parquet and ORC are told apart by suffix.
+    CSV, Parquet and ORC are told apart by suffix.  The rows are stored once
+    with their number inside their task; the rows before a file split come
+    from a table of one row per split, so no row is sorted or sent on.
     """
-    parts = []
-    for path in _paths(paths):
+    parts, runs = [], []
+    for k, path in enumerate(_paths(paths)):
         kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
         if kind == "feather":
             raise ValueError("Spark reads no Feather files; convert them to Parquet first")
@@ -106,16 +109,24 @@ def read_series_list(spark: SparkSession, paths: str | list[str]) -> DataFrame:
         rows = raw.select(
             _dataset_of(path).alias("dataset"),
             *[F.expr(f"try_cast(`{c}` as double)").alias(c) for c in values],
-            *_line_place(),
+            *_line_place()[:2],
         ).dropna("any", subset=values)
         for v in values:
             rows = rows.filter(~F.isnan(F.col(f"`{v}`")))
-        parts.append(rows.unpivot(["dataset", *_PLACE], values, "series_id", "y"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    out = rank_within(out, KEYS, _PLACE, "idx")
-    return out.select(*KEYS, "idx", F.lit(None).cast("timestamp_ntz").alias("ts"), "y")
+        names = [f"_v{i}" for i in range(len(values))]  # a file format may not take every name
+        split = ["dataset", "_file", "_blk"]
+        kept = rows.select(*split, F.monotonically_increasing_id().alias("_mid"), *[F.col(f"`{v}`").alias(n) for v, n in zip(values, names, strict=True)])
+        kept = stored(kept, "list-rows").select(F.lit(k).alias("_part"), *split, "_mid", *[F.col(n).alias(v) for v, n in zip(values, names, strict=True)])
+        parts.append(kept.unpivot(["dataset", "_part", "_file", "_blk", "_mid"], values, "series_id", "y"))
+        found = kept.groupBy("_part", *split).agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n"))
+        runs.append(found.withColumn("series_id", F.explode(F.array(*[F.lit(v) for v in values]))))
+    earlier = Window.partitionBy(*KEYS).orderBy("_file", "_blk", "_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = union_all(runs).withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    # One row per series and file split: few beside the rows they stand for.
+    before = F.broadcast(before.select("series_id", "_part", "_file", "_blk", "_first", "_before"))
+    out = union_all(parts).join(before, ["series_id", "_part", "_file", "_blk"])
+    idx = (F.col("_before") + F.col("_mid") - F.col("_first")).alias("idx")
+    return out.select(*KEYS, idx, F.lit(None).cast("timestamp_ntz").alias("ts"), "y")
 
 
 def read_sensor_folders(spark: SparkSession, root: str, patterns: list[str] | None = None) -> DataFrame:
