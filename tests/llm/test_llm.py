@@ -80,6 +80,19 @@ def test_line_dedup(stored_docs):
     assert 0 < len(gone) < len(seen)
 
 
+def test_line_dedup_cuts_texts_into_words_once(spark, tmp_path, monkeypatch):
+    """The table of lines holds their words; equal lines of one run of texts hold them once, at the smallest doc_id."""
+    path = str(tmp_path / "d.parquet")
+    rows = [(7, "b a c\n\nx"), (3, "a b c\ny z"), (None, "c b a"), (5, None)]
+    spark.createDataFrame([(i, d, t) for i, (d, t) in enumerate(rows)], "row long, doc_id long, text string").coalesce(1).write.parquet(path)
+    survey = line_dedup._survey(spark.read.parquet(path)).where("kind = 0")
+    assert survey.count() == 5
+    assert sorted(r.doc_id for r in survey.where("data is not null").collect()) == [3, 3, 7]
+    lines = survey.select("row", "doc_id", "set", "data").where("data is not null")
+    sets = line_dedup._word_sets(lines, lines.select("set"))
+    assert sorted(len(set(r.words)) for r in sets.collect()) == [1, 2, 3]
+
+
 def test_line_dedup_keeps_columns(stored_docs, no_docs):
     assert line_dedup.dedup_lines(stored_docs).columns == stored_docs.columns
     assert line_dedup.report(no_docs).count() == 0

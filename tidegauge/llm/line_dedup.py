@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,25 +31,69 @@ from tidegauge.llm.columns import free_name
 from tidegauge.session import stored
 
 LOG_BUCKETS = 21  # word counts are kept per bucket of hashes
+BLOCK = 1 << 12  # buckets whose counts travel together
 TOKEN_BITS = 40
+WIDTH = TOKEN_BITS // 8
+STORED = 1 << 25  # bytes of words handed on at once
 HOT = 50_000  # lines that may meet at one word in one task
 SAMPLE = 64  # one row in so many tells which words are hot; it only balances the work
 _F = mix(np.arange(100, 120, dtype=np.uint64)) | np.uint64(1)
 _LAST = np.iinfo(np.int64).max
+_ONCE = np.uint64(8)  # rarity of a bucket that holds one word of one line
 
 
-class Lines:
+class Sets:
+    """Word sets one after the other, each sorted, with their sizes and names."""
+
+    def __init__(self, token: np.ndarray, n: np.ndarray, name: np.ndarray):
+        self.token, self.n, self.name = token, n, name
+        self.at = np.cumsum(n) - n  # where each set begins among the words
+
+    def some(self, chosen: np.ndarray) -> Sets:
+        return Sets(self.token[np.repeat(chosen, self.n)], self.n[chosen], self.name[chosen])
+
+    def firsts(self, doc: np.ndarray) -> np.ndarray:
+        """Marks one set of each name, that of the smallest ``doc``."""
+        order = np.lexsort((doc, self.name))
+        head = np.ones(len(order), bool)
+        head[1:] = self.name[order][1:] != self.name[order][:-1]
+        out = np.zeros(len(order), bool)
+        out[order[head]] = True
+        return out
+
+    def words(self) -> pa.Array:
+        """The words as lists."""
+        ends = np.append(self.at, len(self.token))
+        return pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(self.token.view(np.int64))).cast(pa.list_(pa.int64()))
+
+    def bitmaps(self) -> tuple[np.ndarray, np.ndarray]:
+        spot = mix(self.token) & np.uint64(127)
+        bit = np.uint64(1) << (spot & np.uint64(63))
+        out = []
+        for half in (0, 1):
+            own = np.where(spot >> np.uint64(6) == half, bit, np.uint64(0))
+            out.append(np.bitwise_xor.reduceat(own, self.at) if len(self.at) else own)
+        return out[0], out[1]
+
+    def packed(self) -> pa.Array:
+        """The words of each set as bytes."""
+        data = np.ascontiguousarray(self.token.view(np.uint8).reshape(-1, 8)[:, :WIDTH])
+        ends = np.append(self.at, len(self.token)).astype(np.int64) * WIDTH
+        return pa.Array.from_buffers(pa.large_binary(), len(self.n), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+
+
+class Lines(Sets):
     """The lines of a run of texts: distinct words, their number and a name for the set."""
 
     def __init__(self, data: np.ndarray, at: np.ndarray):
         words = Words(data, at)
         breaks = np.flatnonzero(data == 10)
         rows = words.rows()
-        self.first = np.searchsorted(breaks, at[:-1]) + np.arange(len(at) - 1)  # number of each text's first line
-        self.total = len(breaks) + len(at) - 1
+        first = np.searchsorted(breaks, at[:-1]) + np.arange(len(at) - 1)  # number of each text's first line
+        total = len(breaks) + len(at) - 1
         number = np.searchsorted(breaks, words.start) + rows
         token = words.hash >> np.uint64(64 - TOKEN_BITS)
-        if self.total < 1 << (64 - TOKEN_BITS):
+        if total < 1 << (64 - TOKEN_BITS):
             keys = (number.astype(np.uint64) << np.uint64(TOKEN_BITS)) | token
             keys.sort()
             number, token = (keys >> np.uint64(TOKEN_BITS)).astype(np.int64), keys & np.uint64((1 << TOKEN_BITS) - 1)
@@ -57,66 +102,90 @@ class Lines:
             number, token = number[order], token[order]
         new = np.ones(len(token), bool)
         new[1:] = (token[1:] != token[:-1]) | (number[1:] != number[:-1])
-        self.number, self.token = number[new], token[new]
-        start = np.ones(len(self.number), bool)
-        start[1:] = self.number[1:] != self.number[:-1]
-        self.at = np.flatnonzero(start)  # where each line with words begins among the words
-        self.line = self.number[self.at]
-        self.n = np.diff(np.append(self.at, len(self.token)))
-        total = np.add.reduceat(mix(self.token + _F[0]), self.at) if len(self.at) else np.zeros(0, np.uint64)
-        self.name = mix(total + self.n.astype(np.uint64) * _F[1]).view(np.int64)
-        self.row = np.searchsorted(self.first, self.line, "right") - 1
-        self.place = self.line - self.first[self.row]  # line within its text
-
-    def words_of(self, some: np.ndarray) -> pa.Array:
-        """The words of the lines chosen, as lists."""
-        ends = np.concatenate([[0], np.cumsum(self.n[some])])
-        return pa.LargeListArray.from_arrays(
-            pa.array(ends, pa.int64()), pa.array(self.token[np.repeat(some, self.n)].view(np.int64))).cast(pa.list_(pa.int64()))
-
-    def bitmaps(self) -> tuple[np.ndarray, np.ndarray]:
-        spot = mix(self.token) & np.uint64(127)
-        bit = np.uint64(1) << (spot & np.uint64(63))
-        out = []
-        for half in (0, 1):
-            own = np.where(spot >> np.uint64(6) == half, bit, np.uint64(0))
-            out.append(np.bitwise_xor.reduceat(own, self.at) if len(self.at) else own)
-        return out[0], out[1]
+        number, token = number[new], token[new]
+        start = np.ones(len(number), bool)
+        start[1:] = number[1:] != number[:-1]
+        begin = np.flatnonzero(start)
+        line, n = number[begin], np.diff(np.append(begin, len(token)))
+        sums = np.add.reduceat(mix(token + _F[0]), begin) if len(begin) else np.zeros(0, np.uint64)
+        super().__init__(token, n, mix(sums + n.astype(np.uint64) * _F[1]).view(np.int64))
+        self.row = np.searchsorted(first, line, "right") - 1
+        self.place = line - first[self.row]  # line within its text
+
+
+def _unpacked(name: pa.Array, data: pa.Array) -> Iterator[tuple[int, Sets]]:
+    """Runs of stored sets: number of the first, sets."""
+    data = data.cast(pa.large_binary())
+    at = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1]
+    raw = np.frombuffer(data.buffers()[2], np.uint8)[at[0] : at[-1]]
+    for lo, hi, part, own in pieces(raw, at - at[0], PIECE):
+        token = np.zeros((len(part) // WIDTH, 8), np.uint8)
+        token[:, :WIDTH] = part.reshape(-1, WIDTH)
+        yield lo, Sets(token.view(np.uint64).ravel(), np.diff(own) // WIDTH, name.slice(lo, hi - lo).to_numpy())
 
 
 def _survey(docs: DataFrame) -> DataFrame:
-    """Lines (kind 0: row, doc_id, line, set, n) and counts of words by bucket (kind 1: row = bucket, n = count)."""
+    """Lines (kind 0: row, doc_id, line, set, data) and counts of words by bucket (kind 1: row = block of buckets, data).
+
+    ``data`` of a line is its words, NULL where the same run of texts has an equal line (of a smaller doc_id) with them; texts
+    are cut into words only here.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "row", "doc_id", "line", "set", "n"]
+        names = ["kind", "row", "doc_id", "line", "set", "data"]
         counts = np.zeros(1 << LOG_BUCKETS, np.int64)
         for batch in batches:
             data, at = column_bytes(batch.column(2))
+            ids = batch.column(1).fill_null(_LAST).to_numpy()
             for lo, hi, part, own in pieces(data, at, PIECE):
                 x = Lines(part, own)
-                counts += np.bincount((x.token >> np.uint64(TOKEN_BITS - LOG_BUCKETS)).astype(np.int64), minlength=len(counts))
+                if not len(x.n):
+                    continue
+                np.add.at(counts, (x.token >> np.uint64(TOKEN_BITS - LOG_BUCKETS)).astype(np.int64), 1)
                 keys = batch.column(0).slice(lo, hi - lo).take(pa.array(x.row))
                 docs_ = batch.column(1).slice(lo, hi - lo).take(pa.array(x.row))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.zeros(len(x.row), np.int32)), keys, docs_, pa.array(x.place), pa.array(x.name), pa.array(x.n)], names)
-        spot = np.flatnonzero(counts)
-        none = pa.nulls(len(spot), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(spot), np.int32)), pa.array(spot), none, none, none, pa.array(counts[spot])], names)
-
-    return docs.mapInArrow(work, "kind int, row bigint, doc_id bigint, line bigint, set bigint, n bigint")
+                new = x.firsts(ids[lo + x.row])
+                packed = pc.if_else(pa.array(new), x.packed(), pa.scalar(None, pa.large_binary()))
+                i = 0
+                while i < len(x.n):
+                    j = max(i + 1, int(np.searchsorted(x.at, x.at[i] + STORED // WIDTH, "right")) - 1)
+                    j = len(x.n) if x.at[-1] < x.at[i] + STORED // WIDTH else j
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.zeros(j - i, np.int32)), keys.slice(i, j - i), docs_.slice(i, j - i), pa.array(x.place[i:j]),
+                         pa.array(x.name[i:j]), packed.slice(i, j - i).cast(pa.binary())], names)
+                    i = j
+        blocks = counts.reshape(-1, BLOCK)
+        used = np.flatnonzero(blocks.any(1))
+        none = pa.nulls(len(used), pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.ones(len(used), np.int32)), pa.array(used), none, none, none, pa.array([blocks[b].tobytes() for b in used], pa.binary())], names)
+
+    return docs.mapInArrow(work, "kind int, row bigint, doc_id bigint, line bigint, set bigint, data binary")
 
 
 def _rarity(survey: DataFrame) -> Broadcast:
     """One byte per bucket: an eighth of a power of two of its count. 2 MB, whatever the corpus."""
-    counts = survey.where("kind = 1").groupBy("row").agg(F.sum("n").alias("n")).toArrow()
-    table = np.zeros(1 << LOG_BUCKETS, np.uint8)
-    n = counts.column("n").to_numpy().astype(float)
-    table[counts.column("row").to_numpy()] = np.minimum(255, np.ceil(8 * np.log2(n + 1))).astype(np.uint8)
-    return survey.sparkSession.sparkContext.broadcast(table.tobytes())
 
-
-def _prefixes(x: Lines, rarity: np.ndarray):
-    """(line number among lines with words, 31-bit word, position) of every prefix word."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = np.frombuffer(counts.as_buffer(), np.int64)
+                total[block] = total[block] + own if block in total else own.copy()
+        ranks = [np.minimum(255, np.ceil(8 * np.log2(n + 1.0))).astype(np.uint8).tobytes() for n in total.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(ranks, pa.binary())], ["row", "ranks"])
+
+    spark = survey.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = survey.where("kind = 1").select("row", "data").repartition(parts, "row").mapInArrow(work, "row bigint, ranks binary").toArrow()
+    table = np.zeros(((1 << LOG_BUCKETS) // BLOCK, BLOCK), np.uint8)
+    for block, ranks in zip(found.column("row").to_pylist(), found.column("ranks").to_pylist(), strict=True):
+        table[block] = np.frombuffer(ranks, np.uint8)
+    return spark.sparkContext.broadcast(table.tobytes())
+
+
+def _prefixes(x: Sets, rarity: np.ndarray):
+    """(line number among sets, 31-bit word, position) of every prefix word that may stand in another line too."""
     rank = rarity[(x.token >> np.uint64(TOKEN_BITS - LOG_BUCKETS)).astype(np.int64)].astype(np.uint64)
     own = np.repeat(np.arange(len(x.at)), x.n)
     order = (rank << np.uint64(32)) | (x.token & np.uint64(0xFFFFFFFF))
@@ -127,13 +196,14 @@ def _prefixes(x: Lines, rarity: np.ndarray):
     else:
         order = order[np.lexsort((order, own))]
     position = np.arange(len(own)) - np.repeat(x.at, x.n)
-    keep = position < np.repeat(x.n // 5 + 1, x.n)
+    keep = (position < np.repeat(x.n // 5 + 1, x.n)) & ((order >> np.uint64(32)) > _ONCE)
     return own[keep], order[keep] & np.uint64(0x7FFFFFFF), position[keep]
 
 
-def _postings(docs: DataFrame, rarity: Broadcast, cells: Broadcast, only: Broadcast | None = None) -> DataFrame:
-    """One row per distinct line of a run of texts and prefix word: word, size and position packed in ``k``; name of the
-    line, bitmaps, first document and cell. Hot words are dealt to several cells, so that each two of their lines meet in one.
+def _postings(lines: DataFrame, rarity: Broadcast, cells: Broadcast, only: Broadcast | None = None) -> DataFrame:
+    """One row per distinct line of a run of lines (row, doc_id, set, data) and prefix word: word, size and position packed in
+    ``k``; name of the line, bitmaps, first document and cell. Hot words are dealt to several cells, so that each two of their
+    lines meet in one.
 
     With ``only``, a filter of words, other words are left out, and each line that is left has one more row with its words.
     """
@@ -142,24 +212,21 @@ def _postings(docs: DataFrame, rarity: Broadcast, cells: Broadcast, only: Broadc
         table, hot = np.frombuffer(rarity.value, np.uint8), cells.value
         words, parts = hot
         for batch in batches:
-            data, at = column_bytes(batch.column(2))
             ids = batch.column(1).fill_null(_LAST).to_numpy()
-            for lo, _, part, own in pieces(data, at, PIECE):
-                x = Lines(part, own)
-                if not len(x.at):
+            for lo, x in _unpacked(batch.column(2), batch.column(3)):
+                doc = ids[lo : lo + len(x.n)]
+                if only is not None:
+                    near = np.logical_or.reduceat(bloom.hits(only, bloom.key_of(x.token & np.uint64(0x7FFFFFFF))), x.at)
+                    x, doc = x.some(near), doc[near]
+                new = x.firsts(doc)
+                x, doc = x.some(new), doc[new]
+                if not len(x.n):
                     continue
                 b1, b2 = x.bitmaps()
-                doc = ids[lo + x.row]
-                order = np.lexsort((doc, x.name))
-                first = np.ones(len(order), bool)
-                first[1:] = x.name[order][1:] != x.name[order][:-1]
-                new = np.zeros(len(order), bool)
-                new[order[first]] = True
                 line, word, position = _prefixes(x, table)
-                keep = new[line]
                 if only is not None:
-                    keep &= bloom.hits(only, bloom.key_of(word))
-                line, word, position = line[keep], word[keep], position[keep]
+                    keep = bloom.hits(only, bloom.key_of(word))
+                    line, word, position = line[keep], word[keep], position[keep]
                 n = x.n[line]
                 k = (word << np.uint64(32)) | (np.minimum(n, (1 << 20) - 1).astype(np.uint64) << np.uint64(12)) | np.minimum(position, 4095).astype(np.uint64)
                 cell = np.zeros(len(line), np.int32)
@@ -182,17 +249,17 @@ def _postings(docs: DataFrame, rarity: Broadcast, cells: Broadcast, only: Broadc
                 yield pa.RecordBatch.from_arrays([*out, pa.nulls(len(line), pa.list_(pa.int64()))], [*names, "words"])
                 some = np.zeros(len(x.at), bool)
                 some[line] = True
-                none = [pa.nulls(int(some.sum()), t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())]
-                yield pa.RecordBatch.from_arrays(
-                    [none[0], none[1], pa.array(x.name[some]), *none[2:], x.words_of(some)], [*names, "words"])
+                x = x.some(some)
+                none = [pa.nulls(len(x.n), t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())]
+                yield pa.RecordBatch.from_arrays([none[0], none[1], pa.array(x.name), *none[2:], x.words()], [*names, "words"])
 
-    return docs.mapInArrow(work, "k bigint, cell int, set bigint, b1 bigint, b2 bigint, doc bigint" + (", words array<bigint>" if only else ""))
+    return lines.mapInArrow(work, "k bigint, cell int, set bigint, b1 bigint, b2 bigint, doc bigint" + (", words array<bigint>" if only else ""))
 
 
-def _hot_words(docs: DataFrame, rarity: Broadcast) -> tuple[np.ndarray, np.ndarray]:
+def _hot_words(lines: DataFrame, rarity: Broadcast) -> tuple[np.ndarray, np.ndarray]:
     """Words at which many lines may meet, by a sample of rows, and the blocks each is dealt to."""
-    some = docs.where(F.pmod(F.xxhash64("row"), F.lit(SAMPLE)) == 0)
-    empty = docs.sparkSession.sparkContext.broadcast((np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    some = lines.where(F.pmod(F.xxhash64("row"), F.lit(SAMPLE)) == 0)
+    empty = lines.sparkSession.sparkContext.broadcast((np.zeros(0, np.uint64), np.zeros(0, np.int64)))
     found = (_postings(some, rarity, empty).groupBy(F.shiftrightunsigned("k", 32).alias("word")).count()
              .where(F.col("count") * SAMPLE > HOT).toArrow())  # at most all postings / HOT rows
     words = found.column("word").to_numpy().astype(np.uint64)
@@ -294,23 +361,19 @@ def _meet(cell, k, name, b1, b2, doc, best: int, only: Broadcast | None) -> Iter
         lo = hi
 
 
-def _word_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
+def _word_sets(lines: DataFrame, needed: DataFrame) -> DataFrame:
     """(set, words) of the lines in ``needed``; a fixed-size filter keeps most other lines from being sent on."""
     shared = bloom.build(needed)
 
     def work(batches):
         for batch in batches:
-            data, at = column_bytes(batch.column(2))
-            for _, _, part, own in pieces(data, at, PIECE):
-                x = Lines(part, own)
-                if not len(x.at):
-                    continue
-                new = np.zeros(len(x.at), bool)
-                new[np.unique(x.name, return_index=True)[1]] = True
-                new &= bloom.hits(shared, x.name)
-                yield pa.RecordBatch.from_arrays([pa.array(x.name[new]), x.words_of(new)], ["set", "words"])
+            name, data = batch.column(0), batch.column(1)
+            near = pa.array(bloom.hits(shared, name.to_numpy()))
+            for _, x in _unpacked(name.filter(near), data.filter(near)):
+                x = x.some(x.firsts(np.zeros(len(x.n))))
+                yield pa.RecordBatch.from_arrays([pa.array(x.name), x.words()], ["set", "words"])
 
-    return docs.mapInArrow(work, "set bigint, words array<bigint>").join(needed, "set", "left_semi").dropDuplicates(["set"])
+    return lines.select("set", "data").mapInArrow(work, "set bigint, words array<bigint>").join(needed, "set", "left_semi").dropDuplicates(["set"])
 
 
 def _either(pairs: DataFrame) -> DataFrame:
@@ -324,9 +387,9 @@ def _matches(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return two.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("later", "earlier")
 
 
-def _similar_before(docs: DataFrame, firsts: DataFrame, rarity: Broadcast, best: int) -> DataFrame:
+def _similar_before(lines: DataFrame, firsts: DataFrame, rarity: Broadcast, best: int) -> DataFrame:
     """Names of the lines that have a similar line before them."""
-    cells = docs.sparkSession.sparkContext.broadcast(_hot_words(docs, rarity))
+    cells = lines.sparkSession.sparkContext.broadcast(_hot_words(lines, rarity))
     place = firsts.select("set", "first")
 
     def found(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -335,15 +398,15 @@ def _similar_before(docs: DataFrame, firsts: DataFrame, rarity: Broadcast, best:
         two = one.join(place.withColumnsRenamed({"set": "earlier", "first": "b"}), "earlier")
         return two.where("b < a").select(F.col("later").alias("set")).distinct()
 
-    pairs = stored(_pairs(_postings(docs, rarity, cells), best, None), "line-pairs")
+    pairs = stored(_pairs(_postings(lines, rarity, cells), best, None), "line-pairs")
     some = pairs.where("earlier is not null").select("later", "earlier")
-    gone = stored(found(some, stored(_word_sets(docs, _either(some)), "line-words-0")), "similar-0")
+    gone = stored(found(some, stored(_word_sets(lines, _either(some)), "line-words-0")), "similar-0")
     left = pairs.where("earlier is null").select(F.col("later").alias("set"), "word").join(gone, "set", "left_anti")
     rest = stored(left, "open-lines")
     if rest.isEmpty():
         return gone
     # Open lines meet again only at the words where they had too many candidates.
-    again = stored(_postings(docs, rarity, cells, bloom.build(rest.select("word").distinct())), "open-postings")
+    again = stored(_postings(lines, rarity, cells, bloom.build(rest.select("word").distinct())), "open-postings")
     more = stored(_pairs(again.where("k is not null").drop("words"), 0, bloom.build(rest.select("set").distinct())).select("later", "earlier"), "line-pairs-1")
     sets = stored(again.where("k is null").select("set", "words").join(_either(more), "set", "left_semi").dropDuplicates(["set"]), "line-words-1")
     return gone.unionByName(stored(found(more, sets), "similar-1")).distinct()
@@ -356,7 +419,8 @@ def removed_lines(docs: DataFrame, best: int = 8) -> DataFrame:
     lines = survey.where("kind = 0").select("row", "doc_id", "line", "set")
     order = F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("doc_id"), "row", "line")
     firsts = stored(lines.groupBy("set").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("times")), "first-lines")
-    similar = _similar_before(docs, firsts, _rarity(survey), best).withColumn("similar", F.lit(True))
+    whole = survey.where("kind = 0 and data is not null").select("row", "doc_id", "set", "data")
+    similar = _similar_before(whole, firsts, _rarity(survey), best).withColumn("similar", F.lit(True))
     judged = firsts.join(similar, "set", "left").where("times > 1 or similar").select("set", "first", F.coalesce("similar", F.lit(False)).alias("similar"))
     gone = lines.join(judged, "set").where("similar or first.row <> row or first.line <> line")
     return gone.groupBy("row").agg(F.collect_list(F.col("line").cast("int")).alias("lines"))
