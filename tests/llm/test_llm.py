@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tidegauge.llm import decontamination, language, line_dedup, lm_scoring, near_dedup, packing, quality, secrets, topk, url_trust
+from tidegauge.llm import components, decontamination, language, line_dedup, lm_scoring, near_dedup, packing, quality, secrets, topk, url_trust
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, `row` string, `_hits` int"
@@ -158,6 +158,44 @@ def test_few_pivots_lose_no_link(spark, stored_docs, pivots):
     assert one == {tuple(r) for r in near_dedup.link(docs, sketches).collect()}
 
 
+def test_buckets_that_pivots_do_not_close_go_to_the_join_at_once(spark, tmp_path, monkeypatch):
+    """Texts that share most of their words fill buckets no pivot closes; a chain of copies still ends in one class."""
+    rng = np.random.default_rng(5)
+    pool = [f"w{i}" for i in range(4000)]
+    rows = []
+    for g in range(30):
+        base = list(rng.choice(pool, 120))
+        for _ in range(6):  # five sixths alike: many shared bands, no link
+            rows.append(base[:100] + list(rng.choice(pool, 20)))
+    chain = list(rng.choice(pool, 200))
+    for step in range(6):
+        rows.append([*chain[: 200 - 3 * step], *(f"x{k}" for k in range(3 * step))])
+    path = str(tmp_path / "d.parquet")
+    spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "doc_id long, text string").coalesce(2).write.parquet(path)
+    names, keep = [], near_dedup.stored
+    monkeypatch.setattr(near_dedup, "stored", lambda df, name: names.append(name) or keep(df, name))
+    out = {r.doc_id: r.class_id for r in near_dedup.near_classes(spark.read.parquet(path)).collect()}
+    own = [{tuple(r[i : i + 5]) for i in range(len(r) - 4)} for r in rows]
+    label = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if 9 * len(own[a] & own[b]) >= 4 * (len(own[a]) + len(own[b])):
+                label = [min(label[a], label[b]) if x in (label[a], label[b]) else x for x in label]
+    assert out == dict(enumerate(label)) and len(set(label)) < len(label)
+    assert "open-sets" in names and "pairs-2" not in names
+
+
+def test_components_settle_without_a_round_for_stars(spark, monkeypatch):
+    names, keep = [], components.stored
+    monkeypatch.setattr(components, "stored", lambda df, name: names.append(name) or keep(df, name))
+    star = spark.createDataFrame([(1, i) for i in range(2, 30)], "a long, b long")
+    assert {tuple(r) for r in components.components(star).collect()} == {(i, 1) for i in range(1, 30)}
+    assert len(names) == 1
+    chain = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(50, 51), (52, 51), (60, 60)], "a long, b long")
+    want = {(i, 1) for i in range(1, 41)} | {(i, 50) for i in (50, 51, 52)}
+    assert {tuple(r) for r in components.components(chain).collect()} == want
+
+
 def test_dart_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(1)
     e = np.arange(1, 301, dtype=np.uint64)

@@ -7,8 +7,8 @@ earliest per coordinate is kept. Two documents agree at a coordinate with the pr
 similarity. Bands of ``rows`` coordinates are join keys.
 
 Within a band's bucket nothing is paired with everything: members are compared with one pivot, then, in the few buckets that
-still hold several components, with other pivots. The sets of the buckets that are open after that go through an exact
-similarity join instead: shingles are ordered by rarity among these sets, and two sets meet at a shingle that is among the
+still hold several components, with other pivots, as long as these close most of them. The sets of the buckets that are open
+after that go through an exact similarity join instead: shingles are ordered by rarity among these sets, and two sets meet at a shingle that is among the
 first n // 5 + 1 of the larger and the first m // 9 + 1 of the smaller one, if sizes, places and parity bitmaps allow a
 match. Every link is verified on whole shingle sets: shared * 9 >= 4 * (n1 + n2) is a Jaccard similarity of 0.8 or more.
 
@@ -297,29 +297,47 @@ def link(docs: DataFrame, sketches: DataFrame, size: int = SIZE, pivots: int = 3
     sets = stored(_shingle_sets(docs, members.select("set").distinct(), size), "shingles")
 
     def star(rows: DataFrame, turn: int) -> DataFrame:
-        pivot = rows.groupBy("k").agg(F.min_by("set", F.xxhash64(F.lit(turn), "set")).alias("b"), F.min_by("n", F.xxhash64(F.lit(turn), "set")).alias("m"))
-        return _ordered(_near_sizes(rows.join(pivot, "k")).select(F.col("set").alias("a"), "b"))
+        pick = F.xxhash64(F.lit(turn), "set")
+        pivot = rows.groupBy("k").agg(F.min_by("set", pick).alias("b"), F.min_by("n", pick).alias("m"), F.min_by("label", pick).alias("other"))
+        return _ordered(_near_sizes(rows.join(pivot, "k").where("label <> other")).select(F.col("set").alias("a"), "b"))
 
-    tried = stored(star(members, 0), "pairs-0")
-    edges = stored(_verified(tried, sets), "edges-0")
-    labels = components(edges)
+    tried = stored(star(members.withColumn("label", F.col("set")), 0), "pairs-0")
+    labels = components(stored(_verified(tried, sets), "edges-0"))
+    left = members.count()
     for turn in range(1, pivots + 1):
         open_ = stored(_across(members, labels), f"open-{turn}")
-        if open_.isEmpty():
+        before, left = left, open_.count()
+        if not left:
             return labels
-        if turn < pivots:
+        # Where the last pivots closed less than half of the rows, more of them would leave the join much the same work.
+        exact = turn == pivots or 2 * left > before
+        if not exact:
             more = star(open_, turn)
         else:
             more = prefix_pairs(stored(open_.select("set", "label").distinct().join(sets, "set"), "open-sets"))
         more = stored(more.join(tried, ["a", "b"], "left_anti"), f"pairs-{turn}")
-        if more.isEmpty():
-            continue
+        edges = more if more.isEmpty() else stored(_verified(more, sets), f"edges-{turn}")
+        if not edges.isEmpty():
+            labels = stored(_merged(labels, edges), f"labels-{turn}")
+        if exact:
+            return labels
         tried = tried.unionByName(more)
-        edges = stored(edges.unionByName(_verified(more, sets)), f"edges-{turn}")
-        labels = components(edges)
     return labels
 
 
+def _merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """``labels`` after more edges: only the labels that these join are linked, not the nodes below them again."""
+    def named(side: str) -> DataFrame:
+        return labels.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label"))
+
+    known = edges.join(named("a"), "a", "left").join(named("b"), "b", "left")
+    joined = components(known.select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b")))
+    joined = stored(joined.withColumnsRenamed({"label": "least", "node": "label"}), "joined-labels")
+    # A node without label so far is its own label.
+    every = labels.unionByName(joined.select(F.col("label").alias("node"), "label")).distinct()
+    return every.join(joined, "label", "left").select("node", F.coalesce("least", "label").alias("label"))
+
+
 def _near_sizes(pairs: DataFrame) -> DataFrame:
     return pairs.where("5 * n >= 4 * m and 5 * m >= 4 * n")
 
