@@ -185,6 +185,48 @@ def test_buckets_that_pivots_do_not_close_go_to_the_join_at_once(spark, tmp_path
     assert "open-sets" in names and "pairs-2" not in names
 
 
+def test_rounds_pair_large_groups_sparsely_and_lose_no_link(spark, tmp_path, monkeypatch):
+    """Several hundred near copies of one text, half of them near misses: few pairs a text, and the classes of all pairs."""
+    rng = np.random.default_rng(11)
+    base, rows = [f"w{i}" for i in range(150)], []
+    for g in range(400):
+        own = list(base)
+        for at in rng.choice(150, rng.integers(1, 6), replace=False):
+            own[at] = f"x{g}-{at}"
+        rows.append(own)
+    path = str(tmp_path / "d.parquet")
+    spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "doc_id long, text string").coalesce(2).write.parquet(path)
+    pairs, keep = {}, near_dedup.stored
+
+    def counted(df, name):
+        out = keep(df, name)
+        if name.startswith(("pairs-", "met-")):
+            pairs[name] = out.count()
+        return out
+
+    monkeypatch.setattr(near_dedup, "stored", counted)
+    out = {r.doc_id: r.class_id for r in near_dedup.near_classes(spark.read.parquet(path)).collect()}
+    own = [shingle_set(" ".join(r)) for r in rows]
+    label = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if label[a] != label[b] and 9 * len(own[a] & own[b]) >= 4 * (len(own[a]) + len(own[b])):
+                label = [min(label[a], label[b]) if x in (label[a], label[b]) else x for x in label]
+    assert out == dict(enumerate(label)) and 1 < len(set(label)) < len(label)
+    assert sum(n for name, n in pairs.items() if name != "pairs-0") < 10 * len(rows), pairs
+
+
+def test_rounds_hold_each_pair_once(spark):
+    rng = random.Random(4)
+    base = rng.sample(range(1 << 44), 60)
+    rows = [(i, i, sorted(set(base) - set(rng.sample(base, 4)))) for i in range(60)]
+    given = spark.createDataFrame(rows, "set long, label long, shingles array<long>").repartition(3)
+    rare = near_dedup._rare_first(given).cache()
+    dealt = [tuple(r) for lo, hi in ((0, 1), (1, 8), (8, 64)) for r in near_dedup._meeting(rare, lo, hi, 64).collect()]
+    assert len(dealt) > 500 and sorted(dealt) == sorted(tuple(r) for r in near_dedup.prefix_pairs(given).collect())
+    assert near_dedup._rounds(rare)[:2] == [1, 8] and near_dedup._rounds(rare.limit(0)) == [1]
+
+
 def test_components_settle_without_a_round_for_stars(spark, monkeypatch):
     names, keep = [], components.stored
     monkeypatch.setattr(components, "stored", lambda df, name: names.append(name) or keep(df, name))

@@ -10,7 +10,8 @@ Within a band's bucket nothing is paired with everything: members are compared w
 still hold several components, with other pivots, as long as these close most of them. The sets of the buckets that are open
 after that go through an exact similarity join instead: shingles are ordered by rarity among these sets, and two sets meet at a shingle that is among the
 first n // 5 + 1 of the larger and the first m // 9 + 1 of the smaller one, if sizes, places and parity bitmaps allow a
-match. Every link is verified on whole shingle sets: shared * 9 >= 4 * (n1 + n2) is a Jaccard similarity of 0.8 or more.
+match. Where many sets share shingles, the pairs come in rounds, and sets that a round has linked are no longer paired. Every
+link is verified on whole shingle sets: shared * 9 >= 4 * (n1 + n2) is a Jaccard similarity of 0.8 or more.
 
 NULL texts and texts without words are never linked; repeated rows and copies are one class; very long texts are read whole;
 an empty table gives an empty result. Input rows are told apart by their place in a stored table, so doc_id may be NULL or
@@ -36,6 +37,7 @@ from tidegauge.session import stored
 SIZE, COORDINATES, ROWS = 5, 128, 4
 LOG_BUCKETS = 20  # how often a shingle occurs is kept per bucket of hashes
 ID_BITS = 44
+MEETINGS = 4  # of two rows of the exact join per row of its first round
 _ID = np.uint64((1 << ID_BITS) - 1)
 _FACTORS = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
@@ -274,21 +276,58 @@ def _rare_first(sets: DataFrame) -> DataFrame:
 
 
 def prefix_pairs(sets: DataFrame) -> DataFrame:
-    """(a, b) of the sets (set, label, shingles) of unlike labels that may be similar; no similar pair is missing.
+    """(a, b) of the sets (set, label, shingles) of unlike labels that may be similar; no similar pair is missing."""
+    return _meeting(stored(_rare_first(sets), "rare"), 0, 1, 1)
+
+
+def _meeting(x: DataFrame, lo: int, hi: int, parts: int) -> DataFrame:
+    """(a, b) of unlike labels that may be similar, of the pairs whose hash falls into the parts from ``lo`` to ``hi``.
 
     The filter of places holds at the first shingle that a pair shares, the bitmaps differ in at most as many bits as the
     sets do in shingles.
     """
-    x = stored(_rare_first(sets), "rare")
     y = x.where("place <= n div 9").select(
         "shingle", F.col("set").alias("b"), F.col("label").alias("other"), F.col("n").alias("m"), F.col("place").alias("at"),
         F.col("low").alias("low_b"), F.col("high").alias("high_b"))
+    share = f"pmod(xxhash64(a, b), {parts}) between {lo} and {hi - 1} and " if hi - lo < parts else ""
     return _ordered(x.withColumnRenamed("set", "a").join(y, "shingle").where(
-        "label <> other and (n > m or n = m and a > b) and 5 * m >= 4 * n "
-        "and 9 * (1 + least(n - place - 1, m - at - 1)) >= 4 * (n + m) "
+        "label <> other and (n > m or n = m and a > b) and 5 * m >= 4 * n and " + share +
+        "9 * (1 + least(n - place - 1, m - at - 1)) >= 4 * (n + m) "
         "and 9 * (bit_count(low ^ low_b) + bit_count(high ^ high_b)) <= n + m").select("a", "b"))
 
 
+def _rounds(x: DataFrame) -> list[int]:
+    """Where the rounds of a join end, 1, 8, 64 and so on: the first has a few meetings per row, the last all that are left."""
+    met = x.groupBy("shingle").agg(F.count(F.lit(1)).alias("x"), F.count_if(F.expr("place <= n div 9")).alias("y"))
+    meetings, rows = met.agg(F.sum(F.col("x").cast("double") * F.col("y")), F.sum("x")).first()
+    ends = [1]
+    while rows and meetings > MEETINGS * rows * ends[-1]:
+        ends.append(ends[-1] * 8)
+    return ends
+
+
+def _joined(labels: DataFrame, open_: DataFrame, sets: DataFrame, tried: DataFrame) -> DataFrame:
+    """``labels`` after an exact join of the sets in open buckets.
+
+    Sets that share a label need no pair, so the pairs are dealt into rounds by a hash, and what one round links is not paired
+    in the next. If a round and those before it have the share p of all pairs, some n / p links of n sets are left between
+    unlike labels (Karger, Klein and Tarjan, 1995); the next round has eight times as many pairs, and thus finds eight links
+    or so a set, however many a large group holds. Each pair is in one round, the last takes all that are still unlike.
+    """
+    named = open_.select("set", "label").distinct()
+    rare = stored(_rare_first(stored(named.join(sets, "set"), "open-sets")), "rare")
+    ends = _rounds(rare)
+    now = rare
+    for lo, hi in zip([0, *ends], ends):
+        more = stored(_meeting(now, lo, hi, ends[-1]).join(tried, ["a", "b"], "left_anti"), f"met-{hi}")
+        edges = more if more.isEmpty() else stored(_verified(more, sets), f"links-{hi}")
+        if not edges.isEmpty():
+            labels = stored(_merged(labels, edges), f"labels-{hi}")
+            now = rare.drop("label").join(labels.withColumnsRenamed({"node": "set"}), "set", "left").withColumn(
+                "label", F.coalesce("label", "set"))
+    return labels
+
+
 def link(docs: DataFrame, sketches: DataFrame, size: int = SIZE, pivots: int = 3) -> DataFrame:
     """(node, label) of every set that has a near copy."""
     bands = sketches.where("set is not null").select("set", "n", F.explode("bands").alias("k"))
@@ -310,17 +349,12 @@ def link(docs: DataFrame, sketches: DataFrame, size: int = SIZE, pivots: int = 3
         if not left:
             return labels
         # Where the last pivots closed less than half of the rows, more of them would leave the join much the same work.
-        exact = turn == pivots or 2 * left > before
-        if not exact:
-            more = star(open_, turn)
-        else:
-            more = prefix_pairs(stored(open_.select("set", "label").distinct().join(sets, "set"), "open-sets"))
-        more = stored(more.join(tried, ["a", "b"], "left_anti"), f"pairs-{turn}")
+        if turn == pivots or 2 * left > before:
+            return _joined(labels, open_, sets, tried)
+        more = stored(star(open_, turn).join(tried, ["a", "b"], "left_anti"), f"pairs-{turn}")
         edges = more if more.isEmpty() else stored(_verified(more, sets), f"edges-{turn}")
         if not edges.isEmpty():
             labels = stored(_merged(labels, edges), f"labels-{turn}")
-        if exact:
-            return labels
         tried = tried.unionByName(more)
     return labels
 
